@@ -16,6 +16,13 @@ def tokenizer_path(name: str) -> str:
     return import_module(TOKENIZER_PACKAGE).path(name)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.quality import BASE, judge
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return judge(docs, table(spark, sf_dir, "labels")).select("doc_id", *BASE, "base_failed", "kept")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.packing import pack
 
@@ -30,5 +37,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-QUERIES = {"op7_packing": op7_packing, "op10_mixing": op10_mixing}
+QUERIES = {"op4_quality_rules": op4_quality_rules, "op7_packing": op7_packing, "op10_mixing": op10_mixing}
 ORACLE_SQL: dict[str, str] = {}
