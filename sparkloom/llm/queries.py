@@ -16,6 +16,19 @@ def tokenizer_path(name: str) -> str:
     return import_module(TOKENIZER_PACKAGE).path(name)
 
 
+def op2_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.flac import read_flac, write_flac
+
+    docs = table(spark, sf_dir, "documents")
+    data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    read = read_flac(write_flac(docs, "doc_id", data))
+    pcm, tail = F.col("pcm"), F.expr("substring(pcm, length(pcm) - 31, 32)")
+    return read.select(
+        "doc_id", "n_bytes", F.length(pcm).cast("long").alias("payload_bytes"), F.sha2(pcm, 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+    )
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.quality import BASE, judge
 
@@ -37,5 +50,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-QUERIES = {"op4_quality_rules": op4_quality_rules, "op7_packing": op7_packing, "op10_mixing": op10_mixing}
+QUERIES = {"op2_flac": op2_flac, "op4_quality_rules": op4_quality_rules, "op7_packing": op7_packing, "op10_mixing": op10_mixing}
 ORACLE_SQL: dict[str, str] = {}
