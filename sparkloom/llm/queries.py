@@ -29,6 +29,14 @@ def op2_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.toxicity import held_out, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.quality import BASE, judge
 
@@ -50,5 +58,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-QUERIES = {"op2_flac": op2_flac, "op4_quality_rules": op4_quality_rules, "op7_packing": op7_packing, "op10_mixing": op10_mixing}
+QUERIES = {"op2_flac": op2_flac, "op3_toxicity": op3_toxicity, "op4_quality_rules": op4_quality_rules, "op7_packing": op7_packing, "op10_mixing": op10_mixing}
 ORACLE_SQL: dict[str, str] = {}
