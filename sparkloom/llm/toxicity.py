@@ -41,7 +41,7 @@ PATTERNS = ("plain", "aimed", "negated", "reported")
 PLAIN, AIMED, NEGATED, QUOTED = range(4)
 MARKED = 10  # an insult in pattern p is MARKED + p, a threat MARKED + 4 + p
 NEGATION_REACH, TARGET_REACH = 3, 4
-PREFIXES = (6, 5, 4)
+PREFIXES = (8, 7, 6, 5, 4)
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n]")
 
 Machine = dict[tuple, tuple]  # (state, symbol) -> (state, symbol)
@@ -166,15 +166,32 @@ def learn_lexicon(labelled: DataFrame, lexicon_size: int = 2000, least_documents
     texts = labelled.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
     found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
     starts = F.transform(found, lambda w: F.array(w, *[F.when(F.length(w) > n, F.concat(F.substring(w, 1, n), F.lit("*"))) for n in PREFIXES]))
-    terms = texts.select(F.col("toxic").cast("long").alias("toxic"), F.explode(F.array_distinct(F.array_compact(F.flatten(starts)))).alias("term"))
+    terms = texts.select("h", F.col("toxic").cast("long").alias("toxic"), F.explode(F.array_distinct(F.array_compact(F.flatten(starts)))).alias("term"))
     total = texts.agg(F.sum("toxic").alias("bad"), F.count("*").alias("all")).first()
     bad, good = int(total["bad"] or 0), int(total["all"] or 0) - int(total["bad"] or 0)
     if not bad or not good:
         return {}
     weight = F.log((F.col("p") + 0.5) / (bad + 1)) - F.log((F.col("n") - F.col("p") + 0.5) / (good + 1))
     counted = terms.groupBy("term").agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).where(F.col("p") >= least_documents)
-    best = counted.withColumn("w", weight).where(F.col("w") >= least_weight).orderBy((F.col("w") * F.col("p")).desc(), "term").limit(lexicon_size)
-    return {r["term"]: float(r["w"]) for r in best.collect()}
+    best = counted.withColumn("w", weight).where(F.col("w") >= least_weight).orderBy((F.col("w") * F.col("p")).desc(), "term").limit(3 * lexicon_size)
+    best = materialize(best.coalesce(1), "toxicity-terms")
+    where = terms.where("toxic = 1").join(best, "term").groupBy("term", "w", "p").agg(F.collect_set("h").alias("docs")).collect()  # train_rows by 3 * lexicon_size at most
+    return _cover({r["term"]: (float(r["w"]), r["docs"]) for r in where}, lexicon_size, least_documents)
+
+
+def _cover(terms: dict[str, tuple[float, list[int]]], size: int, least: int, enough: int = 3) -> dict[str, float]:
+    """Terms in descending order of weight times documents, as long as they add something: a term must stand in
+    documents of which at least `least` have fewer than `enough` chosen terms so far. Words that only come along in
+    copies of the same toxic document are explained by then and stay out."""
+    hits: dict[int, set[str]] = {}
+    out: dict[str, float] = {}
+    for term in sorted(terms, key=lambda t: (-terms[t][0] * len(terms[t][1]), t)):
+        weight, docs = terms[term]
+        if sum(len(hits.get(d, ())) < enough for d in docs) >= least and len(out) < size:
+            out[term] = weight
+            for d in docs:
+                hits.setdefault(d, set()).add(term[: PREFIXES[-1]])  # a word and its beginnings count once
+    return out
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.05, steps: int = 50) -> np.ndarray:
