@@ -44,6 +44,18 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, table(spark, sf_dir, "labels")).select("doc_id", *BASE, "base_failed", "kept")
 
 
+#: A conversation whose texts say what a template's control strings might.
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.chat import format_chats, read_back
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
+    return read_back(format_chats(rows.unionByName(own), tokenizer_path("byte_bpe_50k.json")))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.packing import pack
 
@@ -58,5 +70,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-QUERIES = {"op2_flac": op2_flac, "op3_toxicity": op3_toxicity, "op4_quality_rules": op4_quality_rules, "op7_packing": op7_packing, "op10_mixing": op10_mixing}
+QUERIES = {"op2_flac": op2_flac, "op3_toxicity": op3_toxicity, "op4_quality_rules": op4_quality_rules, "op5_chat_format": op5_chat_format, "op7_packing": op7_packing, "op10_mixing": op10_mixing}
 ORACLE_SQL: dict[str, str] = {}
