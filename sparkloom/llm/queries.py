@@ -63,6 +63,24 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+#: (verdict, host, path)
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def labelled_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs whose page shows a labelled document (the number in the path is the document's id): bad if its quality is 0."""
+    doc = F.regexp_extract("url", r"/(\d{1,18})(?:[./?#]|$)", 1)
+    urls = table(spark, sf_dir, "pages").select("url", F.when(doc != "", doc.cast("long")).alias("doc_id"))
+    return urls.join(table(spark, sf_dir, "labels"), "doc_id").select("url", (F.col("quality") == 0).cast("int").alias("bad"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.urls import judge
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge(pages, URL_RULES, labelled_urls(spark, sf_dir)).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.mixing import mix
 
@@ -70,5 +88,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-QUERIES = {"op2_flac": op2_flac, "op3_toxicity": op3_toxicity, "op4_quality_rules": op4_quality_rules, "op5_chat_format": op5_chat_format, "op7_packing": op7_packing, "op10_mixing": op10_mixing}
+QUERIES = {"op2_flac": op2_flac, "op3_toxicity": op3_toxicity, "op4_quality_rules": op4_quality_rules, "op5_chat_format": op5_chat_format, "op7_packing": op7_packing, "op8_url_filter": op8_url_filter, "op10_mixing": op10_mixing}
 ORACLE_SQL: dict[str, str] = {}
