@@ -81,6 +81,12 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(pages, URL_RULES, labelled_urls(spark, sf_dir)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.html import extract
+
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.mixing import mix
 
@@ -88,5 +94,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-QUERIES = {"op2_flac": op2_flac, "op3_toxicity": op3_toxicity, "op4_quality_rules": op4_quality_rules, "op5_chat_format": op5_chat_format, "op7_packing": op7_packing, "op8_url_filter": op8_url_filter, "op10_mixing": op10_mixing}
+QUERIES = {"op2_flac": op2_flac, "op3_toxicity": op3_toxicity, "op4_quality_rules": op4_quality_rules, "op5_chat_format": op5_chat_format, "op7_packing": op7_packing, "op8_url_filter": op8_url_filter, "op9_html_text": op9_html_text, "op10_mixing": op10_mixing}
 ORACLE_SQL: dict[str, str] = {}
