@@ -56,6 +56,13 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chats(rows.unionByName(own), tokenizer_path("byte_bpe_50k.json")))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.substring import dedup
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup(docs).select("doc_id", F.size("removed").cast("long").alias("n_removed"), "removed", "text")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.packing import pack
 
@@ -94,5 +101,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-QUERIES = {"op2_flac": op2_flac, "op3_toxicity": op3_toxicity, "op4_quality_rules": op4_quality_rules, "op5_chat_format": op5_chat_format, "op7_packing": op7_packing, "op8_url_filter": op8_url_filter, "op9_html_text": op9_html_text, "op10_mixing": op10_mixing}
+QUERIES = {"op2_flac": op2_flac, "op3_toxicity": op3_toxicity, "op4_quality_rules": op4_quality_rules, "op5_chat_format": op5_chat_format, "op6_substring_dedup": op6_substring_dedup, "op7_packing": op7_packing, "op8_url_filter": op8_url_filter, "op9_html_text": op9_html_text, "op10_mixing": op10_mixing}
 ORACLE_SQL: dict[str, str] = {}
