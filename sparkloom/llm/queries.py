@@ -16,6 +16,13 @@ def tokenizer_path(name: str) -> str:
     return import_module(TOKENIZER_PACKAGE).path(name)
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.jaccard import components
+
+    found = components(table(spark, sf_dir, "documents"), n=4, percent=85)
+    return found.select(F.col("id").alias("doc_id"), F.col("size").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 def op2_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.flac import read_flac, write_flac
 
@@ -101,5 +108,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-QUERIES = {"op2_flac": op2_flac, "op3_toxicity": op3_toxicity, "op4_quality_rules": op4_quality_rules, "op5_chat_format": op5_chat_format, "op6_substring_dedup": op6_substring_dedup, "op7_packing": op7_packing, "op8_url_filter": op8_url_filter, "op9_html_text": op9_html_text, "op10_mixing": op10_mixing}
+QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_flac": op2_flac, "op3_toxicity": op3_toxicity, "op4_quality_rules": op4_quality_rules, "op5_chat_format": op5_chat_format, "op6_substring_dedup": op6_substring_dedup, "op7_packing": op7_packing, "op8_url_filter": op8_url_filter, "op9_html_text": op9_html_text, "op10_mixing": op10_mixing}
 ORACLE_SQL: dict[str, str] = {}
