@@ -24,17 +24,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import SPACE_CHARS, materialize, words
+from sparkloom.llm.common import materialize, words
 
-SYMBOLS = "#*$%&|<>"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-DIGITS = "0123456789"
+#: As insides of a character class.
+SYMBOLS, UPPER, DIGITS, EXCLAIMS = r"#*$%&|<>", "A-Z", "0-9", "!"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-EXTRA = ("n_lines", "n_upper", "n_digits", "n_exclaims", "n_distinct_words")
+EXTRA = ("n_lines", "n_upper", "n_digits", "n_exclaims")
 
 
-def _count_chars(text: Column, chars: str) -> Column:
-    return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
+def _count_chars(text: Column, inside: str) -> Column:
+    """Characters of the class; what lies between them goes run by run."""
+    return F.length(F.regexp_replace(text, f"[^{inside}]+", "")).cast("long")
 
 
 def repeat_words(w: Column) -> Column:
@@ -45,13 +45,19 @@ def repeat_words(w: Column) -> Column:
     """
     hashes = F.transform(w, lambda x: F.xxhash64(x))
     threes = _beside(hashes, lambda h: {"a": h, "b": F.slice(h, 2, F.size(h)), "c": F.slice(h, 3, F.size(h))})
-    windows = F.transform(threes, lambda x, i: F.when(x["c"].isNotNull(), F.struct(F.xxhash64(x["a"], x["b"], x["c"]).alias("h"), i.alias("at"))))
+    windows = F.filter(F.transform(threes, lambda x: F.when(x["c"].isNotNull(), F.xxhash64(x["a"], x["b"], x["c"]))), lambda x: x.isNotNull())
+    # Most texts repeat no window, which a hash set tells; only the others are sorted.
+    return F.transform(F.array(windows), lambda v: F.when(F.size(F.array_distinct(v)) == F.size(v), F.lit(0)).otherwise(_covered(v)))[0].cast("long")
+
+
+def _covered(windows: Column) -> Column:
     none = F.lit(None).cast("struct<h:bigint,at:int>")
-    ranked = _beside(F.sort_array(F.filter(windows, lambda x: x.isNotNull())), lambda s: {"own": s, "next": F.slice(s, 2, F.size(s)), "last": F.concat(F.array(none), s)})
+    placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
+    ranked = _beside(placed, lambda s: {"own": s, "next": F.slice(s, 2, F.size(s)), "last": F.concat(F.array(none), s)})
     same = lambda x, side: F.coalesce(x["own"]["h"] == x[side]["h"], F.lit(False))
     starts = F.sort_array(F.transform(F.filter(ranked, lambda x: same(x, "next") | same(x, "last")), lambda x: x["own"]["at"]))
     gaps = _beside(starts, lambda p: {"own": p, "next": F.slice(p, 2, F.size(p))})
-    return F.aggregate(gaps, F.lit(0), lambda n, x: n + F.least(F.lit(3), F.coalesce(x["next"] - x["own"], F.lit(3)))).cast("long")
+    return F.aggregate(gaps, F.lit(0), lambda n, x: n + F.least(F.lit(3), F.coalesce(x["next"] - x["own"], F.lit(3))))
 
 
 def _beside(values: Column, views: Callable[[Column], dict[str, Column]]) -> Column:
@@ -62,22 +68,21 @@ def _beside(values: Column, views: Callable[[Column], dict[str, Column]]) -> Col
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the counts in BASE and EXTRA (all long)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACE_CHARS, "")) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     keep = [c for c in docs.columns if c not in (*BASE, *EXTRA)]
     split = docs.select(*keep, text.alias("_quality_text"), words(F.col(text_col).cast("string")).alias("_quality_words"), lines.alias("_quality_lines"))
     t, w, at = F.col("_quality_text"), F.col("_quality_words"), F.col("_quality_lines")
     return split.select(
         *keep,
         F.size(w).cast("long").alias("n_words"),
-        F.length(F.translate(t, SPACE_CHARS, "")).cast("long").alias("word_chars"),
+        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         _count_chars(t, SYMBOLS).alias("n_symbols"),
         (F.size(at) - F.size(F.array_distinct(at))).cast("long").alias("n_dup_lines"),
         repeat_words(w).alias("n_repeat_words"),
         F.size(at).cast("long").alias("n_lines"),
         _count_chars(t, UPPER).alias("n_upper"),
         _count_chars(t, DIGITS).alias("n_digits"),
-        _count_chars(t, "!").alias("n_exclaims"),
-        F.size(F.array_distinct(w)).cast("long").alias("n_distinct_words"),
+        _count_chars(t, EXCLAIMS).alias("n_exclaims"),
     )
 
 
@@ -97,7 +102,6 @@ def features() -> dict[str, Column]:
         "upper_share": share("n_upper", "word_chars"),
         "digit_share": share("n_digits", "word_chars"),
         "exclaims_a_word": share("n_exclaims", "n_words"),
-        "distinct_share": share("n_distinct_words", "n_words"),
         "words_a_line": share("n_words", "n_lines"),
     }
 
@@ -196,7 +200,8 @@ def judge(docs: DataFrame, labels: DataFrame, label_col: str = "quality", train_
     chosen = materialize(sample_labels(labels, train_rows, id_col).select(F.col(id_col).alias("_quality_id"), F.col(label_col).alias("_quality_label")).coalesce(1), "quality-labels")
     known = docs.select(F.col(id_col).alias("_quality_id"), F.col(text_col)).join(chosen, "_quality_id")
     grow = F.pmod(F.xxhash64(F.col("_quality_id"), F.lit("grow")), F.lit(3)) != 0
-    labelled = statistics(known, text_col).drop(text_col).withColumn("_quality_grow", grow).where(~base_failed())
-    rules = learn(materialize(labelled.coalesce(8), "quality-labelled"), "_quality_label")
+    labelled = statistics(known, text_col).drop(text_col).withColumn("_quality_grow", grow)
+    # Written first, filtered then: as one plan, the filter and its statistics would move below the join, to all documents.
+    rules = learn(materialize(labelled, "quality-labelled").where(~base_failed()), "_quality_label")
     out = statistics(docs.drop("base_failed", "kept"), text_col)
     return out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))
