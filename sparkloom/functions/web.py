@@ -1,0 +1,107 @@
+"""URL and HTML functions: canonical URLs, domain rules, static page quality, fetch outcomes."""
+
+from __future__ import annotations
+
+import posixpath
+from collections.abc import Iterator
+from urllib.parse import parse_qsl, quote, unquote, urlencode, urlsplit, urlunsplit
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+# Query keys that only track, and hosts whose links point elsewhere.
+TRACKING_KEYS = "fbclid gclid dclid msclkid mc_cid mc_eid igshid ref ref_src spm yclid _hsenc _hsmi".split()
+REDIRECTORS = {"www.google.com": ("/url", ("q", "url")), "google.com": ("/url", ("q", "url")), "duckduckgo.com": ("/l/", ("uddg",)), "www.bing.com": ("/ck/a", ("u",))}
+DEFAULT_PORTS = {"http": 80, "https": 443}
+CANONICAL = StructType([StructField("canonical_url", StringType()), StructField("domain", StringType())])
+
+
+def canonical(url: str | None, depth: int = 2) -> tuple[str, str] | None:
+    """The one spelling of an http(s) URL and its host, or none."""
+    try:
+        parts = urlsplit((url or "").strip())
+        scheme, host = parts.scheme.lower(), (parts.hostname or "").rstrip(".")
+        if scheme not in DEFAULT_PORTS or not host:
+            return None
+        host = host.encode("idna").decode().lower()
+        port = parts.port
+    except ValueError:
+        return None
+    query = parse_qsl(parts.query, keep_blank_values=True)
+    if depth and host in REDIRECTORS and parts.path.startswith(REDIRECTORS[host][0]):
+        target = next((v for k, v in query if k in REDIRECTORS[host][1] and v.startswith("http")), None)
+        if target:
+            return canonical(target, depth - 1)
+    path = posixpath.normpath(unquote(parts.path)) if parts.path else "/"
+    path = "/" + path.lstrip("/") if path not in (".", "/") else "/"
+    kept = sorted((k, v) for k, v in query if not k.lower().startswith("utm_") and k.lower() not in TRACKING_KEYS)
+    net = host if port in (None, DEFAULT_PORTS[scheme]) else f"{host}:{port}"
+    return urlunsplit((scheme, net, quote(path, safe="/%:@!$&'()*+,;=-._~"), urlencode(kept), "")), host
+
+
+@F.pandas_udf(CANONICAL)
+def canonical_url(urls: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for part in urls:
+        yield pd.DataFrame([canonical(u) or (None, None) for u in part], columns=["canonical_url", "domain"])
+
+
+def host(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)", 1))
+
+
+def in_domain(domain: Column, rule: str) -> Column:
+    return (domain == rule) | domain.endswith("." + rule)
+
+
+def domain_allowed(domain: Column, allow: list[str], deny: list[str]) -> Column:
+    """Deny wins; an empty allow list allows all."""
+    denied, allowed = F.lit(False), F.lit(not allow)
+    for rule in deny:
+        denied = denied | in_domain(domain, rule)
+    for rule in allow:
+        allowed = allowed | in_domain(domain, rule)
+    return allowed & ~denied
+
+
+# Fixed phrases of the page signals.
+JAVASCRIPT_PHRASES = "enable javascript|javascript is required|javascript must be enabled|requires javascript"
+COOKIE_PHRASES = "cookie consent|accept cookies|we use cookies|this site uses cookies"
+BOT_PHRASES = "cf-chl|cloudflare|checking your browser|attention required|captcha|hcaptcha|recaptcha|verify you are human"
+SCRIPT, STYLE = r"(?is)<script\b[^>]*>.*?</script>", r"(?is)<style\b[^>]*>.*?</style>"
+
+
+def visible_text(html: Column) -> Column:
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, SCRIPT, " "), STYLE, " "), "<[^>]+>", " ")
+    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+
+
+def html_quality(html: Column) -> dict[str, Column]:
+    """Sizes and flags of a static page. Ratios are by whole characters and words."""
+    text, low = visible_text(html), F.lower(html)
+    visible = F.length(text)
+    script = F.aggregate(F.regexp_extract_all(html, F.lit(SCRIPT), F.lit(0)), F.lit(0), lambda n, s: n + F.length(s))
+    ratio = script / F.greatest(F.length(html), F.lit(1))
+    links = F.regexp_count(html, F.lit(r"(?i)<a\b"))
+    words = F.greatest(F.size(F.filter(F.split(text, " "), lambda w: w != "")), F.lit(1))
+    root = low.contains('id="app"') | low.contains("id='app'")
+    react = low.contains("reactdom") | low.contains("data-reactroot")
+    needs_js = (low.contains("<noscript") & low.contains("javascript")) | low.rlike(JAVASCRIPT_PHRASES)
+    return {
+        "visible_text_length": visible.cast("long"),
+        "paragraph_count": F.regexp_count(html, F.lit(r"(?i)<p\b")).cast("long"),
+        "script_to_text_ratio": F.round(ratio, 6),
+        "link_density": F.round(links / words, 6),
+        "likely_spa_shell": (visible < 220) & (root | low.contains("__next_data__") | (react & (ratio > 0.02))),
+        "likely_javascript_required": needs_js & (visible < 320),
+        "likely_cookie_wall": low.rlike(COOKIE_PHRASES) & (visible < 260),
+        "likely_bot_check": low.rlike(BOT_PHRASES) & (visible < 900),
+    }
+
+
+def soft_error_code(q: dict[str, Column]) -> Column:
+    return (
+        F.when(q["likely_bot_check"], "bot_check").when(q["likely_javascript_required"], "javascript_required")
+        .when(q["likely_spa_shell"], "spa_shell").when(q["likely_cookie_wall"], "cookie_wall")
+    )
