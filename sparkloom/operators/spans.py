@@ -69,7 +69,8 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most
 
 def sentence_rows(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """(id, span_no, excerpt): the sentences in order."""
-    return docs.select(id_col, F.posexplode(T.sentences(F.col(text_col))).alias("span_no", "excerpt"))
+    found = docs.select(id_col, F.posexplode(T.sentences(F.col(text_col))).alias("span_no", "excerpt"))
+    return found.withColumn("span_no", F.col("span_no").cast("long"))
 
 
 def sentence_spans(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:

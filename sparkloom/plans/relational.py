@@ -119,7 +119,7 @@ def semi_attempted(spark: SparkSession, d: str) -> DataFrame:
 IDS = [7, 3, 11, 3, 999_999_999, 42, 7, 100]
 
 
-@query("""SELECT o_orderkey, o_orderstatus, position FROM orders JOIN (VALUES (7, 0), (3, 1), (11, 2), (42, 4), (100, 5), (999999999, 3)) v(k, position) ON k = o_orderkey""")
+@query("""SELECT o_orderkey, o_orderstatus, position::BIGINT AS position FROM orders JOIN (VALUES (7, 0), (3, 1), (11, 2), (42, 4), (100, 5), (999999999, 3)) v(k, position) ON k = o_orderkey""")
 def ordered_id_selection(spark: SparkSession, d: str) -> DataFrame:
     return R.ordered_selection(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", IDS)
 
