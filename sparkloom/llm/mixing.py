@@ -109,7 +109,7 @@ def thresholds(base: DataFrame, weights: tuple[int, ...], share: float, most_cop
 
 def _scored(base: DataFrame, plan: DataFrame) -> DataFrame:
     """Each row with its source's plan and its score. The plan is a small table whose size Spark knows: it is broadcast below the session's limit."""
-    plan = plan.withColumnRenamed("_mix_source", "_mix_ps")
+    plan = plan.withColumnRenamed("_mix_source", "_mix_ps").drop("docs")  # base may have a column of that name
     joined = base.join(plan, F.col("_mix_source").eqNullSafe(F.col("_mix_ps"))).drop("_mix_ps")
     return joined.withColumn("_mix_score", _score(F.col("size"), F.col("_mix_u"))).withColumn("_mix_key", F.coalesce(F.col("_mix_id").cast("string"), F.lit("")))
 
