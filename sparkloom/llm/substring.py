@@ -6,10 +6,16 @@ row per task. The digests that occur again form a table of their own, joined bac
 and else splits skewed keys. In each document, stretches of neighbouring units that all occurred before are removed if they have min_words
 words together, so a passage is found inside a longer line (with unit="sentence") and a short line that recurs by chance stays.
 
+With unit="sentence" a passage may also begin and end inside sentences, or have no full stop. Of every WINDOW neighbouring runs of ANCHOR_WORDS words
+the one with the least hash is an anchor, so two documents that share ANCHOR_WORDS + WINDOW - 1 (48) words in a row share an anchor, wherever
+the words stand. From each anchor the words of its first occurrence are held against the document's word by word, REACH words beyond it on either side
+(further on there is the next anchor), and runs of ANCHOR_WORDS or more equal words count as repeated, as the units do. An anchor is held against
+its first occurrence alone: where that one is another passage, only what both have in common is found through this anchor.
+
 A digest has 64 bits. A false match alone removes nothing unless its own unit or its neighbours make up min_words repeated words.
 
 Defined cases: a null text stays null and an empty one empty; a unit repeated inside one document is removed after its first occurrence
-too; rows with the same id count as one document, so repeated rows lose the same units and keep the same; null ids come first; all
+too (anchors look into other documents only); rows with the same id count as one document, so repeated rows lose the same units and keep the same; null ids come first; all
 columns of the input stay, and one named removed is replaced. Offsets count code points of the original text. A line whose units are all gone goes with its line feed.
 """
 
@@ -19,6 +25,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +34,10 @@ from sparkloom.llm.common import materialize
 
 BREAKS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n\s*\n"), "sentence": re.compile(r"\n|[.!?]+(?=[ \t])[ \t]+")}
 Unit = tuple[int, int, int, bytes]  # start, stop, words, digest
+ANCHOR_WORDS, WINDOW = 10, 39
+REACH = ANCHOR_WORDS + WINDOW
+KNOWN_WORDS = 600_000
+_WORD = re.compile(r"\S+")
 
 
 def units(text: str, unit: str) -> list[Unit]:
@@ -55,6 +66,111 @@ def passages(found: list[Unit], again: set[int], min_words: int) -> list[tuple[i
     return out
 
 
+class WordHashes(dict):
+    """64-bit hashes of lower-case words, remembered as long as the worker lives."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > KNOWN_WORDS:
+            self.clear()
+        self[word] = h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return h
+
+    def of(self, text: str) -> np.ndarray:
+        words = text.lower().split()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+_known: list[WordHashes] = []
+
+
+def known_words() -> WordHashes:
+    if not _known:
+        _known.append(WordHashes())
+    return _known[0]
+
+
+def _slide(a: np.ndarray, n: int, least: bool) -> np.ndarray:
+    """The least (or greatest) of each n neighbours a[i:i + n]; what lies beyond the end doesn't count."""
+    best, rest = (np.minimum, np.uint64(2**64 - 1)) if least else (np.maximum, np.uint64(0))
+    a, width = np.concatenate([a, np.full(n, rest, np.uint64)]), 1
+    while width < n:
+        step = min(width, n - width)
+        a = best(a, np.concatenate([a[step:], np.full(step, rest, np.uint64)]))
+        width += step
+    return a[:-n]
+
+
+def anchors(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, word, digest) of the anchors of texts given by their words' hashes."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    gap = np.zeros(WINDOW + ANCHOR_WORDS, np.uint64)  # so that no window sees two texts
+    x = np.concatenate([part for t in texts for part in (t, gap)] or [gap])
+    text = np.repeat(np.arange(len(texts)), lengths + len(gap))
+    word = np.arange(len(text)) - np.repeat(np.cumsum(lengths + len(gap)) - lengths - len(gap), lengths + len(gap))
+    last = lengths[text] - ANCHOR_WORDS  # the last run of words in the text
+    x = x[: len(text)]
+    h = np.zeros(len(x), np.uint64)
+    for i in range(ANCHOR_WORDS):
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h[: len(x) - i] += x[i:]
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    run = word <= last
+    least = _slide(np.where(run, h, np.uint64(2**64 - 1)), WINDOW, True)
+    whole = run & ((word + WINDOW - 1 <= last) | (word == 0))
+    # A run is an anchor if it is the least of some window, which begins up to WINDOW - 1 words before it.
+    seen = _slide(np.where(whole, least, np.uint64(0))[::-1], WINDOW, False)[::-1]
+    at = np.flatnonzero(run & (seen == h))
+    return text[at], word[at], h[at].view(np.int64)
+
+
+def repeated(found: list[Unit], again: set[int], own: np.ndarray, held: list[tuple[int, bytes]]) -> np.ndarray:
+    """Which words are repeated: those of the units in `again`, and runs of ANCHOR_WORDS or more that are equal to other words held against them from a place on."""
+    out = np.zeros(len(own), bool)
+    at = 0
+    for i, (_, _, n, _) in enumerate(found):
+        out[at : at + n] = i in again
+        at += n
+    for start, other in held:
+        words = np.frombuffer(other, np.uint64)
+        words, start = words[max(0, -start) :], max(0, start)
+        mine = own[start : start + len(words)]
+        if out[start : start + len(words)].all():
+            continue
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], mine == words[: len(mine)], [False]]).astype(np.int8)))
+        for a, b in zip(edges[::2], edges[1::2]):
+            if b - a >= ANCHOR_WORDS:
+                out[start + a : start + b] = True
+    return out
+
+
+def stretches(text: str, found: list[Unit], again: set[int], marks: np.ndarray, min_words: int) -> list[tuple[int, int]]:
+    """Spans of the stretches of min_words or more marked words: the units in `again` each by itself, and what lies between them."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], marks, [False]]).astype(np.int8))).tolist()
+    out = []
+    if not any(b - a >= min_words for a, b in zip(edges[::2], edges[1::2])):
+        return out
+    places = [m.span() for m in _WORD.finditer(text)]
+    unit = [i for i, u in enumerate(found) for _ in range(u[2])]
+    for a, b in zip(edges[::2], edges[1::2]):
+        if b - a < min_words:
+            continue
+        i = a
+        while i < b:
+            if unit[i] in again:
+                out.append(found[unit[i]][:2])
+                i += found[unit[i]][2]
+            else:
+                j = i + 1
+                while j < b and unit[j] not in again:
+                    j += 1
+                inside = j < len(unit) and unit[j] == unit[j - 1]
+                out.append((places[i][0], places[j][0] if inside else found[unit[j - 1]][1]))
+                i = j
+    return out
+
+
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without these spans, and without the lines of which nothing is left."""
     gone = bytearray(len(text))
@@ -86,33 +202,95 @@ def occurrences(docs: DataFrame, unit: str, id_col: str, text_col: str) -> DataF
     return rows.mapInArrow(run, "id long, unit int, digest long")
 
 
+def anchor_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = known_words()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                text, word, digest = anchors([known.of(t) for t in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), pa.array(word, pa.int32()), pa.array(digest, pa.int64())], names=["id", "word", "digest"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "id long, word int, digest long")
+
+
+def held_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, start and words: the hashes of an earlier document's words around the anchors it shares, to be held against the words of id from start on."""
+    found = materialize(anchor_rows(docs, id_col, text_col), "substring-anchors")
+    ends = found.groupBy("digest").agg(F.min(F.struct("id", "word")).alias("first"), F.max(F.struct("id", "word")).alias("last"))
+    firsts = ends.where(~F.col("first.id").eqNullSafe(F.col("last.id"))).select("digest", F.col("first.id").alias("first_id"), F.col("first.word").alias("first_word"))
+    firsts = materialize(firsts, "substring-first-anchors")
+    hits = found.join(firsts, "digest").where(~F.col("id").eqNullSafe(F.col("first_id")))
+    pairs = materialize(hits.groupBy("id", "first_id").agg(F.collect_list(F.struct("word", "first_word")).alias("hits")), "substring-pairs")
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    wanted = pairs.select("first_id").distinct()
+    texts = texts.join(wanted, F.col("_id").eqNullSafe(F.col("first_id")), "left_semi")
+    rows = pairs.join(texts, F.col("_id").eqNullSafe(F.col("first_id"))).select("id", "hits", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = known_words()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                ids, starts, held = [], [], []
+                for doc, hits, text in zip(*(part.column(i).to_pylist() for i in range(3))):
+                    words, by_shift = known.of(text), {}
+                    for hit in hits:
+                        by_shift.setdefault(hit["word"] - hit["first_word"], []).append(hit["first_word"])
+                    for shift, places in by_shift.items():
+                        places.sort()
+                        a = places[0]
+                        for place, following in zip(places, [*places[1:], None]):
+                            if following is None or following - place > 2 * REACH:
+                                ids.append(doc)
+                                starts.append(max(0, a - REACH) + shift)
+                                held.append(words[max(0, a - REACH) : place + ANCHOR_WORDS + REACH].tobytes())
+                                a = following
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(held, pa.binary())], names=["id", "start", "words"])
+
+    return rows.mapInArrow(run, "id long, start int, words binary")
+
+
 def repeats(docs: DataFrame, unit: str, id_col: str, text_col: str) -> DataFrame:
-    """id and again, the numbers of its units that occurred before; only documents that have any."""
+    """id, again (the numbers of its units that occurred before) and held (see held_words; empty but for sentences); only documents that have any."""
     found = materialize(occurrences(docs, unit, id_col, text_col), "substring-units")
     firsts = found.groupBy("digest").agg(F.min(F.struct("id", "unit")).alias("first"), F.count("*").alias("n")).where("n > 1")
     firsts = materialize(firsts.select("digest", F.col("first.id").alias("first_id"), F.col("first.unit").alias("first_unit")), "substring-firsts")
     again = found.join(firsts, "digest").where(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("unit") == F.col("first_unit"))))
-    return again.groupBy("id").agg(F.collect_set("unit").alias("again"))
+    again = again.select("id", "unit")
+    if unit == "sentence":
+        held = held_words(docs, id_col, text_col).select("id", F.struct("start", "words").alias("held"))
+        again = again.unionByName(held, allowMissingColumns=True)
+    else:
+        again = again.withColumn("held", F.lit(None).cast("struct<start:int,words:binary>"))
+    return again.groupBy("id").agg(F.collect_set("unit").alias("again"), F.collect_list("held").alias("held"))
 
 
 def dedup(docs: DataFrame, unit: str = "sentence", min_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text cut, and removed: the spans of the original text that are gone (empty if none)."""
     from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-    again = repeats(docs, unit, id_col, text_col).withColumnsRenamed({"id": "_sub_id", "again": "_sub_again"})
+    again = repeats(docs, unit, id_col, text_col).withColumnsRenamed({"id": "_sub_id", "again": "_sub_again", "held": "_sub_held"})
     own = [f for f in docs.schema.fields if f.name != "removed"]
     at = [f.name for f in own].index(text_col)
     names = [*(f.name for f in own), "removed"]
-    joined = docs.join(again, F.col(id_col).cast("long").eqNullSafe(F.col("_sub_id")), "left").select(*[f.name for f in own], "_sub_again")
+    joined = docs.join(again, F.col(id_col).cast("long").eqNullSafe(F.col("_sub_id")), "left").select(*[f.name for f in own], "_sub_again", "_sub_held")
     empty = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = known_words()
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
                 texts, spans = part.column(at).to_pylist(), []
-                for k, numbers in enumerate(part.column(len(own)).to_pylist()):
-                    spans.append(passages(units(texts[k], unit), set(numbers), min_words) if numbers else [])
+                for k, (numbers, held) in enumerate(zip(part.column(len(own)).to_pylist(), part.column(len(own) + 1).to_pylist())):
+                    found = units(texts[k], unit) if numbers or held else []
+                    if held:
+                        marks = repeated(found, set(numbers), known.of(texts[k]), [(h["start"], h["words"]) for h in held])
+                        spans.append(stretches(texts[k], found, set(numbers), marks, min_words))
+                    else:
+                        spans.append(passages(found, set(numbers), min_words) if numbers else [])
                     if spans[-1]:
                         texts[k] = cut(texts[k], spans[-1])
                 columns = [*part.columns[:at], pa.array(texts, pa.string()), *part.columns[at + 1 : len(own)]]

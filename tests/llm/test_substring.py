@@ -3,7 +3,9 @@
 import random
 import re
 
-from sparkloom.llm.substring import cut, dedup, units
+import numpy as np
+
+from sparkloom.llm.substring import ANCHOR_WORDS, WINDOW, anchors, cut, dedup, units
 
 BREAK = {"line": r"\n", "paragraph": r"\n\s*\n"}
 
@@ -81,3 +83,37 @@ def test_offsets_count_code_points():
     (a, b) = units("ä🙂 b.\nC d! e", "line")
     assert "ä🙂 b.\nC d! e"[a[0] : a[1]] == "ä🙂 b." and "ä🙂 b.\nC d! e"[b[0] : b[1]] == "C d! e"
     assert [x[2] for x in units("One two. Three four!  Five", "sentence")] == [2, 2, 1]
+
+
+def test_passages_that_begin_and_end_inside_sentences_go(spark):
+    """Of 51 to 70 words, with long sentences, with commas alone and without any punctuation; documents without one stay as they are."""
+    rng = random.Random(11)
+    own = lambda n: " ".join(f"own{rng.randrange(10**9)}" for _ in range(n))
+    rows, want = [], {}
+    for k in range(30):
+        words = [f"p{k}x{i}" for i in range(rng.randrange(51, 71))]
+        if k % 3 == 0:
+            words[25] += "."
+        elif k % 3 == 1:
+            words = [w + "," * (i % 7 == 6) for i, w in enumerate(words)]
+        passage = " ".join(words)
+        for doc in (k, 1000 + k):
+            before, after = own(rng.randrange(5, 40)), own(rng.randrange(5, 40))
+            rows.append((doc, f"{before} {passage if doc < 1000 else passage.upper()} {after}."))
+            want[doc] = rows[-1][1] if doc < 1000 else f"{before} {after}."
+    rows += [(2000 + k, own(80) + ". " + own(30)) for k in range(20)]
+    want |= {i: t for i, t in rows if i >= 2000}
+    got = dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.text for r in got} == want
+    texts = dict(rows)
+    assert all(r.text == cut(texts[r.doc_id], [(s.start, s.stop) for s in r.removed]) for r in got)
+
+
+def test_any_shared_run_of_48_words_has_an_anchor_in_common():
+    rng = random.Random(5)
+    for _ in range(200):
+        shared = np.array([rng.getrandbits(64) for _ in range(ANCHOR_WORDS + WINDOW - 1)], np.uint64)
+        texts = [np.concatenate([np.array([rng.getrandbits(64) for _ in range(rng.randrange(60))], np.uint64), shared, np.array([rng.getrandbits(64) for _ in range(rng.randrange(60))], np.uint64)]) for _ in range(2)]
+        text, _, digest = anchors(texts)
+        assert set(digest[text == 0]) & set(digest[text == 1])
+    assert [len(x) for x in anchors([np.zeros(9, np.uint64)])] == [0, 0, 0]
