@@ -95,16 +95,43 @@ def assign(lengths: list[int], most: int, linear: float, quadratic: float) -> li
     """Pieces (document, start, length, sequence, offset) of documents with these lengths.
 
     Documents longer than a sequence are cut into full pieces and a rest. A piece goes to the
-    lowest-cost full sequence with room for it (among the few cheapest); if it fits none of them,
-    the cheapest is filled and the remainder goes on. Once the full ones are filled, the short
-    sequences take what is left, which are the shortest pieces.
+    lowest-cost full sequence with room for it, or to the lowest-cost short one if no full one has;
+    only if none has room, the cheapest (full ones before short ones) is filled and the remainder goes on.
+    The sequences with each number of tokens left form a heap by cost, and a segment tree over these
+    numbers holds the least of each range, so the choice is exact.
     """
     caps = capacities(sum(lengths), most)
     used = [0] * len(caps)
     out = []
-    full = [(0.0, s) for s, c in enumerate(caps) if c == most]
-    short = [s for s, c in reversed(list(enumerate(caps))) if c != most]  # smallest last in, largest out
-    short.reverse()
+    none = (2, 0.0, 0)
+    by_room: list[list[tuple[int, float, int]]] = [[] for _ in range(most + 1)]  # (short, cost, sequence)
+    leaves = 1 << most.bit_length()
+    tree = [none] * (2 * leaves)
+
+    def update(room: int) -> None:
+        i = leaves + room
+        tree[i] = by_room[room][0] if by_room[room] else none
+        while i > 1:
+            i >>= 1
+            least = min(tree[2 * i], tree[2 * i + 1])
+            if tree[i] == least:
+                break
+            tree[i] = least
+
+    def cheapest(room: int) -> tuple[int, float, int]:
+        """The least of the sequences with at least so much room."""
+        i = leaves + room
+        least = tree[i]
+        while i > 1:
+            if not i & 1 and tree[i + 1] < least:
+                least = tree[i + 1]
+            i >>= 1
+        return least
+
+    for s, c in enumerate(caps):
+        heapq.heappush(by_room[c], (int(c != most), 0.0, s))
+    for c in set(caps):
+        update(c)
     pieces = []
     for d, n in enumerate(lengths):
         for at in range(0, n, most):
@@ -112,28 +139,17 @@ def assign(lengths: list[int], most: int, linear: float, quadratic: float) -> li
     pieces.sort(key=lambda p: (-p[0], p[1], p[2]))
     for n, d, at in pieces:
         while n:
-            if full:
-                aside = []
-                chosen = None
-                while full and len(aside) < 8:
-                    cost, s = heapq.heappop(full)
-                    if most - used[s] >= n:
-                        chosen = (cost, s)
-                        break
-                    aside.append((cost, s))
-                if chosen is None:
-                    chosen = aside.pop(0)
-                for x in aside:
-                    heapq.heappush(full, x)
-                cost, s = chosen
-                put = min(n, most - used[s])
-                if used[s] + put < most:
-                    heapq.heappush(full, (cost + linear * put + quadratic * put * put, s))
-            else:
-                s = short[0]
-                put = min(n, caps[s] - used[s])
-                if used[s] + put == caps[s]:
-                    short.pop(0)
+            chosen = cheapest(n)
+            if chosen == none:
+                chosen = cheapest(1)
+            short, cost, s = chosen
+            room = caps[s] - used[s]
+            put = min(n, room)
+            heapq.heappop(by_room[room])
+            update(room)
+            if put < room:
+                heapq.heappush(by_room[room - put], (short, cost + linear * put + quadratic * put * put, s))
+                update(room - put)
             out.append((d, at, put, s, used[s]))
             used[s] += put
             at += put

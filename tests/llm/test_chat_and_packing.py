@@ -127,3 +127,21 @@ def test_packing_balances_cost_and_repeats(spark):
         used[s] += n
     assert sum(used.values()) == sum(lengths) and max(used.values()) <= 4096
     assert zlib.crc32(b"") == 0
+
+
+def test_a_piece_is_cut_only_if_no_sequence_has_room_and_goes_to_the_cheapest():
+    rng = random.Random(9)
+    most = 4096
+    for lengths in ([rng.choice((2500, 1900, 1300, 700, 90)) for _ in range(900)], [rng.randrange(1, 3000) for _ in range(1500)], [1, 1, 9000]):
+        caps = packing.capacities(sum(lengths), most)
+        used, cost = [0] * len(caps), [0.0] * len(caps)
+        left = {}
+        for d, at, n, s, offset in packing.assign(lengths, most, 1.0, 1 / 4096):
+            piece = (d, at // most)
+            want = left.get(piece, min(most, lengths[d] - at // most * most))
+            room = [i for i in range(len(caps)) if caps[i] - used[i] >= want] or [i for i in range(len(caps)) if caps[i] > used[i]]
+            assert s == min(room, key=lambda i: (caps[i] != most, cost[i], i)) and n == min(want, caps[s] - used[s]) and offset == used[s]
+            left[piece] = want - n
+            used[s] += n
+            cost[s] += n + n * n / 4096
+        assert used == caps and not any(left.values())
