@@ -68,7 +68,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.substring import dedup
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup(docs).select("doc_id", F.size("removed").cast("long").alias("n_removed"), "removed", "text")
+    return dedup(docs, unit="section").select("doc_id", F.size("removed").cast("long").alias("n_removed"), "removed", "text")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

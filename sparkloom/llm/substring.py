@@ -1,69 +1,46 @@
-"""Substring dedup by hashing lines, paragraphs or the sentences of lines.
+"""Substring dedup by hashing lines, paragraphs or the sections of lines.
 
-Units are normalised (lower case, runs of white space as one blank) and hashed. Digests are grouped over all documents with the first
-occurrence by (document, unit number) and the number of occurrences; map-side sums mean that a line in a third of all documents costs a
-row per task. The digests that occur again form a table of their own, joined back to the occurrences: Spark broadcasts it if it is small
-and else splits skewed keys. In each document, stretches of neighbouring units that all occurred before are removed if they have min_words
-words together, so a passage is found inside a longer line (with unit="sentence") and a short line that recurs by chance stays.
+Units are normalised (lower case, runs of white space as one blank) and hashed; the digests are grouped over all documents, the
+occurrence in the document of least rank stays and the others go where neighbouring ones make up min_words words. Original offsets are kept.
 
-With unit="sentence" a passage may also begin and end inside sentences, or have no full stop. Of every WINDOW neighbouring runs of ANCHOR_WORDS words
-the one with the least hash is an anchor, so two documents that share ANCHOR_WORDS + WINDOW - 1 (48) words in a row share an anchor, wherever
-the words stand. From each anchor the words of its first occurrence are held against the document's word by word, REACH words beyond it on either side
-(further on there is the next anchor), and runs of ANCHOR_WORDS or more equal words count as repeated, as the units do. An anchor is held against
-its first occurrence alone: where that one is another passage, only what both have in common is found through this anchor.
+unit="line" and unit="paragraph" take whole lines and paragraphs, so a passage inside a longer line is not seen. unit="section" cuts each
+line further, where its words say so: a section begins at a line's first word and at each word whose hash (with the word before it) is the least
+within REACH words of the line on either side, and after MOST_WORDS words. So the same words are cut in the same places wherever they stand,
+in the middle of sentences and without punctuation. What is hashed then is each section together with the next one of its document: single
+sections that recur by chance remove nothing, and a line that recurs is covered from its first word to its last. Of a repeated passage, up to
+a section at either end stays, because it hangs together with other words there. Sections have 9 words on average.
 
-A digest has 64 bits. A false match alone removes nothing unless its own unit or its neighbours make up min_words repeated words.
+Scale: a row per distinct digest of a document. Grouping takes the least and the greatest rank by digest, with map-side sums, so a line in a third of all documents is a row
+per task; the digests that several documents have are a table of their own, joined back to the occurrences: Spark broadcasts it if it is small and
+else splits skewed keys. No group of occurrences is ever gathered; only the unit numbers of one document are.
 
-Defined cases: a null text stays null and an empty one empty; a unit repeated inside one document is removed after its first occurrence
-too (anchors look into other documents only); rows with the same id count as one document, so repeated rows lose the same units and keep the same; null ids come first; all
-columns of the input stay, and one named removed is replaced. Offsets count code points of the original text. A line whose units are all gone goes with its line feed.
+A digest has 96 bits. Rows are told apart by id and a hash of the text, so rows with one id and different texts never lose each other's units.
+
+Defined cases: a null text stays null and an empty one empty; rank is the id; a null id ranks by its text, before the least ids in use; rows with the same id and text count as one
+document and lose the same; rows with the same id and other texts have the same rank and keep what they share; a unit repeated inside one document goes after its
+first occurrence (sections: where the two don't overlap); all columns of the input stay, and one named removed is replaced. Offsets count code points of the original text.
+A line of which nothing is left goes with its line feed. Text is lost nowhere: the first occurrence of each unit is never removed for another document's sake.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from sparkloom.llm.common import materialize
 
-BREAKS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n\s*\n"), "sentence": re.compile(r"\n|[.!?]+(?=[ \t])[ \t]+")}
-Unit = tuple[int, int, int, bytes]  # start, stop, words, digest
-ANCHOR_WORDS, WINDOW = 10, 39
-REACH = ANCHOR_WORDS + WINDOW
+BREAKS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n\s*\n"), "section": re.compile(r"\n")}
+REACH, MOST_WORDS = 4, 24
 KNOWN_WORDS = 600_000
 _WORD = re.compile(r"\S+")
-
-
-def units(text: str, unit: str) -> list[Unit]:
-    """The units with a word. A sentence ends with its full stop and the blanks after it."""
-    out, start = [], 0
-    bounds = [(m.start(), m.end()) if m[0].isspace() else (m.end(), m.end()) for m in BREAKS[unit].finditer(text)]
-    for stop, following in (*bounds, (len(text), len(text))):
-        words = text[start:stop].lower().split()
-        if words:
-            out.append((start, stop, len(words), hashlib.blake2b(" ".join(words).encode(), digest_size=8).digest()))
-        start = following
-    return out
-
-
-def passages(found: list[Unit], again: set[int], min_words: int) -> list[tuple[int, int]]:
-    """Spans of the units in `again` whose stretch of neighbours has min_words words."""
-    out, run, words = [], [], 0
-    for i in range(len(found) + 1):
-        if i in again:
-            run.append(i)
-            words += found[i][2]
-        elif run:
-            if words >= min_words:
-                out += [found[k][:2] for k in run]
-            run, words = [], 0
-    return out
+_ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_MOST = np.uint64(2**64 - 1)
 
 
 class WordHashes(dict):
@@ -72,102 +49,111 @@ class WordHashes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > KNOWN_WORDS:
             self.clear()
-        self[word] = h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        self[word] = h = xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h
 
-    def of(self, text: str) -> np.ndarray:
-        words = text.lower().split()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-_known: list[WordHashes] = []
-
-
-def known_words() -> WordHashes:
-    if not _known:
-        _known.append(WordHashes())
-    return _known[0]
-
-
-def _slide(a: np.ndarray, n: int, least: bool) -> np.ndarray:
-    """The least (or greatest) of each n neighbours a[i:i + n]; what lies beyond the end doesn't count."""
-    best, rest = (np.minimum, np.uint64(2**64 - 1)) if least else (np.maximum, np.uint64(0))
-    a, width = np.concatenate([a, np.full(n, rest, np.uint64)]), 1
-    while width < n:
-        step = min(width, n - width)
-        a = best(a, np.concatenate([a[step:], np.full(step, rest, np.uint64)]))
-        width += step
-    return a[:-n]
-
-
-def anchors(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, word, digest) of the anchors of texts given by their words' hashes."""
-    lengths = np.array([len(t) for t in texts], np.int64)
-    gap = np.zeros(WINDOW + ANCHOR_WORDS, np.uint64)  # so that no window sees two texts
-    x = np.concatenate([part for t in texts for part in (t, gap)] or [gap])
-    text = np.repeat(np.arange(len(texts)), lengths + len(gap))
-    word = np.arange(len(text)) - np.repeat(np.cumsum(lengths + len(gap)) - lengths - len(gap), lengths + len(gap))
-    last = lengths[text] - ANCHOR_WORDS  # the last run of words in the text
-    x = x[: len(text)]
-    h = np.zeros(len(x), np.uint64)
-    for i in range(ANCHOR_WORDS):
-        h *= np.uint64(0x9E3779B97F4A7C15)
-        h[: len(x) - i] += x[i:]
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(29)
-    run = word <= last
-    least = _slide(np.where(run, h, np.uint64(2**64 - 1)), WINDOW, True)
-    whole = run & ((word + WINDOW - 1 <= last) | (word == 0))
-    # A run is an anchor if it is the least of some window, which begins up to WINDOW - 1 words before it.
-    seen = _slide(np.where(whole, least, np.uint64(0))[::-1], WINDOW, False)[::-1]
-    at = np.flatnonzero(run & (seen == h))
-    return text[at], word[at], h[at].view(np.int64)
-
-
-def repeated(found: list[Unit], again: set[int], own: np.ndarray, held: list[tuple[int, bytes]]) -> np.ndarray:
-    """Which words are repeated: those of the units in `again`, and runs of ANCHOR_WORDS or more that are equal to other words held against them from a place on."""
-    out = np.zeros(len(own), bool)
-    at = 0
-    for i, (_, _, n, _) in enumerate(found):
-        out[at : at + n] = i in again
-        at += n
-    for start, other in held:
-        words = np.frombuffer(other, np.uint64)
-        words, start = words[max(0, -start) :], max(0, start)
-        mine = own[start : start + len(words)]
-        if out[start : start + len(words)].all():
-            continue
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], mine == words[: len(mine)], [False]]).astype(np.int8)))
-        for a, b in zip(edges[::2], edges[1::2]):
-            if b - a >= ANCHOR_WORDS:
-                out[start + a : start + b] = True
-    return out
-
 
-def stretches(text: str, found: list[Unit], again: set[int], marks: np.ndarray, min_words: int) -> list[tuple[int, int]]:
-    """Spans of the stretches of min_words or more marked words: the units in `again` each by itself, and what lies between them."""
+_known = WordHashes()
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _before(first: np.ndarray) -> np.ndarray:
+    """For a mask of beginnings: how many elements each stands behind its beginning."""
+    at = np.arange(len(first))
+    return at - np.maximum.accumulate(np.where(first, at, 0))
+
+
+def _sums(words: np.ndarray, begins: np.ndarray, lane: int) -> np.ndarray:
+    """A hash of each stretch of words, by the places where they begin."""
+    first = np.zeros(len(words), bool)
+    first[begins] = True
+    behind = _before(first)
+    powers = np.full(int(behind.max(initial=0)) + 1, _ODD[lane])
+    powers[0] = 1
+    x = words if lane == 0 else _mixed(words ^ _ODD[1])
+    return _mixed(np.add.reduceat(x * np.cumprod(powers)[behind], begins)) if len(begins) else np.zeros(0, np.uint64)
+
+
+def _cuts(words: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where the sections of lines begin. begins: the lines' first words."""
+    n = len(words)
+    first = np.zeros(n, bool)
+    first[begins] = True
+    c = words * _ODD[0]
+    c[1:] += np.where(first[1:], np.uint64(0), words[:-1])
+    c = _mixed(c)
+    at = np.arange(n) + REACH * np.cumsum(first)  # lines stand apart, so that no window sees two
+    wide = np.full(n + REACH * (len(begins) + 1), _MOST)
+    wide[at] = c
+    least = first.copy()
+    inside = np.ones(n, bool)
+    for k in range(1, REACH + 1):
+        inside &= (c < wide[at - k]) & (c <= wide[at + k])
+    least |= inside
+    return np.flatnonzero(least | (_before(least) % MOST_WORDS == 0))
+
+
+class Units:
+    """The units of some texts: begins and words of each (begins by the word in all texts), the text each is in, and what is hashed: two lanes for each key, the
+    first unit it covers and how many it covers."""
+
+    def __init__(self, texts: list[str], unit: str):
+        parts = [[p.split() for p in BREAKS[unit].split(t.lower())] for t in texts]
+        parts = [[p for p in ps if p] for ps in parts]
+        flat = [w for ps in parts for p in ps for w in p]
+        words = np.fromiter(map(_known.__getitem__, flat), np.uint64, len(flat))
+        sizes = np.array([len(p) for ps in parts for p in ps], np.int64)
+        self.text_begins = np.concatenate([[0], np.cumsum([sum(map(len, ps)) for ps in parts])]).astype(np.int64)
+        self.begins = (np.cumsum(sizes) - sizes).astype(np.int64)
+        if unit == "section" and len(words):
+            self.begins = _cuts(words, self.begins)
+        self.sizes = np.diff(np.append(self.begins, len(words)))
+        self.text = np.searchsorted(self.text_begins, self.begins, side="right") - 1
+        # Texts without a word begin where the next one does.
+        lanes = [_sums(words, self.begins, lane) for lane in (0, 1)]
+        if unit == "section":
+            n = len(self.begins)
+            follows = np.zeros(n, bool)
+            follows[: max(0, n - 1)] = self.text[1:] == self.text[:-1]
+            alone = ~follows & ~np.concatenate([[False], follows[:-1]])[:n]
+            self.key_unit = np.flatnonzero(follows | alone)
+            self.covers = np.where(follows, 2, 1)[self.key_unit]
+            second = [np.where(follows, np.append(x[1:], np.uint64(0))[:n], np.uint64(0)) for x in lanes]
+            lanes = [_mixed(x * odd + y)[self.key_unit] for x, y, odd in zip(lanes, second, reversed(_ODD))]
+        else:
+            self.key_unit, self.covers = np.arange(len(self.begins)), np.ones(len(self.begins), np.int64)
+        self.digests = lanes[0].view(np.int64), (lanes[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        self.key_text = self.text[self.key_unit]
+
+    def firsts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The keys that occur first in their text, and for each key the first one alike in its text."""
+        alike = _mixed(self.digests[0].view(np.uint64) + self.digests[1].view(np.uint32) * _ODD[1]) + self.key_text.astype(np.uint64) * _ODD[0]
+        order = np.argsort(alike, kind="stable")
+        same = np.zeros(len(order), bool)
+        same[1:] = alike[order[1:]] == alike[order[:-1]]
+        origin = np.empty(len(order), np.int64)
+        origin[order] = order[np.arange(len(order)) - _before(~same)]
+        return np.flatnonzero(origin == np.arange(len(order))), origin
+
+
+def stretches(text: str, marks: np.ndarray, min_words: int) -> list[tuple[int, int]]:
+    """Spans of the stretches of min_words or more marked words, each up to the next word in the same line."""
     edges = np.flatnonzero(np.diff(np.concatenate([[False], marks, [False]]).astype(np.int8))).tolist()
-    out = []
-    if not any(b - a >= min_words for a, b in zip(edges[::2], edges[1::2])):
-        return out
+    long = [(a, b) for a, b in zip(edges[::2], edges[1::2]) if b - a >= min_words]
+    if not long:
+        return []
     places = [m.span() for m in _WORD.finditer(text)]
-    unit = [i for i, u in enumerate(found) for _ in range(u[2])]
-    for a, b in zip(edges[::2], edges[1::2]):
-        if b - a < min_words:
-            continue
-        i = a
-        while i < b:
-            if unit[i] in again:
-                out.append(found[unit[i]][:2])
-                i += found[unit[i]][2]
-            else:
-                j = i + 1
-                while j < b and unit[j] not in again:
-                    j += 1
-                inside = j < len(unit) and unit[j] == unit[j - 1]
-                out.append((places[i][0], places[j][0] if inside else found[unit[j - 1]][1]))
-                i = j
+    out = []
+    for a, b in long:
+        stop = places[b - 1][1]
+        if b < len(places) and "\n" not in text[stop : places[b][0]]:
+            stop = places[b][0]
+        out.append((places[a][0], stop))
     return out
 
 
@@ -187,114 +173,81 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "\n".join(kept)
 
 
-def occurrences(docs: DataFrame, unit: str, id_col: str, text_col: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                rows = [
-                    (doc, n, int.from_bytes(u[3], "little", signed=True)) for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for n, u in enumerate(units(text, unit))
-                ]
-                columns = list(zip(*rows)) or [()] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64()))], names=["id", "unit", "digest"])
+def row_key(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """Rank and text hash, which together tell rows apart. A null id gets a rank by its text."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62)) - F.pmod(F.xxhash64(text), F.lit(1 << 61))), F.hash(text)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "id long, unit int, digest long")
 
+def occurrences(docs: DataFrame, unit: str, id_col: str, text_col: str) -> DataFrame:
+    """A row per digest and document: high, low (the digest), rank, row (the text's hash) and key (the number of its first unit)."""
+    names = ["high", "low", "rank", "row", "key"]
 
-def anchor_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = known_words()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                text, word, digest = anchors([known.of(t) for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), pa.array(word, pa.int32()), pa.array(digest, pa.int64())], names=["id", "word", "digest"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "id long, word int, digest long")
-
-
-def held_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, start and words: the hashes of an earlier document's words around the anchors it shares, to be held against the words of id from start on."""
-    found = materialize(anchor_rows(docs, id_col, text_col), "substring-anchors")
-    ends = found.groupBy("digest").agg(F.min(F.struct("id", "word")).alias("first"), F.max(F.struct("id", "word")).alias("last"))
-    firsts = ends.where(~F.col("first.id").eqNullSafe(F.col("last.id"))).select("digest", F.col("first.id").alias("first_id"), F.col("first.word").alias("first_word"))
-    firsts = materialize(firsts, "substring-first-anchors")
-    hits = found.join(firsts, "digest").where(~F.col("id").eqNullSafe(F.col("first_id")))
-    pairs = materialize(hits.groupBy("id", "first_id").agg(F.collect_list(F.struct("word", "first_word")).alias("hits")), "substring-pairs")
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    wanted = pairs.select("first_id").distinct()
-    texts = texts.join(wanted, F.col("_id").eqNullSafe(F.col("first_id")), "left_semi")
-    rows = pairs.join(texts, F.col("_id").eqNullSafe(F.col("first_id"))).select("id", "hits", "text")
+                found = Units(part.column(2).to_pylist(), unit)
+                first, _ = found.firsts()
+                of = pa.array(found.key_text[first])
+                number = first - np.searchsorted(found.key_text, found.key_text[first])
+                high, low = (pa.array(d[first]) for d in found.digests)
+                yield pa.RecordBatch.from_arrays([high, low, part.column(0).take(of), part.column(1).take(of), pa.array(number.astype(np.int32))], names=names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = known_words()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids, starts, held = [], [], []
-                for doc, hits, text in zip(*(part.column(i).to_pylist() for i in range(3))):
-                    words, by_shift = known.of(text), {}
-                    for hit in hits:
-                        by_shift.setdefault(hit["word"] - hit["first_word"], []).append(hit["first_word"])
-                    for shift, places in by_shift.items():
-                        places.sort()
-                        a = places[0]
-                        for place, following in zip(places, [*places[1:], None]):
-                            if following is None or following - place > 2 * REACH:
-                                ids.append(doc)
-                                starts.append(max(0, a - REACH) + shift)
-                                held.append(words[max(0, a - REACH) : place + ANCHOR_WORDS + REACH].tobytes())
-                                a = following
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(held, pa.binary())], names=["id", "start", "words"])
-
-    return rows.mapInArrow(run, "id long, start int, words binary")
+    rank, row = row_key(id_col, text_col)
+    rows = docs.select(rank.alias("rank"), row.alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "high long, low int, rank long, row int, key int")
 
 
 def repeats(docs: DataFrame, unit: str, id_col: str, text_col: str) -> DataFrame:
-    """id, again (the numbers of its units that occurred before) and held (see held_words; empty but for sentences); only documents that have any."""
+    """rank, row and again (the numbers of the document's keys that a document of lower rank has); only documents that have any."""
     found = materialize(occurrences(docs, unit, id_col, text_col), "substring-units")
-    firsts = found.groupBy("digest").agg(F.min(F.struct("id", "unit")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    firsts = materialize(firsts.select("digest", F.col("first.id").alias("first_id"), F.col("first.unit").alias("first_unit")), "substring-firsts")
-    again = found.join(firsts, "digest").where(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("unit") == F.col("first_unit"))))
-    again = again.select("id", "unit")
-    if unit == "sentence":
-        held = held_words(docs, id_col, text_col).select("id", F.struct("start", "words").alias("held"))
-        again = again.unionByName(held, allowMissingColumns=True)
-    else:
-        again = again.withColumn("held", F.lit(None).cast("struct<start:int,words:binary>"))
-    return again.groupBy("id").agg(F.collect_set("unit").alias("again"), F.collect_list("held").alias("held"))
-
-
-def dedup(docs: DataFrame, unit: str = "sentence", min_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    ranks = found.groupBy("high", "low").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first < last")
+    shared = materialize(ranks.select("high", "low", "first"), "substring-shared")
+    return found.join(shared, ["high", "low"]).where("rank > first").groupBy("rank", "row").agg(F.collect_set("key").alias("again"))
+
+
+def dedup(docs: DataFrame, unit: str = "line", min_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text cut, and removed: the spans of the original text that are gone (empty if none)."""
     from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-    again = repeats(docs, unit, id_col, text_col).withColumnsRenamed({"id": "_sub_id", "again": "_sub_again", "held": "_sub_held"})
+    again = repeats(docs, unit, id_col, text_col).withColumnsRenamed({"rank": "_sub_rank", "row": "_sub_row", "again": "_sub_again"})
     own = [f for f in docs.schema.fields if f.name != "removed"]
     at = [f.name for f in own].index(text_col)
     names = [*(f.name for f in own), "removed"]
-    joined = docs.join(again, F.col(id_col).cast("long").eqNullSafe(F.col("_sub_id")), "left").select(*[f.name for f in own], "_sub_again", "_sub_held")
-    empty = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+    rank, row = row_key(id_col, text_col)
+    joined = docs.withColumns({"_sub_own_rank": rank, "_sub_own_row": row})
+    joined = joined.join(again, (F.col("_sub_own_rank") == F.col("_sub_rank")) & (F.col("_sub_own_row") == F.col("_sub_row")), "left").select(*[f.name for f in own], "_sub_again")
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+    step = 2 if unit == "section" else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = known_words()
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
-                texts, spans = part.column(at).to_pylist(), []
-                for k, (numbers, held) in enumerate(zip(part.column(len(own)).to_pylist(), part.column(len(own) + 1).to_pylist())):
-                    found = units(texts[k], unit) if numbers or held else []
-                    if held:
-                        marks = repeated(found, set(numbers), known.of(texts[k]), [(h["start"], h["words"]) for h in held])
-                        spans.append(stretches(texts[k], found, set(numbers), marks, min_words))
-                    else:
-                        spans.append(passages(found, set(numbers), min_words) if numbers else [])
-                    if spans[-1]:
-                        texts[k] = cut(texts[k], spans[-1])
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                texts, again = part.column(at).to_pylist(), part.column(len(own)).to_pylist()
+                found = Units([t or "" for t in texts], unit)
+                _, origin = found.firsts()
+                marked = np.zeros(len(found.begins), bool)
+                local = found.key_unit - found.key_unit[origin] >= step if len(origin) else np.zeros(0, bool)
+                begin = np.searchsorted(found.key_text, np.arange(len(texts)))
+                hit = np.flatnonzero(local)
+                far = [begin[k] + np.array(numbers) for k, numbers in enumerate(again) if numbers]
+                # A key alike in the same text goes where its first one does.
+                there = np.zeros(len(origin), bool)
+                if far:
+                    there[np.concatenate(far)] = True
+                hit = np.union1d(hit, np.flatnonzero(there[origin])) if len(origin) else hit
+                marked[found.key_unit[hit]] = True
+                marked[found.key_unit[hit] + found.covers[hit] - 1] = True
+                words = np.repeat(marked, found.sizes)
+                spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+                for k in np.unique(found.text[marked]).tolist():
+                    spans[k] = stretches(texts[k], words[found.text_begins[k] : found.text_begins[k + 1]], min_words)
+                    if spans[k]:
+                        texts[k] = cut(texts[k], spans[k])
                 columns = [*part.columns[:at], pa.array(texts, pa.string()), *part.columns[at + 1 : len(own)]]
-                removed = pa.array([[{"start": a, "stop": b} for a, b in s] for s in spans], empty)
+                removed = pa.array([[{"start": a, "stop": b} for a, b in s] for s in spans], kind)
                 yield pa.RecordBatch.from_arrays([*columns, removed], names=names)
 
     span = StructType([StructField("start", IntegerType()), StructField("stop", IntegerType())])
