@@ -36,7 +36,7 @@ def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = dedup(docs, unit="sentence", min_words=20).select(docs.columns)
+    cut = dedup(docs, unit="section", min_words=20).select(docs.columns)
     return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cut
 
 
