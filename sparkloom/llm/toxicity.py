@@ -1,19 +1,21 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-A lexer gives each word a symbol: insult (learned words and word beginnings, with weights), threat, target, negation,
-reported speech, clause end or other. Three transducers rewrite the symbols: negation marks insults and threats
-that follow a negation within a few words, reported speech marks those after a reporting word in the same clause,
-and target marks those near an addressed person. They are composed once into a single machine; its run over a
-document emits, for each insult or threat, the pattern it stands in. The weights of the matches are summed by pattern
-and a logistic model, fitted on the labelled documents' sums, turns them into a score. Isolated words are thus not
-scored: the same word counts differently when aimed, negated or quoted.
+Five transducers are composed. The insult transducer reads words and has an arc for each word of the learned words, word beginnings and phrases; where one ends
+it writes an insult with its weight. The threat transducer turns a verb of harm into a threat where somebody is addressed or a future is announced
+shortly before. The target, negation and reported-speech transducers mark insults and threats that follow an addressed person or a negation within a few words, or
+a reporting word in their clause. Arcs of the composition are made when they are first met. A second machine, run from a clause's end to its beginning, marks what an addressed person
+follows ("we will hurt them").
+
+What is scored are clauses, not words: each clause (up to a full stop, colon, semicolon or line feed) with an insult or threat counts once, with its strongest match, by the pattern that the grammar found for it:
+plain, aimed, negated or reported. A threat that is not aimed at anybody counts for nothing, nor does a clause whose matches are all negated or reported unless labels say otherwise. A logistic
+model turns the sums of clause weights by pattern into a score. It is fitted on labelled documents and starts from PRIOR, so a pattern that no label speaks of keeps its prior weight.
 
 The insults are learned: of at most train_rows labelled documents (by a hash of the id, held-out ones never), equal texts
-counted once, the share of toxic and other documents with each word or word beginning gives its log odds. The lexicon is
-bounded by lexicon_size and is the only thing that goes to the executors.
+counted once, the share of toxic and other documents with each word or word beginning gives its log odds; a word and its beginnings in the same documents are one entry. The lexicon is
+bounded by lexicon_size and is the only thing that goes to the executors; the driver holds 3 * lexicon_size terms with the toxic ones of train_rows documents at most.
 
-Defined cases: null and empty texts have no matches and get the model's base score; without toxic labels nothing matches and
-every score is the base rate; repeated rows score alike; texts are read whole; own columns named score or predicted are replaced.
+Defined cases: null and empty texts have no matches and get the model's base score; without toxic labels no insult is known and
+scores follow the threats and the base rate; repeated rows score alike; texts are read whole; own columns named score or predicted are replaced.
 """
 
 from __future__ import annotations
@@ -30,130 +32,168 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import materialize
 
 # Fixed word classes in English, German, French and Spanish.
-THREAT = "kill hurt burn destroy attack punish shoot stab beat töten schlagen vernichten verletzen tuer frapper brûler détruire matar golpear quemar destruir"
-TARGET = "you your yours he she him her they them their du dich dir euch ihr ihnen tu toi vous vos votre ils elles tú usted ustedes ellos ellas vosotros"
-NEGATION = "not no never none neither nor without cannot nicht kein keine keinen nie niemals ohne ne pas jamais aucun sans nunca jamás ningún sin"
-REPORTED = "said says told called claimed wrote quoted according sagte sagt laut nannte schrieb dit disait selon appelé écrit dijo dice según llamó escribió"
-
-INSULT, HARM, AIM, NOT, SAID, END, OTHER = range(7)
-#: What the composed machine emits for an insult or threat.
+HARM_WORDS = "kill hurt burn destroy attack punish shoot stab beat strangle töten schlagen vernichten verletzen erschießen tuer frapper brûler détruire matar golpear quemar destruir"
+FUTURE_WORDS = "will gonna going shall must should deserve deserves ll werde werden wird sollte sollten vais allons va doit devrait voy vamos va debe debería"
+TARGET_WORDS = "you your yours he she him her they them their du dich dir euch ihr ihnen sie tu toi te vous vos votre ils elles tú te usted ustedes ellos ellas vosotros"
+NEGATION_WORDS = "not no never none neither nor without cannot nicht kein keine keinen nie niemals ohne ne pas jamais aucun sans nunca jamás ningún sin"
+REPORTED_WORDS = "said says told called claimed wrote quoted according sagte sagt laut nannte schrieb dit disait selon appelé écrit dijo dice según llamó escribió"
+
+INSULT, HARM, AIM, NOT, SAID, END, OTHER, FUTURE, THREAT = range(9)
+#: What the composed machine emits for an insult or threat: MARKED + pattern, for threats 4 more.
 PATTERNS = ("plain", "aimed", "negated", "reported")
 PLAIN, AIMED, NEGATED, QUOTED = range(4)
-MARKED = 10  # an insult in pattern p is MARKED + p, a threat MARKED + 4 + p
-NEGATION_REACH, TARGET_REACH = 3, 4
+MARKED = 10
+NEGATION_REACH, TARGET_REACH, THREAT_REACH = 3, 4, 4
 PREFIXES = (8, 7, 6, 5, 4)
+#: Of plain, aimed, negated and reported insults, aimed threats, and the strongest clause that is neither negated nor reported.
+PRIOR = (1.0, 1.5, 0.0, 0.0, 1.5, 0.5)
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n]")
 
-Machine = dict[tuple, tuple]  # (state, symbol) -> (state, symbol)
+State = tuple | int
+
+
+def _mark(symbol: int, pattern: int) -> int:
+    """The symbol in this pattern, unless a stronger one is on it already."""
+    base, now = (symbol, PLAIN) if symbol < MARKED else ((INSULT, THREAT)[(symbol - MARKED) // 4], (symbol - MARKED) % 4)
+    return MARKED + 4 * (base == THREAT) + max(now, pattern)
 
 
 def _hot(symbol: int) -> bool:
-    return symbol in (INSULT, HARM) or symbol >= MARKED
+    return symbol in (INSULT, THREAT) or symbol >= MARKED
 
 
-def _mark(symbol: int, pattern: int) -> int:
-    """The symbol in this pattern, unless a stronger one is on it already."""
-    base, now = (symbol, PLAIN) if symbol < MARKED else ((INSULT, HARM)[(symbol - MARKED) // 4], (symbol - MARKED) % 4)
-    return MARKED + 4 * (base == HARM) + max(now, pattern)
+class Machine:
+    """A transducer: step gives for a state and a symbol the next state and the symbol written. State 0 starts."""
 
+    start: State = 0
 
-def _symbols() -> list[int]:
-    return [*range(7), *range(MARKED, MARKED + 8)]
+    def step(self, state: State, symbol: int) -> tuple[State, int]:
+        raise NotImplementedError
 
 
-def target_machine() -> Machine:
-    """State: words left in which a match counts as aimed."""
-    out: Machine = {}
-    for left in range(TARGET_REACH + 1):
-        for s in _symbols():
-            to = TARGET_REACH if s == AIM else 0 if s == END else max(0, left - 1)
-            out[left, s] = (to, _mark(s, AIMED if left else PLAIN) if _hot(s) else s)
-    return out
+class Within(Machine):
+    """Marks what follows one of `after` within reach words (0: anywhere) of the same clause. The state is the number of words left."""
 
+    def __init__(self, after: tuple[int, ...], pattern: int, reach: int):
+        self.after, self.pattern, self.reach = after, pattern, reach
 
-def negation_machine() -> Machine:
-    out: Machine = {}
-    for left in range(NEGATION_REACH + 1):
-        for s in _symbols():
-            to = NEGATION_REACH if s == NOT else 0 if s == END else max(0, left - 1)
-            out[left, s] = (to, _mark(s, NEGATED) if _hot(s) and left else s)
-    return out
+    def step(self, state: int, symbol: int) -> tuple[int, int]:
+        to = (self.reach or 1) if symbol in self.after else 0 if symbol == END else max(0, state - (self.reach > 0))
+        return to, _mark(symbol, self.pattern if state else PLAIN) if _hot(symbol) else symbol
 
 
-def reported_machine() -> Machine:
-    """State: whether the clause has a reporting word so far."""
-    out: Machine = {}
-    for said in (0, 1):
-        for s in _symbols():
-            to = 1 if s == SAID else 0 if s == END else said
-            out[said, s] = (to, _mark(s, QUOTED) if _hot(s) and said else s)
-    return out
+class Threats(Machine):
+    """A verb of harm is a threat: aimed where a person or a future stands shortly before, else plain."""
 
+    def step(self, state: int, symbol: int) -> tuple[int, int]:
+        to = THREAT_REACH if symbol in (AIM, FUTURE) else 0 if symbol == END else max(0, state - 1)
+        return to, (_mark(THREAT, AIMED if state else PLAIN) if symbol == HARM else symbol)
 
-def compose(first: Machine, second: Machine) -> Machine:
-    """The machine that runs first and feeds its output to second."""
-    out: Machine = {}
-    states = {b for b, _ in second}
-    for (a, s), (a2, mid) in first.items():
-        for b in states:
-            b2, end = second[b, mid]
-            out[(a, b), s] = ((a2, b2), end)
-    return out
+
+class Composed(Machine):
+    """Runs first and feeds what it writes to second; arcs are made when they are first met."""
+
+    def __init__(self, first: Machine, second: Machine):
+        self.first, self.second = first, second
+        self.start = (first.start, second.start)
+        self.arcs: dict[tuple, tuple] = {}
+
+    def step(self, state: tuple, symbol: int) -> tuple[tuple, int]:
+        arc = self.arcs.get((state, symbol))
+        if arc is None:
+            a, between = self.first.step(state[0], symbol)
+            b, out = self.second.step(state[1], between)
+            arc = self.arcs[state, symbol] = ((a, b), out)
+        return arc
 
 
-def grammar() -> tuple[list[list[int]], list[list[int]]]:
-    """The composed machine as tables by state number and symbol: next state, emitted symbol. State 0 starts."""
-    machine = compose(compose(target_machine(), negation_machine()), reported_machine())
-    numbers = {state: i for i, state in enumerate(sorted({q for q, _ in machine}))}  # ((0, 0), 0) comes first
-    to, emit = ([[0] * 7 for _ in numbers] for _ in range(2))
-    for (q, s), (q2, out) in machine.items():
-        if s < 7:
-            to[numbers[q]][s], emit[numbers[q]][s] = numbers[q2], out
-    return to, emit
+def grammar() -> tuple[Machine, Machine]:
+    """The machine for what stands before a match, and the one that is run backwards over a clause for what stands behind it."""
+    forward: Machine = Threats()
+    for after, pattern, reach in (((AIM,), AIMED, TARGET_REACH), ((NOT,), NEGATED, NEGATION_REACH), ((SAID,), QUOTED, 0)):
+        forward = Composed(forward, Within(after, pattern, reach))
+    return forward, Within((AIM,), AIMED, TARGET_REACH)
+
+
+class Insults:
+    """The insult transducer: reads words, writes symbols and weights. Phrases of several words are paths; a phrase's weight stands at its last word."""
+
+    def __init__(self, lexicon: dict[str, float]):
+        self.words = {w: x for w, x in lexicon.items() if " " not in w}
+        self.phrases = {tuple(w.split()): x for w, x in lexicon.items() if " " in w}
+        self.longest = max(map(len, self.phrases), default=1)
+        self.inside = {w for p in self.phrases for w in p}
+        classes = ((HARM, HARM_WORDS), (FUTURE, FUTURE_WORDS), (AIM, TARGET_WORDS), (NOT, NEGATION_WORDS), (SAID, REPORTED_WORDS))
+        self.fixed = {w: s for s, text in classes for w in text.split()} | dict.fromkeys(".!?;:\n", END)
+        self.known: dict[str, tuple[int, float]] = {}
+
+    def word(self, w: str) -> tuple[int, float]:
+        found = self.known.get(w)
+        if found is None:
+            weight = self.words.get(w, 0.0)
+            for n in PREFIXES:
+                if not weight and len(w) > n:
+                    weight = self.words.get(w[:n] + "*", 0.0)
+            if len(self.known) > 500_000:
+                self.known.clear()
+            found = self.known[w] = (INSULT, weight) if weight else (self.fixed.get(w, OTHER), 1.0)
+        return found
+
+    def read(self, words: list[str]) -> list[tuple[int, float]]:
+        out = [self.word(w) for w in words]
+        if self.phrases:
+            for i, w in enumerate(words):
+                if w in self.inside:
+                    for n in range(2, min(self.longest, i + 1) + 1):
+                        weight = self.phrases.get(tuple(words[i - n + 1 : i + 1]))
+                        if weight:
+                            out[i] = (INSULT, max(weight, out[i][1] if out[i][0] == INSULT else 0.0))
+        return out
 
 
 class Scorer:
-    """Sums of match weights by pattern, for texts."""
+    """Sums of clause weights by pattern, for texts."""
 
     def __init__(self, lexicon: dict[str, float]):
-        self.lexicon = lexicon
-        self.to, self.emit = grammar()
-        fixed = {w: s for s, text in ((HARM, THREAT), (AIM, TARGET), (NOT, NEGATION), (SAID, REPORTED)) for w in text.split()} | dict.fromkeys(".!?;:\n", END)
-
-        class Lexer(dict):
-            def __missing__(self, w: str) -> tuple[int, float]:
-                weight = lexicon.get(w, 0.0)
-                for n in PREFIXES:
-                    if not weight and len(w) > n:
-                        weight = lexicon.get(w[:n] + "*", 0.0)
-                out = (INSULT, weight) if weight else (fixed.get(w, OTHER), 1.0)
-                if len(self) > 500_000:
-                    self.clear()
-                self[w] = out
-                return out
-
-        self.lexer = Lexer()
-
-    def matches(self, text: str) -> Iterator[tuple[int, float]]:
-        """(emitted symbol, weight) of each insult and threat."""
-        tokens = [self.lexer[w] for w in _TOKEN.findall(text.lower())]
-        if not any(s <= HARM for s, _ in tokens):
-            return
-        state = 0
-        for s, weight in tokens:
-            if s <= HARM:
-                yield self.emit[state][s], weight
-            state = self.to[state][s]
+        self.insults = Insults(lexicon)
+        self.forward, self.backward = grammar()
+
+    def clauses(self, text: str) -> Iterator[list[tuple[int, float]]]:
+        """Of each clause with a match its (emitted symbol, weight)."""
+        tokens = self.insults.read(_TOKEN.findall(text.lower()))
+        hot = [i for i, (s, _) in enumerate(tokens) if s <= HARM]
+        done = -1
+        for i in hot:  # clauses without a match need no run
+            if i <= done:
+                continue
+            begin = i
+            while begin and tokens[begin - 1][0] != END:
+                begin -= 1
+            end = i
+            while end < len(tokens) and tokens[end][0] != END:
+                end += 1
+            done = end
+            state, marks = self.forward.start, []
+            for s, _ in tokens[begin:end]:
+                state, mark = self.forward.step(state, s)
+                marks.append(mark)
+            back, state = list(marks), self.backward.start
+            for k in range(len(marks) - 1, -1, -1):
+                state, back[k] = self.backward.step(state, marks[k])
+            yield [(m, w) for m, (_, w) in zip(back, tokens[begin:end]) if m >= MARKED]
 
     def sums(self, text: str | None) -> list[float]:
-        """By pattern the insults' weights, then all threats that are aimed and not negated or quoted, then the strongest match."""
+        """Logarithms of: by pattern the weights of the clauses' strongest insults, the clauses with an aimed threat, and the strongest plain or aimed clause."""
         out = [0.0] * 6
-        for symbol, weight in self.matches(text or ""):
-            if symbol < MARKED + 4:
-                out[symbol - MARKED] += weight
-                out[5] = max(out[5], weight)
-            elif symbol == MARKED + 4 + AIMED:
-                out[4] += weight
+        for clause in self.clauses(text or ""):
+            strongest = [0.0] * 4
+            for mark, weight in clause:
+                if mark < MARKED + 4:
+                    strongest[mark - MARKED] = max(strongest[mark - MARKED], weight)
+            for p in range(4):
+                out[p] += strongest[p]
+            out[4] += any(mark == MARKED + 4 + AIMED for mark, _ in clause)
+            out[5] = max(out[5], strongest[PLAIN], strongest[AIMED])
         return [math.log1p(x) for x in out]
 
 
@@ -161,7 +201,7 @@ def held_out(id_col: str) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(4)) == 2
 
 
-def learn_lexicon(labelled: DataFrame, lexicon_size: int = 2000, least_documents: int = 3, least_weight: float = 2.0) -> dict[str, float]:
+def learn_lexicon(labelled: DataFrame, lexicon_size: int = 500, least_documents: int = 3, least_weight: float = 2.0) -> dict[str, float]:
     """Words, and word beginnings with a star, by log odds of toxic documents. labelled: text, toxic (0 or 1)."""
     texts = labelled.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
     found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
@@ -179,30 +219,40 @@ def learn_lexicon(labelled: DataFrame, lexicon_size: int = 2000, least_documents
     return _cover({r["term"]: (float(r["w"]), r["docs"]) for r in where}, lexicon_size, least_documents)
 
 
-def _cover(terms: dict[str, tuple[float, list[int]]], size: int, least: int, enough: int = 3) -> dict[str, float]:
+def _cover(terms: dict[str, tuple[float, list[int]]], size: int, least: int, enough: int = 3, refine: float = 1.0) -> dict[str, float]:
     """Terms in descending order of weight times documents, as long as they add something: a term must stand in
     documents of which at least `least` have fewer than `enough` chosen terms so far. Words that only come along in
-    copies of the same toxic document are explained by then and stay out."""
+    copies of the same toxic document are explained by then and stay out. A term of the same beginning as others must be in `least` documents that
+    these aren't in, or be a longer one that says more by `refine`: a word and its beginnings in the same documents are one entry."""
     hits: dict[int, set[str]] = {}
     out: dict[str, float] = {}
-    for term in sorted(terms, key=lambda t: (-terms[t][0] * len(terms[t][1]), t)):
+    families: dict[str, set[int]] = {}
+    for term in sorted(terms, key=lambda t: (-terms[t][0] * len(terms[t][1]), -len(t), t)):
         weight, docs = terms[term]
-        if sum(len(hits.get(d, ())) < enough for d in docs) >= least and len(out) < size:
+        family = term.rstrip("*")[: PREFIXES[-1]]
+        covered = families.setdefault(family, set())
+        upper = [out[u] for n in PREFIXES if (u := term.rstrip("*")[:n] + "*") in out and u != term]
+        if len(out) >= size or sum(len(hits.get(d, ())) < enough for d in docs) < least:
+            continue
+        if len(covered.union(docs)) - len(covered) >= least or (upper and weight >= max(upper) + refine):
             out[term] = weight
+            covered.update(docs)
             for d in docs:
-                hits.setdefault(d, set()).add(term[: PREFIXES[-1]])  # a word and its beginnings count once
+                hits.setdefault(d, set()).add(family)
     return out
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.05, steps: int = 50) -> np.ndarray:
-    """Coefficients, intercept last, by Newton's method."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, prior: tuple[float, ...] = PRIOR, l2: float = 0.05, steps: int = 100) -> np.ndarray:
+    """Coefficients, intercept last, by Newton's method with halved steps; the penalty draws them to prior."""
     x = np.column_stack([x, np.ones(len(x))])
-    b = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], l2)
-    penalty[-1] = 1e-4
+    middle, penalty = np.array([*prior, 0.0]), np.array([l2] * len(prior) + [1e-4])
+    loss = lambda c: np.logaddexp(0, x @ c).sum() - y @ (x @ c) + (penalty * (c - middle) ** 2).sum() / 2
+    b = middle.copy()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * b)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * (b - middle))
+        while np.abs(step).max() >= 1e-8 and loss(b + step) > loss(b):
+            step /= 2
         b += step
         if np.abs(step).max() < 1e-8:
             break
@@ -220,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", train_rows
     rows = score_columns(labelled, "text", lexicon, None).select("toxic", "sums").collect()  # train_rows at most
     if not rows or len({r["toxic"] for r in rows}) < 2:
         rate = (sum(r["toxic"] for r in rows) + 0.5) / (len(rows) + 1)
-        return lexicon, np.array([0.0] * 6 + [math.log(rate / (1 - rate))])
+        return lexicon, np.array([*PRIOR, math.log(rate / (1 - rate))])
     return lexicon, fit_logistic(np.array([r["sums"] for r in rows]), np.array([r["toxic"] for r in rows], float))
 
 
