@@ -2,16 +2,17 @@
 
 A page is a sequence of tags and text runs. A run scores its number of words times a weight, which is positive for words where
 content stands and negative for words where labelled pages have none; every tag costs something. One linear scan finds the
-contiguous stretch with the highest sum, and the words in it that stand in a content place are the text.
+contiguous stretch with the highest sum, and the words in it that stand in a content place are the text. Words in an unwanted place inside
+the article's own element (CONTAINERS) cost nothing: they are left out, and a short title before an advert or share bar isn't cut off by it.
 
-Weights are learned from labelled pages: pages whose own markup names the article (one <article> element), at most train_pages of
-them by a hash of their id. For each kind of element (its tag, and its tag with each class) the words under it are counted inside and
+Weights are learned from labelled pages: pages whose own markup names the article (one <article> element), about train_pages of
+them by a hash. For each kind of element (its tag, and its tag with each class) the words under it are counted inside and
 outside the article, and the log odds is the kind's weight. A run's weight is the lowest of the kinds it stands under, as one
-menu or comment box is enough to disqualify it. Counts of words, summed by kind, are all that leaves the tasks. Kinds that name
-the unwanted parts of a page (PRIOR) start with a weight, which labelled pages outvote only where they are clear.
+menu or comment box is enough to disqualify it. Counts of words, summed by kind, are all that leaves the tasks. A kind that the labelled pages
+have in LEAST_WORDS words goes by its learned weight alone; other kinds that name the unwanted parts of a page (PRIOR) have a weight of their own.
 
 Text: character references are decoded, white space inside a block becomes one blank, blocks are joined by one blank; tags that do not
-break the line put nothing between their texts. Script, style, comments and markup never count.
+break the line put nothing between their texts. Script, style, comments and markup never count. Time is linear in the page however deep its elements nest.
 
 Defined cases: a null or empty page, and one without a word in a content place, gives an empty text; pages cut off anywhere are read to
 their end; without labelled pages the prior weights alone decide; pages are read whole, one at a time.
@@ -23,7 +24,7 @@ import html as entities
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,8 +48,10 @@ PRIOR_WORDS = frozenset(
 PRIOR_WEIGHT, PLAIN_WEIGHT, TAG_COST, LEAST_WORDS = -3.0, 1.0, 0.05, 20
 #: What one run can take away at most: a short advert inside an article doesn't cut off what follows.
 LEAST_SCORE = -8.0
-#: Kinds that say nothing by themselves.
-NEUTRAL = frozenset("html body div main section article span".split())
+#: The content's own elements.
+CONTAINERS = frozenset(("article", "main"))
+#: Kinds that say nothing by themselves: what holds them does. Links and lists are in menus and in articles.
+NEUTRAL = INLINE | frozenset("html body div main section article ul ol li dl dt dd table thead tbody tr td th".split())
 
 
 def kinds(tag: str, name: str) -> tuple[str, ...]:
@@ -68,20 +71,37 @@ def tokens(page: str) -> Iterator[tuple[str, str, tuple[str, ...]]]:
             yield ("close", name, ()) if t[1] else ("open", name, kinds(s, name))
 
 
-def runs(page: str) -> Iterator[tuple[str, str, list[tuple[str, tuple[str, ...]]]]]:
-    """The tokens with the elements open at each."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    for what, value, own in tokens(page):
-        if what == "open":
-            if value in SELF_CLOSING and any(n == value for n, _ in stack[-3:]):
-                while stack.pop()[0] != value:
-                    pass
-            if value not in VOID:
-                stack.append((value, own))
-        elif what == "close" and any(n == value for n, _ in stack):
-            while stack.pop()[0] != value:
-                pass
-        yield what, value, stack
+class Stack(list):
+    """The elements open at a place. Each entry is [name, kinds, and what the user of the stack keeps]; `at_push` makes that, `at_pop` gets the entry."""
+
+    def __init__(self, at_push: Callable[[Stack, tuple[str, ...]], list], at_pop: Callable[[Stack, list], None] | None = None):
+        super().__init__()
+        self.at_push, self.at_pop, self.open = at_push, at_pop, Counter()
+
+    def down_to(self, name: str) -> None:
+        while True:
+            entry = self.pop()
+            self.open[entry[0]] -= 1
+            if self.at_pop:
+                self.at_pop(self, entry)
+            if entry[0] == name:
+                return
+
+    def runs(self, page: str) -> Iterator[tuple[str, str]]:
+        """The tokens of a page as (what, value), with the stack as it is at each."""
+        for what, value, own in tokens(page):
+            if what == "open":
+                if value in SELF_CLOSING and any(e[0] == value for e in self[-3:]):
+                    self.down_to(value)
+                if value not in VOID:
+                    self.append([value, own, *self.at_push(self, own)])
+                    self.open[value] += 1
+            elif what == "close" and self.open[value]:
+                self.down_to(value)
+            yield what, value
+        if self.at_pop:
+            while self:
+                self.at_pop(self, self.pop())
 
 
 def prior(kind: str) -> float | None:
@@ -91,21 +111,35 @@ def prior(kind: str) -> float | None:
 
 
 def count_kinds(page: str) -> Counter:
-    """(kind, inside the article): words, of a page with one article."""
+    """(kind, inside the article): words, of a page with one article. Words count for each element they stand in, those of the article for the elements in it."""
     out: Counter = Counter()
-    for what, value, stack in runs(page):
-        if what == "text" and (n := len(value.split())):
-            inside = any(name == "article" for name, _ in stack)
-            below = stack[max(i for i, (name, _) in enumerate(stack) if name == "article") + 1 :] if inside else stack
-            for kind in {k for _, own in below for k in own}:
-                out[kind, inside] += n
+
+    def at_pop(stack: Stack, entry: list) -> None:
+        name, own, inside, good, bad = entry
+        if not inside:
+            good = 0  # it is around the article, or the article itself
+        for kind in own:
+            if good:
+                out[kind, True] += good
+            if bad:
+                out[kind, False] += bad
+        if stack:
+            stack[-1][3] += good
+            stack[-1][4] += bad
+
+    stack = Stack(lambda stack, own: [stack.open["article"] > 0, 0, 0], at_pop)
+    for what, value in stack.runs(page):
+        if what == "text" and stack and (n := len(value.split())):
+            stack[-1][3 if stack.open["article"] else 4] += n
     return out
 
 
 def learn(pages: DataFrame, train_pages: int = 2000, most_kinds: int = 2000, id_col: str = "page_id", html_col: str = "html") -> dict[str, float]:
     """Weights of kinds, from pages whose markup names one article."""
-    marked = pages.where(F.regexp_count(F.col(html_col), F.lit("<article[ >]")) == 1)
-    chosen = marked.select(F.col(html_col).alias("html"), F.xxhash64(F.col(id_col)).alias("h")).orderBy("h", "html").limit(train_pages)
+    share = train_pages / max(1, pages.count())
+    html = F.col(html_col)
+    chosen = pages.where((F.pmod(F.xxhash64(F.col(id_col), html), F.lit(1 << 40)) < F.lit(int(min(1.0, share) * (1 << 40)))) & (F.regexp_count(html, F.lit("<article[ >]")) == 1))
+    chosen = chosen.select(html.alias("html"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,8 +157,7 @@ def learn(pages: DataFrame, train_pages: int = 2000, most_kinds: int = 2000, id_
     out = {}
     for r in rows:
         if r["kind"] not in NEUTRAL:
-            odds = math.log((r["good"] + 1) / (r["bad"] + 1))
-            out[r["kind"]] = max(-5.0, min(3.0, odds if (p := prior(r["kind"])) is None else odds + p))
+            out[r["kind"]] = max(-5.0, min(3.0, math.log((r["good"] + 1) / (r["bad"] + 1))))
     return out
 
 
@@ -142,18 +175,27 @@ class Extractor:
             self.known[own] = min(found, default=None)
         return self.known[own]
 
+    def _push(self, stack: Stack, own: tuple[str, ...]) -> list:
+        """The lowest weight of the elements down to this one (none if no kind has any), and whether the content's own element is open."""
+        weight, (above, inside) = self.weight(own), stack[-1][2:] if stack else (None, False)
+        lowest = above if weight is None else weight if above is None else min(weight, above)
+        return [lowest, inside or own[0] in CONTAINERS]
+
     def text(self, page: str | None) -> str:
         best, best_at, total, start = 0.0, (0, 0), 0.0, 0
         parts: list[tuple[str, bool]] = []  # text with its place's verdict; an empty text breaks the line
-        for what, value, stack in runs(page or ""):
+        stack = Stack(self._push)
+        for what, value in stack.runs(page or ""):
+            weight, inside = stack[-1][2:] if stack else (None, False)
+            weight = PLAIN_WEIGHT if weight is None else weight
             if what != "text":
                 score = -TAG_COST
                 parts.append(("" if value in INLINE else "\n", False))
             else:
-                found = [w for _, own in stack if (w := self.weight(own)) is not None]
-                weight = min(found, default=PLAIN_WEIGHT)
                 score = max(LEAST_SCORE, weight * len(value.split()))
                 parts.append((value, weight > 0))
+            if inside and weight <= 0:
+                score = 0.0
             if total <= 0:
                 total, start = 0.0, len(parts) - 1
             total += score

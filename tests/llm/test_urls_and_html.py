@@ -106,7 +106,8 @@ def test_scan_equals_best_of_all_stretches():
     for _ in range(200):
         page = "".join(rng.choice(("<p>a b c</p>", '<div class="bad">x y</div>', "<i>q</i>", "<p>k</p>", "<hr>")) for _ in range(rng.randrange(1, 12)))
         scores = []
-        for what, value, stack in html.runs(page):
+        stack = html.Stack(lambda stack, own: [])
+        for what, value in stack.runs(page):
             if what != "text":
                 scores.append((-html.TAG_COST, ""))
             else:
@@ -119,3 +120,39 @@ def test_scan_equals_best_of_all_stretches():
         texts = {" ".join(" ".join(t for _, t in scores[a:b]).split()) for a, b in near} if best > 0 else {""}
         squeeze = lambda t: t.replace(" ", "")
         assert squeeze(e.text(page)) in {squeeze(t) for t in texts}
+
+
+def test_boxes_inside_the_article_take_nothing_else_with_them():
+    page = """<body><nav>one two three</nav><article><h1>Short title</h1><div class="share"><a>Share</a> this on six other sites</div><p>First <a href="x">linked</a> words.</p>
+    <ul><li>A point</ul><div class="ad">buy buy buy buy buy buy buy buy buy buy buy</div><aside>Also read this</aside><p>Last.</p></article><footer>The foot of it</footer></body>"""
+    assert html.Extractor({}).text(page) == "Short title First linked words. A point Last."
+
+
+def test_time_is_linear_in_depth():
+    import time
+
+    began = time.time()
+    assert len(html.Extractor({"div": 1.0}).text("<div>x " * 100_000).split()) == 100_000
+    assert html.count_kinds("<article>" + "<div class=q>x " * 100_000)["div.q", True] > 0
+    assert time.time() - began < 30
+
+
+def test_learned_weights_decide_where_names_say_nothing(spark):
+    """Boxes whose names no list has: pages that mark their article teach them, and other pages' texts get right; with the lists alone they don't."""
+    rng = random.Random(4)
+    say = lambda n: " ".join(rng.choice(("river", "town", "bridge", "winter", "people")) for _ in range(n))
+    rows, want = [], {}
+    for i in range(60):
+        text = [say(rng.randrange(3, 30)) for _ in range(4)]
+        tag = "article" if i < 40 else "div"
+        box = lambda k: f'<div class="{k}"><p>{say(12)}</p></div>'  # noqa: B023, E731
+        body = "".join(f"<p>{t}</p>" + (box("q1") if n == 1 and i >= 40 else "") for n, t in enumerate(text))
+        rows.append((i, f"<body>{box('q1')}<{tag}>{body}</{tag}>{box('z9')}</body>"))
+        want[i] = " ".join(text) if i >= 40 else None
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    weights = html.learn(pages.where("page_id < 40"))
+    assert weights["div.q1"] < 0 and weights["div.z9"] < 0
+    learned = [html.Extractor(weights).text(h) == want[i] for i, h in rows if want[i]]
+    listed = [html.Extractor({}).text(h) == want[i] for i, h in rows if want[i]]
+    assert all(learned) and not any(listed)
+    assert {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, html string")).collect() if r.page_id >= 40} == {i: t for i, t in want.items() if t}
