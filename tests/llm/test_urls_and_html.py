@@ -27,7 +27,7 @@ def url_cases(seed, n=400):
 
 
 def test_rules_equal_plain_python(spark):
-    pages = spark.createDataFrame(list(enumerate(url_cases(1))), "page_id long, url string").selectExpr("*", "1 as host", "2 as verdict", "3 as bad", "4 as url_length")
+    pages = spark.createDataFrame(list(enumerate(url_cases(1))), "page_id long, url string").selectExpr("*", "1 as host", "2 as verdict", "3 as bad", "4 as url_length", "5 as row", "6 as _url_says")
     none = spark.createDataFrame([], "url string, bad int")
     got = urls.judge(pages, URL_RULES, none).collect()
     assert len(got) == pages.count()
@@ -51,6 +51,32 @@ def test_trees_learn_from_labelled_urls(spark):
     assert sum((r.verdict == "block") == bool(r.truth) for r in got) >= 0.97 * len(got)
 
 
+def test_case_trees_score_as_the_model_does(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    rows = [(f"http{'s' * (i % 2)}://{'x' * rng.randrange(9)}{rng.randrange(99)}.{rng.choice(('de', 'fr', 'info'))}/{'a/' * rng.randrange(5)}", int(rng.random() < 0.3)) for i in range(500)]
+    learned = urls.fit(spark.createDataFrame(rows, "url string, bad int"))
+    pages = spark.createDataFrame(rows[:200], "url string, bad int").withColumns(dict(zip(("host", "path"), urls.host_and_path(F.col("url")))))
+    values = pages.select("url", learned.score.alias("score"), *[c.alias(k) for k, c in learned.columns.items()])
+    both = learned.model.transform(VectorAssembler(inputCols=list(learned.columns), outputCol="features").transform(values)).collect()
+    assert len(both) == 200 and all(abs(r.score - r.probability[1]) < 1e-9 for r in both)
+
+
+def test_random_labels_block_nothing_and_figures_equal_brute_force(spark):
+    rng = random.Random(7)
+    rows = [(f"https://{rng.randrange(10**6)}.de/{rng.randrange(10**6)}", int(rng.random() < 0.15)) for _ in range(800)]
+    learned = urls.fit(spark.createDataFrame(rows, "url string, bad int"))
+    assert learned.threshold is None and 0.3 < learned.auc < 0.7 and learned.held_out > 100
+    for _ in range(50):
+        scores, bad = [rng.randrange(9) / 9 for _ in range(40)], [float(rng.random() < 0.4) for _ in range(40)]
+        pairs = [(a > b) + (a == b) / 2 for a, x in zip(scores, bad) if x for b, y in zip(scores, bad) if not y]
+        assert abs(urls.area(scores, bad) - sum(pairs) / len(pairs)) < 1e-12
+        fits = [t for t in set(scores) if sum(s >= t for s in scores) >= 5 and sum(y for s, y in zip(scores, bad) if s >= t) >= 0.5 * sum(s >= t for s in scores)]
+        assert urls.cut_off(scores, bad, 0.5, 5) == min(fits, default=None)
+
+
 def test_query_registers_all_pages(spark):
     d = "/root/testdata/sf0.001"
     got = op8_url_filter(spark, d).collect()
