@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from sparkloom.llm.components import connected
-from sparkloom.llm.jaccard import components, least_overlap, ngram_sets
+from sparkloom.llm.jaccard import components, cross_pairs, gather, least_overlap, ngram_sets
 from sparkloom.llm.trie import NgramTrie
 
 SCHEMA = "doc_id long, text string"
@@ -87,6 +87,38 @@ def test_defined_cases(spark):
     assert sorted(tuple(r) for r in components(twice, 4, 85).collect()) == [(3, 2, 3), (3, 2, 3), (9, 2, 3)]
 
 
+def test_rows_of_one_id_or_none_keep_their_links(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    rows = [(1, a), (2, f"{a} z"), (2, b), (None, f"{b} z"), (9, f"y {b}"), (None, "q r s t u"), (None, "q r s t u")]
+    got = sorted((r["id"] or 0, r["size"], r["component"]) for r in components(spark.createDataFrame(rows, SCHEMA), 4, 85).collect())
+    assert got == sorted([(1, 27, 1), (2, 28, 1), (2, 27, 2), (0, 28, 2), (9, 28, 2), (0, 2, None), (0, 2, None)])
+
+
+def test_long_lists_in_pieces_and_blocks(spark):
+    """Whatever chunks and blocks are, the lists say the same about sets, leaders and pairs."""
+    rng = random.Random(8)
+    rows = sorted({(g, (rng.randrange(3) << 32) + rng.randrange(90, 110), k) for g in range(12) for k in rng.sample(range(1000), rng.choice((1, 2, 3, 40, 90)))}, key=str)
+    rows = list({(g, k): (g, p, k) for g, p, k in rows}.values())
+    posted = spark.createDataFrame([*rows, *rows[:100]], "gram long, place long, set_id long").repartition(3)
+
+    def said(found):
+        out = {"pair": {}, "star": {}, "shared": {}, "member": set()}
+        for r in found.collect():
+            if r.kind == "member":
+                out["member"].add((r.y, r.place))
+            else:
+                old = out[r.kind].get((r.x, r.y), (0, 0))
+                out[r.kind][r.x, r.y] = (old[0] + r.times, old[1] + (r.place or 0))
+        return out
+
+    assert said(gather(posted, 85)) == said(gather(posted, 85, chunk=7)) == said(gather(posted, 85, chunk=50))
+    members = spark.createDataFrame([(g // 4, k, p, k % 3, 60, 90) for g, p, k in rows], "list long, set_id long, place long, comp long, shared long, members long").dropDuplicates(["list", "set_id"])
+    members.cache()
+    pairs = lambda **o: {tuple(r) for r in cross_pairs(members, 85, **o).collect()}
+    assert len(pairs()) > 100 and pairs() == pairs(block=20) == pairs(block=7)
+    members.unpersist()
+
+
 def test_trie_equals_set_comparison():
     rng = random.Random(5)
     for _ in range(30):
