@@ -6,8 +6,8 @@ length to the lowest-cost sequence that has room, so no sequence collects all th
 
 Blocks are cut from the rows a task reads, so nothing is shuffled: a block holds at most block_tokens
 tokens (one document may exceed it; it is cut first), which bounds memory on any input. A block of T
-tokens gets T // max_tokens full sequences, and the rest goes to sequences whose lengths are the powers
-of two that add up to it; none needs padding.
+tokens gets T // max_tokens full sequences, and what doesn't fit in goes on to the task's next block; only the task's last block has
+a rest of less than max_tokens, which goes to sequences whose lengths are the powers of two that add up to it, so none needs padding.
 
 Defined cases: a null text is an empty one, and a document always ends in end_id, so an empty document
 is one piece of one token. Repeated rows are packed as often as they occur. An empty table gives no rows.
@@ -30,6 +30,8 @@ SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 #: Each task numbers its own sequences from its partition's number times this.
 SEQUENCES_A_TASK = 1 << 36
 CACHED_WORDS = 600_000
+LONGEST_KNOWN = 64
+PROBES = ["Hello World, this  is A Test.\nNew line", "don't 3.5 km, (x) a_b", "Über Straße, naïve É", " lead  two ", "\ttab\r\nend", "東京 🙂 e\u0301", ""]
 _BEYOND = re.compile("[\u0300-\U0010ffff]")
 _AFTER_WORD = re.compile(r"(?<=[^\W_])([.,])(?=[ \n])")
 _encoders: dict[tuple[str, int], Callable] = {}
@@ -49,6 +51,7 @@ def word_encoder(path: str, end_id: int) -> Callable[[list[str]], list[bytes]]:
     between them is encoded once and remembered, for as long as the worker lives. A comma or full stop
     between a word and white space is a stretch of its own. Texts with characters from U+0300 on, where
     composing and lower-casing depend on neighbours, go through the whole tokenizer by stretches as they are.
+    Whether a tokenizer is of this kind is tried on PROBES; others encode each text at once.
     """
     if (path, end_id) in _encoders:
         return _encoders[path, end_id]
@@ -66,7 +69,9 @@ def word_encoder(path: str, end_id: int) -> Callable[[list[str]], list[bytes]]:
                 ids = [t.id for t in model.tokenize(w.encode().decode("latin-1").translate(symbols))]
             else:
                 ids = tokenizer.encode(w, add_special_tokens=False).ids
-            self[w] = b = array("I", ids).tobytes()
+            b = array("I", ids).tobytes()
+            if len(w) <= LONGEST_KNOWN:
+                self[w] = b
             return b
 
     known = Known()
@@ -81,8 +86,11 @@ def word_encoder(path: str, end_id: int) -> Callable[[list[str]], list[bytes]]:
             out.append(b"".join(map(known.__getitem__, t.replace("\n", " ").split(" "))) + end)
         return out
 
-    _encoders[path, end_id] = encode
-    return encode
+    def at_once(texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() + end for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    _encoders[path, end_id] = encode if encode(PROBES) == at_once(PROBES) else at_once
+    return _encoders[path, end_id]
 
 
 def capacities(total: int, most: int) -> list[int]:
@@ -91,18 +99,25 @@ def capacities(total: int, most: int) -> list[int]:
     return [most] * (total // most) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def assign(lengths: list[int], most: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int, int]]:
-    """Pieces (document, start, length, sequence, offset) of documents with these lengths.
+Placed = tuple[int, int, int, int, int]
+
+
+def assign(lengths: list[int], most: int, linear: float, quadratic: float) -> list[Placed]:
+    """Pieces (document, start, length, sequence, offset) of documents with these lengths, all of them."""
+    return place([(d, 0, n) for d, n in enumerate(lengths)], capacities(sum(lengths), most), most, linear, quadratic)[0]
+
 
-    Documents longer than a sequence are cut into full pieces and a rest. A piece goes to the
+def place(parts: list[tuple[int, int, int]], caps: list[int], most: int, linear: float, quadratic: float) -> tuple[list[Placed], list[tuple[int, int, int]]]:
+    """Puts parts (document, start, length) into sequences of these capacities; what is left when all are full.
+
+    Parts longer than a sequence are cut into full pieces and a rest. A piece goes to the
     lowest-cost full sequence with room for it, or to the lowest-cost short one if no full one has;
     only if none has room, the cheapest (full ones before short ones) is filled and the remainder goes on.
     The sequences with each number of tokens left form a heap by cost, and a segment tree over these
     numbers holds the least of each range, so the choice is exact.
     """
-    caps = capacities(sum(lengths), most)
     used = [0] * len(caps)
-    out = []
+    out, left = [], []
     none = (2, 0.0, 0)
     by_room: list[list[tuple[int, float, int]]] = [[] for _ in range(most + 1)]  # (short, cost, sequence)
     leaves = 1 << most.bit_length()
@@ -133,15 +148,18 @@ def assign(lengths: list[int], most: int, linear: float, quadratic: float) -> li
     for c in set(caps):
         update(c)
     pieces = []
-    for d, n in enumerate(lengths):
+    for d, start, n in parts:
         for at in range(0, n, most):
-            pieces.append((min(most, n - at), d, at))
+            pieces.append((min(most, n - at), d, start + at))
     pieces.sort(key=lambda p: (-p[0], p[1], p[2]))
     for n, d, at in pieces:
         while n:
             chosen = cheapest(n)
             if chosen == none:
                 chosen = cheapest(1)
+            if chosen == none:
+                left.append((d, at, n))
+                break
             short, cost, s = chosen
             room = caps[s] - used[s]
             put = min(n, room)
@@ -154,7 +172,7 @@ def assign(lengths: list[int], most: int, linear: float, quadratic: float) -> li
             used[s] += put
             at += put
             n -= put
-    return out
+    return out, left
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int, max_tokens: int = 4096, linear: float = 1.0, quadratic: float = 1.0 / 4096,
@@ -164,12 +182,13 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, max_tokens: int = 40
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_encoder(tokenizer_path, end_id)
         base = TaskContext.get().partitionId() * SEQUENCES_A_TASK
-        block: list[tuple[int, bytes]] = []
+        block: list[tuple[int, bytes, int, int]] = []  # document, its ids, and the part of them that is to be placed
         held = done = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal held, done
-            placed = assign([len(b) // 4 for _, b in block], max_tokens, linear, quadratic)
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, done, block
+            caps = capacities(held, max_tokens) if last else [max_tokens] * (held // max_tokens)
+            placed, left = place([(k, at, n) for k, (_, _, at, n) in enumerate(block)], caps, max_tokens, linear, quadratic)
             for i in range(0, len(placed), 4096):
                 part = placed[i : i + 4096]
                 yield pa.RecordBatch.from_arrays(
@@ -184,20 +203,20 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, max_tokens: int = 40
                     ],
                     names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
                 )
-            done += 1 + max((p[3] for p in placed), default=-1)
-            block.clear()
-            held = 0
+            done += len(caps)
+            block = [(*block[d][:2], at, n) for d, at, n in left]
+            held = sum(n for *_, n in block)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 for doc, ids in zip(part.column(0).to_pylist(), encode(texts)):
-                    block.append((doc, ids))
+                    block.append((doc, ids, 0, len(ids) // 4))
                     held += len(ids) // 4
                     if held >= block_tokens:
-                        yield from flush()
+                        yield from flush(False)
         if block:
-            yield from flush()
+            yield from flush(True)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
