@@ -13,8 +13,8 @@ counted in words: the longest run of that order that stays within the words stil
 of the size nearest to what is then missing, is added if that comes closer to the target.
 
 Scale. A source may hold a third of all rows, so no task ranks a source. Scores fall into `buckets` equal steps
-of a monotone function of the score; sums by source and bucket find the bucket in which the order is cut, and only
-that bucket's documents are ranked. Decisions are thresholds by source: one row per source, joined back.
+of a monotone function of the score; sums by source and bucket find the bucket in which the order is cut, the same again
+inside that bucket the step, and only the documents of this step (some 1 in buckets squared) are ranked. What is ordered of a source otherwise is `buckets` sums. Decisions are thresholds by source: one row per source, joined back.
 
 Defined cases: a null text has size 0; null ids count as the empty string; documents of size 0 follow the same
 order and take no words; rows that agree in score and id are in or out together; a source without words has
@@ -80,16 +80,23 @@ def thresholds(base: DataFrame, weights: tuple[int, ...], share: float, most_cop
     plan = materialize(plan.repartition(1), "mix-plan")  # a row per source
     scored = lambda p: _scored(base, p)
 
-    bucket = _bucket(F.col("_mix_score"), buckets)
-    sums = scored(plan).where("_mix_odds is not null").withColumn("_mix_b", bucket).groupBy("_mix_source", "_mix_b", "_mix_need").agg(F.sum("size").alias("_mix_s"))
-    running = F.sum("_mix_s").over(Window.partitionBy("_mix_source").orderBy("_mix_b"))
-    cut = (sums.withColumn("_mix_cum", running).where("_mix_cum > _mix_need")
-           .groupBy("_mix_source").agg(F.min_by(F.struct("_mix_b", (F.col("_mix_cum") - F.col("_mix_s")).alias("_mix_low")), "_mix_b").alias("_mix_c"))
-           .select(F.col("_mix_source").alias("_mix_cs"), F.col("_mix_c._mix_b").alias("_mix_cut_b"), F.col("_mix_c._mix_low").alias("_mix_low")))
-    plan = plan.join(cut, F.col("_mix_source").eqNullSafe(F.col("_mix_cs")), "left").drop("_mix_cs")
-    plan = materialize(plan.repartition(1), "mix-plan")
-
-    at_cut = scored(plan).where(bucket == F.col("_mix_cut_b"))
+    # The bucket of the cut, then the step within it: `buckets` rows a source are ordered each time.
+    plan = plan.withColumn("_mix_low", F.lit(0).cast("long"))
+    for steps in (buckets, buckets * buckets):
+        step = _bucket(F.col("_mix_score"), steps)
+        rows = scored(plan).where("_mix_odds is not null")
+        if steps > buckets:
+            rows = rows.where(_bucket(F.col("_mix_score"), buckets) == F.col("_mix_cut_b"))
+        sums = rows.withColumn("_mix_b", step).groupBy("_mix_source", "_mix_b", "_mix_need", "_mix_low").agg(F.sum("size").alias("_mix_s"))
+        running = F.col("_mix_low") + F.sum("_mix_s").over(Window.partitionBy("_mix_source").orderBy("_mix_b"))
+        cut = (sums.withColumn("_mix_cum", running).where("_mix_cum > _mix_need")
+               .groupBy("_mix_source").agg(F.min_by(F.struct("_mix_b", (F.col("_mix_cum") - F.col("_mix_s")).alias("_mix_before")), "_mix_b").alias("_mix_c"))
+               .select(F.col("_mix_source").alias("_mix_cs"), F.col("_mix_c._mix_b").alias("_mix_new_b"), F.col("_mix_c._mix_before").alias("_mix_new_low")))
+        plan = plan.join(cut, F.col("_mix_source").eqNullSafe(F.col("_mix_cs")), "left").drop("_mix_cs", "_mix_cut_b", "_mix_low")
+        plan = materialize(plan.withColumnsRenamed({"_mix_new_b": "_mix_cut_b", "_mix_new_low": "_mix_low"}).repartition(1), "mix-plan")
+    buckets *= buckets
+
+    at_cut = scored(plan).where(_bucket(F.col("_mix_score"), buckets) == F.col("_mix_cut_b"))
     inside = F.sum("size").over(Window.partitionBy("_mix_source").orderBy("_mix_score", "_mix_key").rangeBetween(Window.unboundedPreceding, 0))
     order = F.struct("_mix_score", "_mix_key")
     last = (at_cut.withColumn("_mix_cum", inside + F.col("_mix_low")).where("_mix_cum <= _mix_need")
@@ -137,6 +144,6 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     else:
         own = ["_mix_id", "_mix_source"]
     closing = (F.col("_mix_score") == F.col("_mix_close")) & (F.col("_mix_key") == F.col("_mix_close_key"))
-    copies = F.col("_mix_whole") + (_in_sample(buckets) | F.coalesce(closing, F.lit(False))).cast("long")
+    copies = F.col("_mix_whole") + (_in_sample(buckets * buckets) | F.coalesce(closing, F.lit(False))).cast("long")
     out = _scored(base, plan).select(*own, "size", "source_size", "target", copies.alias("copies"))
     return out if keep else out.withColumnsRenamed({"_mix_id": id_col, "_mix_source": source_col})
