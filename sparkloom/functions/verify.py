@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
 
+# The thresholds and scores of relation() and citation_precision() are fixed values of the rules.
+
 
 def evidence_columns(name: str, text: Column) -> dict[str, Column]:
     """Per text once, before any join: normal form, tokens and signals."""
@@ -21,13 +23,22 @@ def evidence_columns(name: str, text: Column) -> dict[str, Column]:
     }
 
 
+def overlaps(s: str, e: str) -> dict[str, Column]:
+    """What the relation is made of, once a pair: overlap and mean (of meaningful tokens), and whether one text contains the other."""
+    c = F.col
+    return {
+        "overlap": T.overlap_ratio(c(f"{s}_tokens"), c(f"{e}_tokens")),
+        "mean": T.overlap_ratio(c(f"{s}_meaningful"), c(f"{e}_meaningful")),
+        "exact": F.contains(c(f"{e}_norm"), c(f"{s}_norm")) | F.contains(c(f"{s}_norm"), c(f"{e}_norm")),
+    }
+
+
 def relation(s: str, e: str) -> Column:
-    """struct<relation, detail, score, overlap, meaningful_overlap>, null if the excerpt says nothing about the statement."""
+    """struct<relation, detail, score, overlap, meaningful_overlap>, null if the excerpt says nothing about the statement. Reads the columns of overlaps()."""
     c = F.col
-    overlap, mean = T.overlap_ratio(c(f"{s}_tokens"), c(f"{e}_tokens")), T.overlap_ratio(c(f"{s}_meaningful"), c(f"{e}_meaningful"))
+    overlap, mean, exact = c("overlap"), c("mean"), c("exact")
     negation = c(f"{s}_negated") != c(f"{e}_negated")
     numeric, scope = T.differ(c(f"{s}_numbers"), c(f"{e}_numbers")), T.differ(c(f"{s}_scope"), c(f"{e}_scope"))
-    exact = F.contains(c(f"{e}_norm"), c(f"{s}_norm")) | F.contains(c(f"{s}_norm"), c(f"{e}_norm"))
     shallow = (overlap >= 0.45) & (mean < 0.35)
 
     def made(kind: str, detail: str, score: Column, o: Column = overlap, m: Column = mean) -> Column:

@@ -158,29 +158,38 @@ SQL["rerank_diversity"] = SQL["rerank_diversity"].replace("{local}", SQL["local_
 
 def _evidence(alias: str, text: str) -> str:
     toks = f"list_distinct({TOKENS.format(text)})"
-    nums = f"list_sort(list_distinct(list_concat(regexp_extract_all({text}, '{T.NUMBER}'), regexp_extract_all({text}, '{T.DATE}'))))"
+    plain = f"regexp_replace({text}, '[^\\x00-\\x7F\\pP\\pS\\pZ\\pC]', 'x', 'g')"  # its word boundaries know ASCII letters only
+    nums = f"list_sort(list_distinct(list_concat(regexp_extract_all({plain}, '{T.NUMBER}'), regexp_extract_all({plain}, '{T.DATE}'))))"
     return (
         f"lower({SQUEEZE.format(text)}) AS {alias}_norm, {toks} AS {alias}_tokens, list_filter({toks}, lambda x: length(x) > 2 AND x NOT IN ({GENERIC})) AS {alias}_meaningful, "
-        f"regexp_matches({text}, '{Q_NEGATION}') OR regexp_matches({text}, '{T.CJK_NEGATION}') AS {alias}_negated, {nums} AS {alias}_numbers, list_sort(list_filter({toks}, lambda x: x IN ({SCOPE}))) AS {alias}_scope"
+        f"regexp_matches({plain}, '{Q_NEGATION}') OR regexp_matches({text}, '{T.CJK_NEGATION}') AS {alias}_negated, {nums} AS {alias}_numbers, list_sort(list_filter({toks}, lambda x: x IN ({SCOPE}))) AS {alias}_scope"
     )
 
 
-EVIDENCE = f"""WITH said AS (SELECT item_id, span_no, excerpt AS statement, {_evidence('s', 'excerpt')} FROM {sentences('benchmark', 'item_id')} WHERE length(excerpt) >= 20),
-  found AS (SELECT doc_id, span_no AS excerpt_no, excerpt, {_evidence('e', 'excerpt')} FROM {sentences('documents', 'doc_id')} WHERE length(excerpt) >= 20),
-  tokens AS (SELECT doc_id, excerpt_no, unnest(e_meaningful) AS token FROM found),
-  own AS (SELECT item_id, span_no, unnest(s_meaningful) AS token, len(s_meaningful) AS m FROM said),
-  counts AS (SELECT token, count(*) AS df FROM tokens WHERE token IN (SELECT token FROM own) GROUP BY token),
-  prefix AS (SELECT * FROM (SELECT item_id, span_no, token, m, row_number() OVER (PARTITION BY item_id, span_no ORDER BY df, token) AS r FROM own JOIN counts USING (token)) WHERE r <= m - ceil(m * 0.4) + 1),
-  anchored AS (SELECT doc_id, excerpt_no, list_sort(list_transform(e_meaningful, lambda t: {{'n': -length(t), 't': t}}))[1].t AS token FROM found),
-  pairs AS (SELECT item_id, span_no, doc_id, excerpt_no FROM tokens JOIN prefix USING (token) UNION SELECT item_id, span_no, doc_id, excerpt_no FROM anchored JOIN own USING (token)),
-  both_ AS (SELECT * FROM pairs JOIN found USING (doc_id, excerpt_no) JOIN said USING (item_id, span_no)),
+
+
+def _excerpts(table_name: str, id_col: str) -> str:
+    """Sentences and pairs of neighbours up to 520 characters."""
+    found = "list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[^\\n.!?。！？]+(?:[.!?。！？]+)?'), lambda s: trim(regexp_replace(s, '^\\s+|\\s+$', '', 'g'))), lambda s: s <> '')"
+    rows = f"(SELECT {id_col}, f, unnest(range(len(f))) AS k FROM (SELECT {id_col}, {found} AS f FROM {table_name}))"
+    both = f"SELECT {id_col}, k AS span_no, false AS pair, f[k + 1] AS x FROM {rows} UNION ALL SELECT {id_col}, k, true, f[k + 1] || ' ' || f[k + 2] FROM {rows} WHERE k + 2 <= len(f) AND length(f[k + 1] || ' ' || f[k + 2]) <= 520"
+    return f"(SELECT {id_col}, span_no, pair, {SQUEEZE.format('x')} AS excerpt FROM ({both}))"
+
+
+# All pairs that share enough tokens, and all pairs of distinct texts of which one contains the other: no candidate keys.
+EVIDENCE = f"""WITH said AS (SELECT item_id, span_no, excerpt AS statement, {_evidence('s', 'excerpt')} FROM {_excerpts('benchmark', 'item_id')} WHERE NOT pair),
+  found AS (SELECT doc_id, span_no AS excerpt_no, pair, excerpt, {_evidence('e', 'excerpt')} FROM {_excerpts('documents', 'doc_id')}),
+  shared AS (SELECT item_id, span_no, doc_id, excerpt_no, pair FROM (SELECT item_id, span_no, len(s_meaningful) AS m, unnest(s_meaningful) AS token FROM said) JOIN (SELECT doc_id, excerpt_no, pair, unnest(e_meaningful) AS token FROM found) USING (token) GROUP BY item_id, span_no, doc_id, excerpt_no, pair HAVING count(*) >= 0.4 * any_value(m)),
+  inside AS (SELECT a.s_norm, b.e_norm FROM (SELECT DISTINCT s_norm FROM said) a JOIN (SELECT DISTINCT e_norm FROM found) b ON contains(a.s_norm, b.e_norm) OR contains(b.e_norm, a.s_norm)),
+  pairs AS (SELECT * FROM shared UNION SELECT item_id, span_no, doc_id, excerpt_no, pair FROM inside JOIN said USING (s_norm) JOIN found USING (e_norm)),
+  both_ AS (SELECT * FROM pairs JOIN found USING (doc_id, excerpt_no, pair) JOIN said USING (item_id, span_no)),
   r AS (SELECT *, CASE WHEN len(s_tokens) > 0 THEN len(list_intersect(s_tokens, e_tokens)) / len(s_tokens) ELSE 0.0 END AS o, CASE WHEN len(s_meaningful) > 0 THEN len(list_intersect(s_meaningful, e_meaningful)) / len(s_meaningful) ELSE 0.0 END AS w,
     s_negated <> e_negated AS neg, len(s_numbers) > 0 AND len(e_numbers) > 0 AND s_numbers <> e_numbers AS num, len(s_scope) > 0 AND len(e_scope) > 0 AND s_scope <> e_scope AS sc, contains(e_norm, s_norm) OR contains(s_norm, e_norm) AS ex FROM both_),
   k AS (SELECT *, CASE WHEN ex AND NOT neg AND NOT num THEN 1 WHEN o >= 0.55 AND w >= 0.45 AND neg THEN 2 WHEN num OR sc OR (o >= 0.45 AND w < 0.35) THEN 0 WHEN o >= 0.72 AND w >= 0.6 AND NOT neg THEN 3 WHEN o >= 0.5 AND w >= 0.4 AND NOT neg THEN 4 ELSE 0 END AS kind FROM r),
-  v AS (SELECT item_id, span_no, doc_id, excerpt_no, excerpt, CASE kind WHEN 2 THEN 'contradict' WHEN 4 THEN 'weak_support' ELSE 'support' END AS relation, CASE kind WHEN 2 THEN 'contradiction' WHEN 4 THEN 'weak_support' ELSE 'strong_support' END AS detail,
+  v AS (SELECT item_id, span_no, doc_id, excerpt_no, pair, excerpt, CASE kind WHEN 2 THEN 'contradict' WHEN 4 THEN 'weak_support' ELSE 'support' END AS relation, CASE kind WHEN 2 THEN 'contradiction' WHEN 4 THEN 'weak_support' ELSE 'strong_support' END AS detail,
     CASE kind WHEN 1 THEN 0.95 WHEN 2 THEN round(least(0.95, 0.55 + o * 0.35), 2) WHEN 3 THEN round(least(0.9, 0.5 + o * 0.3), 2) ELSE round(least(0.68, 0.35 + w * 0.35), 2) END::DOUBLE AS score,
     CASE WHEN kind = 1 THEN 1.0 ELSE o END::DOUBLE AS overlap, CASE WHEN kind = 1 THEN CASE WHEN len(s_meaningful) > 0 THEN 1.0 ELSE 0.0 END ELSE w END::DOUBLE AS meaningful_overlap FROM k WHERE kind > 0),
-  evidence AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY item_id, span_no, doc_id ORDER BY score DESC, meaningful_overlap DESC, overlap DESC, excerpt_no) AS rn FROM v) WHERE rn = 1)"""
+  evidence AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY item_id, span_no, doc_id ORDER BY score DESC, meaningful_overlap DESC, overlap DESC, excerpt_no, pair) AS rn FROM v) WHERE rn = 1)"""
 
 
 @query(f"{EVIDENCE} SELECT * FROM evidence")
