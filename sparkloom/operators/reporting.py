@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.operators.selection import per_group
-
 
 def funnel(steps: dict[str, DataFrame]) -> DataFrame:
     """(step, n): the rows of each table. Each is one pass over the columns its own plan reads."""
@@ -42,11 +40,16 @@ def supplemental(slots: DataFrame, variants: list[str], existing: DataFrame, lim
     return new.orderBy(F.col("status") == "weak", "at", "slot_id").limit(max(1, limit)).select("slot_id", "status", "query")
 
 
-def manifest(claims: DataFrame, by: str, id_col: str, most: int = 500) -> DataFrame:
-    """Per status the number of claims, the first `most` ids in order, and their digest. The list is a report's; its length is part of the format."""
-    total = claims.groupBy(by).agg(F.count("*").alias("n"))
-    listed = per_group(claims.select(by, id_col), [by], [F.col(id_col)], most).groupBy(by).agg(F.array_join(F.sort_array(F.collect_list(id_col)), ",").alias("ids"))
-    return total.join(listed, by).withColumn("content_hash", F.concat(F.lit("sha256:"), F.sha2("ids", 256)))
+def manifest(claims: DataFrame, by: str, id_col: str, block: int = 1000) -> DataFrame:
+    """Every id of every status: a row per block of ids (block: id div `block`) with the ids in order and their digest, and per status the number of claims and
+    content_hash, the digest of its blocks' digests. Digests are digested by `block` blocks first, so no status is gathered in one place. id_col: a number, each id once a status."""
+    digest = lambda x: F.concat(F.lit("sha256:"), F.sha2(x, 256))
+    ordered = lambda value, order: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(value).cast("string").alias("v")))), lambda x: x["v"]), ",")
+    blocks = claims.withColumn("block", F.floor(F.col(id_col) / block)).groupBy(by, "block").agg(F.count("*").alias("n"), ordered(id_col, id_col).alias("ids"))
+    blocks = blocks.withColumn("block_hash", digest(F.col("ids")))
+    upper = blocks.groupBy(by, F.floor(F.col("block") / block).alias("upper")).agg(F.sum("n").alias("n"), digest(ordered("block_hash", "block")).alias("upper_hash"))
+    whole = upper.groupBy(by).agg(F.sum("n").alias("claims"), digest(ordered("upper_hash", "upper")).alias("content_hash"))
+    return blocks.join(whole, by)
 
 
 def next_version(artifacts: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -58,13 +61,14 @@ def next_version(artifacts: DataFrame, new: DataFrame, keys: list[str]) -> DataF
     return found.select(*new.columns, version.cast("long").alias("version"), F.coalesce(same, F.lit(False)).alias("reused"))
 
 
-def markdown(title: str, claims: DataFrame, by: str, text: str, id_col: str, first: int = 6) -> DataFrame:
-    """(line_no, line): a title, and per status a heading, its number of claims and the first few as bullets."""
-    heads = claims.groupBy(by).agg(F.count("*").alias("n"))
-    heads = heads.select(F.col(by).alias("_s"), F.lit(0).alias("_k"), F.inline(F.array(*[F.struct(F.lit(i).alias("_i"), c.alias("line")) for i, c in enumerate((F.concat(F.lit("## "), F.col(by)), F.concat(F.col("n").cast("string"), F.lit(" claims"))))])))
-    bullets = per_group(claims.select(by, id_col, text), [by], [F.col(id_col)], first)
-    bullets = bullets.select(F.col(by).alias("_s"), F.lit(1).alias("_k"), F.col("rank_in_group").cast("int").alias("_i"), F.concat(F.lit("- "), F.regexp_replace(text, r"\s+", " "), F.lit(" ["), F.col(id_col).cast("string"), F.lit("]")).alias("line"))
-    spark = claims.sparkSession
-    head = spark.range(1).select(F.lit("").alias("_s"), F.lit(0).alias("_k"), F.lit(0).alias("_i"), F.lit(f"# {title}").alias("line"))
-    lines = head.unionByName(heads).unionByName(bullets)  # a few lines per status
-    return lines.select(F.row_number().over(Window.orderBy("_s", "_k", "_i")).cast("long").alias("line_no"), "line")
+def markdown(title: str, claims: DataFrame, by: str, text: str, id_col: str) -> DataFrame:
+    """(section, part, position, line): a title, and per status a heading, its number of claims and every claim as a bullet. In the order of the first three columns the
+    lines are the report; they are sorted when they are written, by as many tasks as it takes."""
+    line = lambda section, part, position, x: [section.alias("section"), F.lit(part).alias("part"), position.cast("long").alias("position"), x.alias("line")]
+    s = F.col(by)
+    counts = claims.groupBy(by).agg(F.count("*").alias("n"))
+    head = claims.sparkSession.range(1).select(*line(F.lit(""), 0, F.lit(0), F.lit(f"# {title}")))
+    named = counts.select(*line(s, 0, F.lit(0), F.concat(F.lit("## "), s)))
+    said = counts.select(*line(s, 1, F.lit(0), F.concat(F.col("n").cast("string"), F.lit(" claims"))))
+    bullets = claims.select(*line(s, 2, F.col(id_col), F.concat(F.lit("- "), F.regexp_replace(text, r"\s+", " "), F.lit(" ["), F.col(id_col).cast("string"), F.lit("]"))))
+    return reduce(DataFrame.unionByName, (head, named, said, bullets))

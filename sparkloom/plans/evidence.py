@@ -105,6 +105,17 @@ def html_quality_signals(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", *[c.alias(n) for n, c in q.items()])
 
 
+@query(f"""SELECT page_id, CASE WHEN likely_bot_check THEN 'bot_check' WHEN likely_cookie_wall THEN 'cookie_wall' WHEN likely_javascript_required AND visible_text_length < 200 THEN 'javascript_required'
+  WHEN likely_spa_shell AND visible_text_length < 180 THEN 'spa_shell' END AS soft_error FROM ({SQL['html_quality_signals'].replace('FROM pages)', "FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN substring(html, 1, 150) || '<noscript>we use cookies, enable javascript</noscript>' WHEN page_id % 7 = 0 THEN 'captcha' ELSE html END AS html FROM pages))")})""")
+def soft_errors(spark: SparkSession, d: str) -> DataFrame:
+    """The outcome of each page; every third one is cut to a shell and every seventh is a bot check, as the table has none."""
+    page, html = F.col("page_id"), F.col("html")
+    shell = F.concat(F.substring(html, 1, 150), F.lit("<noscript>we use cookies, enable javascript</noscript>"))
+    pages = table(spark, d, "pages").select("page_id", F.when(page % 3 == 0, shell).when(page % 7 == 0, "captcha").otherwise(html).alias("html"))
+    signals = pages.select("page_id", *[c.alias(n) for n, c in web.html_quality(F.col("html")).items()])
+    return signals.select("page_id", web.soft_error_code({c: F.col(c) for c in signals.columns}).alias("soft_error"))
+
+
 @query()
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     return spans.chunks(table(spark, d, "documents"))
@@ -189,7 +200,7 @@ EVIDENCE = f"""WITH said AS (SELECT item_id, span_no, excerpt AS statement, {_ev
   v AS (SELECT item_id, span_no, doc_id, excerpt_no, pair, excerpt, CASE kind WHEN 2 THEN 'contradict' WHEN 4 THEN 'weak_support' ELSE 'support' END AS relation, CASE kind WHEN 2 THEN 'contradiction' WHEN 4 THEN 'weak_support' ELSE 'strong_support' END AS detail,
     CASE kind WHEN 1 THEN 0.95 WHEN 2 THEN round(least(0.95, 0.55 + o * 0.35), 2) WHEN 3 THEN round(least(0.9, 0.5 + o * 0.3), 2) ELSE round(least(0.68, 0.35 + w * 0.35), 2) END::DOUBLE AS score,
     CASE WHEN kind = 1 THEN 1.0 ELSE o END::DOUBLE AS overlap, CASE WHEN kind = 1 THEN CASE WHEN len(s_meaningful) > 0 THEN 1.0 ELSE 0.0 END ELSE w END::DOUBLE AS meaningful_overlap FROM k WHERE kind > 0),
-  evidence AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY item_id, span_no, doc_id ORDER BY score DESC, meaningful_overlap DESC, overlap DESC, excerpt_no, pair) AS rn FROM v) WHERE rn = 1)"""
+  evidence AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY item_id, span_no, doc_id ORDER BY score DESC, meaningful_overlap DESC, overlap DESC, pair, excerpt_no) AS rn FROM v) WHERE rn = 1)"""
 
 
 @query(f"{EVIDENCE} SELECT * FROM evidence")

@@ -126,9 +126,11 @@ def verification_totals(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("status").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("support", "weak_support", "contradict")])
 
 
-@query("""WITH r AS (SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS k FROM orders),
-  l AS (SELECT o_orderpriority, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS ids FROM r WHERE k <= 500 GROUP BY 1)
-  SELECT o_orderpriority, n, ids, 'sha256:' || sha256(ids) AS content_hash FROM l JOIN (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1) USING (o_orderpriority)""")
+@query("""WITH b AS (SELECT o_orderpriority, o_orderkey // 1000 AS block, count(*) AS n, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS ids FROM orders GROUP BY 1, 2),
+  h AS (SELECT *, 'sha256:' || sha256(ids) AS block_hash FROM b),
+  u AS (SELECT o_orderpriority, block // 1000 AS u, sum(n) AS n, 'sha256:' || sha256(string_agg(block_hash, ',' ORDER BY block)) AS upper_hash FROM h GROUP BY 1, 2),
+  w AS (SELECT o_orderpriority, sum(n)::BIGINT AS claims, 'sha256:' || sha256(string_agg(upper_hash, ',' ORDER BY u)) AS content_hash FROM u GROUP BY 1)
+  SELECT o_orderpriority, block, n, ids, block_hash, claims, content_hash FROM h JOIN w USING (o_orderpriority)""")
 def report_manifest(spark: SparkSession, d: str) -> DataFrame:
     return R.manifest(table(spark, d, "orders"), "o_orderpriority", "o_orderkey")
 
@@ -144,7 +146,9 @@ def artifact_versions(spark: SparkSession, d: str) -> DataFrame:
     return R.next_version(items, new, ["o_orderkey"])
 
 
-@query()
+@query(f"""WITH c AS (SELECT status, item_id, span_no, text FROM ({evidence.SQL['verification_status']}) JOIN benchmark USING (item_id)), n AS (SELECT status, count(*) AS n FROM c GROUP BY 1)
+  SELECT '' AS section, 0 AS part, 0::BIGINT AS position, '# Statements and their evidence' AS line UNION ALL SELECT status, 0, 0, '## ' || status FROM n UNION ALL SELECT status, 1, 0, n || ' claims' FROM n
+  UNION ALL SELECT status, 2, item_id, '- ' || regexp_replace(text, '\\s+', ' ', 'g') || ' [' || item_id || ']' FROM c""")
 def markdown_report(spark: SparkSession, d: str) -> DataFrame:
     claims = evidence.QUERIES["verification_status"](spark, d).join(table(spark, d, "benchmark"), "item_id")
     return R.markdown("Statements and their evidence", claims, "status", "text", "item_id")

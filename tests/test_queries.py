@@ -2,11 +2,11 @@
 
 import pytest
 
-from sparkloom.plans import evidence, relational, reports, streams
+from sparkloom.plans import evidence, quality, relational, reports, streams
 from tests.oracle import SF_DIR, compare
 
-QUERIES = {**relational.QUERIES, **evidence.QUERIES, **reports.QUERIES, **streams.QUERIES}
-SQL = {**relational.SQL, **evidence.SQL, **reports.SQL, **streams.SQL}
+QUERIES = {**relational.QUERIES, **evidence.QUERIES, **quality.QUERIES, **reports.QUERIES, **streams.QUERIES}
+SQL = {**relational.SQL, **evidence.SQL, **quality.SQL, **reports.SQL, **streams.SQL}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -56,6 +56,11 @@ def test_chunks_cover_the_text_in_order(spark):
         ("https://example.com", ("https://example.com/", "example.com")),
         ("https://bücher.de/x", ("https://xn--bcher-kva.de/x", "xn--bcher-kva.de")),
         ("https://www.google.com/url?q=https%3A%2F%2Fa.org%2Fp%3Fgclid%3D1", ("https://a.org/p", "a.org")),
+        ("https://a.org/x%2Fy/?ref=1&ga_source=2&B=&utm_id=4", ("https://a.org/x%2Fy?B=&ref=1", "a.org")),
+        ("https://duckduckgo.com/l?x=1&target=http%3A%2F%2Fb.org%2F", ("http://b.org/", "b.org")),
+        ("https://www.bing.com/url?u=ftp%3A%2F%2Fb.org", ("https://www.bing.com/url?u=ftp%3A%2F%2Fb.org", "www.bing.com")),
+        ("https://google.com/search?q=http%3A%2F%2Fb.org", ("https://google.com/search?q=http%3A%2F%2Fb.org", "google.com")),
+        ("http://a.org:8080//x/./y/../z", ("http://a.org:8080/x/z", "a.org")),
         ("ftp://example.com/x", None), ("not a url", None), (None, None), ("https://", None),
     ],
 )
@@ -65,12 +70,72 @@ def test_canonical_urls(url, want):
     assert canonical(url) == want
 
 
-def test_relations_and_statuses(spark):
+def test_statuses(spark):
     from pyspark.sql import functions as F
 
     from sparkloom.functions.verify import status
 
-    cases = [(0, 0, 0), (2, 0, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1)]
-    df = spark.createDataFrame(cases, "s int, w int, c int")
-    got = [r[0] for r in df.select(status(F.col("s"), F.col("w"), F.col("c"))).collect()]
-    assert len(set(got[:1] + got[1:2] + got[3:4])) == 3 and all(got)
+    cases = {(0, 0, 0): "unsupported", (2, 0, 0): "supported", (0, 1, 0): "unsupported", (0, 0, 1): "contradicted", (1, 0, 1): "mixed", (0, 3, 1): "mixed", (1, 4, 0): "supported"}
+    df = spark.createDataFrame(list(cases), "s int, w int, c int")
+    got = {(r.s, r.w, r.c): r.status for r in df.select("*", status(F.col("s"), F.col("w"), F.col("c")).alias("status")).collect()}
+    assert got == cases
+
+
+def test_statements_of_any_length_and_script_find_their_excerpts(spark):
+    from sparkloom.operators.verification import verify
+
+    said = {
+        1: "Short fact is true.", 2: "北京是中华人民共和国的首都和政治中心。", 3: "Ok.", 4: "The turbine of the northern plant delivers nine megawatts every winter.",
+        5: "The turbine of the northern plant never delivers nine megawatts every winter.", 6: "Harbour cranes lift containers weekly",
+    }
+    docs = {
+        10: "Something else first. Short fact is true. And more.", 11: "前言。北京是中华人民共和国的首都和政治中心。后记。", 12: "It was fine\nOk.", 13: "Engineers say the turbine of the northern plant delivers nine megawatts every winter.",
+        14: "Harbour cranes lift\ncontainers.  Sailors repaint hulls daily.", 15: "", 16: None,
+    }
+    rows = verify(spark.createDataFrame(list(said.items()), "item_id long, text string"), spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
+    got = {(r.item_id, r.span_no, r.doc_id): (r.relation, r.score, r.pair) for r in rows}
+    assert got[1, 0, 10] == got[2, 0, 11] == got[3, 0, 12] == ("support", 0.95, False)
+    assert got[4, 0, 13] == ("support", 0.95, False)
+    assert got[5, 0, 13][0] == "contradict"
+    assert got[6, 0, 14] == ("support", 0.95, True)  # in two lines, so only the pair says it
+    assert not any(d in (15, 16) for _, _, d in got)
+
+
+def test_a_manifest_changes_with_any_id(spark):
+    from sparkloom.operators.reporting import manifest
+
+    rows = [(i, "ab"[i % 2]) for i in range(4000)]
+    of = lambda x: {r.status: (r.claims, r.content_hash) for r in manifest(spark.createDataFrame(x, "id long, status string"), "status", "id").collect()}
+    whole, other = of(rows), of([*rows[:-2], (9999, "a"), rows[-1]])
+    assert whole["a"][0] == 2000 and whole["b"] == other["b"] and whole["a"][1] != other["a"][1]
+    assert of(rows[::-1]) == whole
+    blocks = manifest(spark.createDataFrame(rows, "id long, status string"), "status", "id").collect()
+    assert sorted(i for r in blocks if r.status == "a" for i in map(int, r.ids.split(","))) == list(range(0, 4000, 2))
+
+
+def test_chunks_of_each_kind_get_their_reasons(spark):
+    from pyspark.sql import functions as F
+
+    from sparkloom.functions.quality import chunk_quality, diagram_or_config
+
+    prose = "The reading room provides newspapers from forty countries, and visitors may borrow them for a week. It works on trust."
+    cases = {
+        "redirect_stub": "You are being redirected to the new page, click here if you are not redirected",
+        "reference_section": "References Smith, Bachelor thesis (PDF) retrieved from doi:10.1/2",
+        "navigation_noise": "Main menu Jump to content Privacy policy Cookie policy",
+        "pointer_or_project_meta_noise": "Track development, send contributions and report issues",
+        "diagram_or_config_section": "digraph g { a -> b } and more of the same here to be long",
+        "leading_boilerplate_like": "Share Print Comments Email address Sign in Subscribe",
+        "very_short": "Nothing",
+        "short_meaningful_content": "It provides rooms and works for all of us.",
+        "informative_prose": prose,
+        "high_repetition": "wub dub " * 20,
+    }
+    df = spark.createDataFrame([(k, t) for k, t in cases.items()], "kind string, text string")
+    got = {r.kind: r for r in chunk_quality(df, F.col("text"), F.lit("unrelated question"), F.lit(0.55), F.lit(0), F.lit(None).cast("string")).collect()}
+    assert all(k in r.reasons.split(",") for k, r in got.items()), {k: r.reasons for k, r in got.items()}
+    assert got["informative_prose"].eligible_for_claims and got["short_meaningful_content"].eligible_for_claims
+    assert not any(got[k].eligible_for_claims for k in cases if k not in ("informative_prose", "short_meaningful_content"))
+    text = "a -> b\nc -> d"
+    flags = spark.createDataFrame([(text,), ("one: 1\ntwo: 2\nthree\nfour",), ("plain\ntext",)], "t string").select(diagram_or_config(F.col("t"))).collect()
+    assert [r[0] for r in flags] == [True, True, False]
