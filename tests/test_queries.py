@@ -90,7 +90,7 @@ def test_statements_of_any_length_and_script_find_their_excerpts(spark):
     }
     docs = {
         10: "Something else first. Short fact is true. And more.", 11: "前言。北京是中华人民共和国的首都和政治中心。后记。", 12: "It was fine\nOk.", 13: "Engineers say the turbine of the northern plant delivers nine megawatts every winter.",
-        14: "Harbour cranes lift\ncontainers.  Sailors repaint hulls daily.", 15: "", 16: None,
+        14: "Yes, harbour cranes lift\ncontainers  weekly in May.", 15: "", 16: None,
     }
     rows = verify(spark.createDataFrame(list(said.items()), "item_id long, text string"), spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
     got = {(r.item_id, r.span_no, r.doc_id): (r.relation, r.score, r.pair) for r in rows}
