@@ -102,3 +102,24 @@ def token_estimate(text: Column) -> Column:
 def fingerprint(text: Column) -> Column:
     """16 hex digits of the hash of the first 256 bytes."""
     return F.substring(F.sha2(F.substring(F.encode(text, "UTF-8"), 1, 256), 256), 1, 16)
+
+
+def line_feeds(text: Column) -> Column:
+    return F.regexp_replace(text, "\r\n?", "\n")
+
+
+def plain_text(text: Column) -> Column:
+    """Lines with single blanks, trimmed; any number of blank lines between them is one."""
+    blanks = F.regexp_replace(line_feeds(text), r"[^\S\n]+", " ")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(blanks, " *\n *", "\n"), "\n\n+", "\n\n"), r"^\s+|\s+$", "")
+
+
+def structured_text(text: Column) -> Column:
+    """Lines keep their indentation and lose what is blank at their ends; blank lines at either end go."""
+    ends = F.regexp_replace(line_feeds(text), r"[^\S\n]+(\n|$)", "$1")
+    return F.regexp_replace(ends, r"^\n+|\n+$", "")
+
+
+def first_line_title(text: Column) -> Column:
+    """The first line of a plain text, 200 characters at most, null without one."""
+    return F.nullif(F.substring(F.regexp_extract(text, "^[^\n]*", 0), 1, 200), F.lit(""))

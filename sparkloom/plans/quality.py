@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import quality as Q
+from sparkloom.functions import text as T
 from sparkloom.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -139,3 +140,16 @@ def source_quality(spark: SparkSession, d: str) -> DataFrame:
     host = F.regexp_extract("url", r"^[^:/?#]+://([^/?#]*)", 1)
     found = Q.source_quality(table(spark, d, "pages"), F.col("url"), host, category, F.col("html"), F.lit("main"), page % 5 == 0, page % 17 == 0, F.lit(None).cast("double"))
     return found.drop("url", "html")
+
+
+LINES_SQL = """SELECT doc_id, regexp_replace(chr(13) || chr(10) || '  ' || replace(text, '. ', '.  ' || chr(13) || chr(10) || chr(9) || ' ' || chr(10) || chr(10) || '  '), '\\r\\n?', chr(10), 'g') AS n FROM documents"""
+
+
+@query(f"""SELECT doc_id, plain, structured, nullif(substring(regexp_extract(plain, '^[^\\n]*'), 1, 200), '') AS title FROM (
+  SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(n, '[ \\t\\f\\v]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n\\n+', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS plain,
+    regexp_replace(regexp_replace(n, '[ \\t\\f\\v]+(\\n|$)', '\\1', 'g'), '^\\n+|\\n+$', '', 'g') AS structured FROM ({LINES_SQL}))""")
+def text_normal_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Plain and structured forms and titles of the documents, whose sentences are put on lines with odd ends first."""
+    text = F.concat(F.lit("\r\n  "), F.replace("text", F.lit(". "), F.lit(".  \r\n\t \n\n  ")))
+    rows = table(spark, d, "documents").select("doc_id", T.plain_text(text).alias("plain"), T.structured_text(text).alias("structured"))
+    return rows.withColumn("title", T.first_line_title(F.col("plain")))
