@@ -35,4 +35,23 @@ MIXING = rf"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(
   z AS (SELECT c.source AS source, arg_min(doc_id, (abs(size - missing), score, doc_id::VARCHAR)) AS closing FROM c JOIN m ON c.source IS NOT DISTINCT FROM m.source WHERE need > 0 AND NOT inside AND abs(size - missing) < missing GROUP BY c.source)
   SELECT doc_id, size, source_size, target, size * (whole + (CASE WHEN inside OR doc_id IS NOT DISTINCT FROM closing THEN 1 ELSE 0 END)) AS taken FROM c LEFT JOIN z ON c.source IS NOT DISTINCT FROM z.source"""
 
-ORACLE_SQL = {"op1_ngram_jaccard": NGRAM_JACCARD, "op5_chat_format": CHAT_FORMAT, "op10_mixing": MIXING}
+#: CRC-32 by its table, which eight steps a byte make. `{crc}` of a UTF-8 string's bytes is what zlib's crc32 says.
+CRC_TABLE = "SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, b)) AS crcs"
+CRC = "xor(list_reduce(list_transform(range(octet_length(encode({s}))), lambda i: ('0x' || substr(hex(encode({s})), 2 * i + 1, 2))::BIGINT), lambda c, b: xor(crcs[xor(c & 255, b) + 1], c >> 8), 4294967295), 4294967295)"
+
+IMPORTANCE = rf"""WITH lut AS ({CRC_TABLE}),
+  d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM documents),
+  f AS (SELECT doc_id, unnest(ws) AS w FROM d),
+  g AS (SELECT unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')) AS w FROM benchmark),
+  v AS (SELECT w, {CRC.format(s="w")} % 10000 AS bucket FROM (SELECT w FROM f UNION SELECT w FROM g), lut),
+  s AS (SELECT bucket, count(*) AS s FROM f JOIN v USING (w) GROUP BY bucket),
+  t AS (SELECT bucket, count(*) AS t FROM g JOIN v USING (w) GROUP BY bucket),
+  z AS (SELECT (SELECT count(*) FROM f) AS s_all, (SELECT count(*) FROM g) AS t_all),
+  gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (s_all + 10000)::DOUBLE / ((s + 1)::DOUBLE * (t_all + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket), z),
+  w AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM f JOIN v USING (w) JOIN gain USING (bucket) GROUP BY doc_id),
+  x AS (SELECT d.doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM d LEFT JOIN w ON w.doc_id = d.doc_id),
+  y AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS pos, 10 * count(*) OVER () // 100 AS wanted FROM x WHERE n_features >= 20)
+  SELECT x.doc_id AS doc_id, n_features, weight, score, CASE WHEN pos <= wanted THEN pos END AS rank FROM x LEFT JOIN y ON y.doc_id = x.doc_id"""
+
+ORACLE_SQL = {"op13_importance": IMPORTANCE, "op1_ngram_jaccard": NGRAM_JACCARD, "op5_chat_format": CHAT_FORMAT, "op10_mixing": MIXING}

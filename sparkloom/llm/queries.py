@@ -109,6 +109,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.importance import resample
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    drawn = resample(docs, table(spark, sf_dir, "benchmark"), percent=10, least_words=20, n=1, buckets=10_000, seed="2024", keep=False)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -117,4 +125,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
-QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_flac": op2_flac, "op3_toxicity": op3_toxicity, "op4_quality_rules": op4_quality_rules, "op5_chat_format": op5_chat_format, "op6_substring_dedup": op6_substring_dedup, "op7_packing": op7_packing, "op8_url_filter": op8_url_filter, "op9_html_text": op9_html_text, "op10_mixing": op10_mixing, "pipeline": pipeline}
+QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_flac": op2_flac, "op3_toxicity": op3_toxicity, "op4_quality_rules": op4_quality_rules, "op5_chat_format": op5_chat_format, "op6_substring_dedup": op6_substring_dedup, "op7_packing": op7_packing, "op8_url_filter": op8_url_filter, "op9_html_text": op9_html_text, "op10_mixing": op10_mixing, "op13_importance": op13_importance, "pipeline": pipeline}
