@@ -54,4 +54,20 @@ IMPORTANCE = rf"""WITH lut AS ({CRC_TABLE}),
   y AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS pos, 10 * count(*) OVER () // 100 AS wanted FROM x WHERE n_features >= 20)
   SELECT x.doc_id AS doc_id, n_features, weight, score, CASE WHEN pos <= wanted THEN pos END AS rank FROM x LEFT JOIN y ON y.doc_id = x.doc_id"""
 
-ORACLE_SQL = {"op13_importance": IMPORTANCE, "op1_ngram_jaccard": NGRAM_JACCARD, "op5_chat_format": CHAT_FORMAT, "op10_mixing": MIXING}
+#: Near words share what is left of them without the letter at one place (replaced), or one of them is what is left of the other (inserted).
+SPELLING = rf"""WITH RECURSIVE lut AS ({CRC_TABLE}),
+  r AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zA-Z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents),
+  k AS (SELECT id, run, count(*) AS n FROM r GROUP BY id, run),
+  h AS (SELECT run, n, {CRC.format(s="id || ':' || run")} AS h FROM k, lut),
+  w AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM h),
+  v AS (SELECT word, sum(n)::BIGINT AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+  p AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+  g AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM p),
+  e AS (SELECT a.word AS word, b.word AS other, b.n AS other_n FROM g a JOIN g b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION SELECT g.word, v.word, v.n FROM g JOIN v ON g.rest = v.word UNION SELECT v.word, g.word, g.n FROM g JOIN v ON g.rest = v.word),
+  m AS (SELECT word, count(*) AS n_near, min((-other_n, other)) AS best FROM e GROUP BY word),
+  f AS (SELECT v.word AS word, v.n AS n, coalesce(n_near, 0) AS n_near, CASE WHEN -best[1] >= 2 * v.n THEN best[2] END AS form, CASE WHEN -best[1] >= 2 * v.n THEN -best[1] END AS form_n FROM v LEFT JOIN m ON m.word = v.word),
+  c AS (SELECT word, word AS root, 0 AS step FROM f UNION ALL SELECT c.word, f.form, step + 1 FROM c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL)
+  SELECT f.word AS word, form, z.root AS root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(root, step) AS root FROM c GROUP BY word) z ON z.word = f.word"""
+
+ORACLE_SQL = {"op12_spelling": SPELLING, "op13_importance": IMPORTANCE, "op1_ngram_jaccard": NGRAM_JACCARD, "op5_chat_format": CHAT_FORMAT, "op10_mixing": MIXING}

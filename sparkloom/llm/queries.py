@@ -109,6 +109,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.spelling import variants
+
+    found = variants(table(spark, sf_dir, "documents"), least_length=5, least_count=3, ratio=2, every=97)
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.importance import resample
 
@@ -125,4 +132,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
-QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_flac": op2_flac, "op3_toxicity": op3_toxicity, "op4_quality_rules": op4_quality_rules, "op5_chat_format": op5_chat_format, "op6_substring_dedup": op6_substring_dedup, "op7_packing": op7_packing, "op8_url_filter": op8_url_filter, "op9_html_text": op9_html_text, "op10_mixing": op10_mixing, "op13_importance": op13_importance, "pipeline": pipeline}
+QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_flac": op2_flac, "op3_toxicity": op3_toxicity, "op4_quality_rules": op4_quality_rules, "op5_chat_format": op5_chat_format, "op6_substring_dedup": op6_substring_dedup, "op7_packing": op7_packing, "op8_url_filter": op8_url_filter, "op9_html_text": op9_html_text, "op10_mixing": op10_mixing, "op12_spelling": op12_spelling, "op13_importance": op13_importance, "pipeline": pipeline}
