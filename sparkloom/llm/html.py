@@ -9,7 +9,8 @@ Weights are learned from labelled pages: pages whose own markup names the articl
 them by a hash. For each kind of element (its tag, and its tag with each class) the words under it are counted inside and
 outside the article, and the log odds is the kind's weight. A run's weight is the lowest of the kinds it stands under, as one
 menu or comment box is enough to disqualify it. Counts of words, summed by kind, are all that leaves the tasks. A kind that the labelled pages
-have in LEAST_WORDS words goes by its learned weight alone; other kinds that name the unwanted parts of a page (PRIOR) have a weight of their own.
+have in LEAST_WORDS words goes by its learned weight alone; other kinds that name the unwanted parts of a page (PRIOR) have a weight of their own. What stands
+around the content (body and wrappers, whatever their classes say) has no weight, in learning and in reading: see `around_content`.
 
 Text: character references are decoded, white space inside a block becomes one blank, blocks are joined by one blank; tags that do not
 break the line put nothing between their texts. Script, style, comments and markup never count. Time is linear in the page however deep its elements nest.
@@ -25,13 +26,16 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# A tag is `<` before a letter, `/`, `!` or `?`; any other `<` is text. Quoted values of attributes may hold `<` and `>`.
+_REST = r"""(?>=\s*"[^"]*"|=\s*'[^']*'|[^<>])*+"""
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!?[^<>]*(?:>|\Z)|[^<]+|<", re.S | re.I
+    rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea)\b{_REST}>.*?(?:</\1\s*>|\Z)|</?[a-z]{_REST}(?:>|\Z)|<[!?/][^<>]*(?:>|\Z)|[^<]+|<", re.S | re.I
 )
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)")
 _CLASS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -104,20 +108,53 @@ class Stack(list):
                 self.at_pop(self, self.pop())
 
 
+@lru_cache(100_000)
 def prior(kind: str) -> float | None:
+    """Names count whole, or when each of their parts is a name of the list (cookie-banner, but not article-header)."""
     name, _, word = kind.partition(".")
-    parts = re.split(r"[^a-z0-9]+", word)
-    return PRIOR_WEIGHT if name in PRIOR_TAGS or PRIOR_WORDS.intersection(parts) else None
+    parts = [p for p in re.split(r"[^a-z0-9]+", word) if p]
+    return PRIOR_WEIGHT if name in PRIOR_TAGS or parts and PRIOR_WORDS.issuperset(parts) else None
+
+
+def around_content(page: str) -> frozenset[int]:
+    """The elements (numbers of their opening tags) around the page's content, which are never unwanted whatever they are called: those around the first
+    <main>, else around the first <article> that isn't named as unwanted. A page with neither has its content in the parent with the most words in paragraphs
+    outside unwanted elements, or, if all are inside some (a form around the whole page), in that with the most words."""
+    outside: list[int] = []  # by element: the one it stands in, -1 for none
+
+    def at_push(stack: Stack, own: tuple[str, ...]) -> list:
+        outside.append(stack[-1][2] if stack else -1)
+        return [len(outside) - 1, (stack[-1][3] if stack else False) or any(prior(k) is not None for k in own)]
+
+    stack = Stack(at_push)
+    article, words = -1, Counter()
+    for what, value in stack.runs(page):
+        if what == "open" and value in CONTAINERS and stack:
+            if value == "main":
+                article = stack[-1][2]
+                break
+            if article < 0 and all(prior(k) is None for k in stack[-1][1]):
+                article = stack[-1][2]
+        elif what == "text" and article < 0 and (at := next((i for i in range(len(stack) - 1, max(0, len(stack) - 5), -1) if stack[i][0] == "p"), 0)):
+            words[not stack[at - 1][3], stack[at - 1][2]] += len(value.split())
+    if article < 0 and words:
+        article = max(words, key=lambda k: (k[0], words[k], -k[1]))[1]
+    around = set()
+    while article >= 0:
+        around.add(article)
+        article = outside[article]
+    return frozenset(around)
 
 
 def count_kinds(page: str) -> Counter:
-    """(kind, inside the article): words, of a page with one article. Words count for each element they stand in, those of the article for the elements in it."""
+    """(kind, inside the article): words, of a page with one article. Words count for each element they stand in, those of the article for the elements in it.
+    The article itself and what stands around it say nothing: they hold content and the rest."""
     out: Counter = Counter()
 
     def at_pop(stack: Stack, entry: list) -> None:
         name, own, inside, good, bad = entry
         if not inside:
-            good = 0  # it is around the article, or the article itself
+            own = () if good or name == "article" else own
         for kind in own:
             if good:
                 out[kind, True] += good
@@ -165,6 +202,8 @@ class Extractor:
     def __init__(self, weights: dict[str, float]):
         self.weights = weights
         self.known: dict[tuple[str, ...], float | None] = {}
+        self.around: frozenset[int] = frozenset()
+        self.number = 0
 
     def weight(self, own: tuple[str, ...]) -> float | None:
         """The lowest weight among an element's kinds, none if it has none."""
@@ -177,12 +216,14 @@ class Extractor:
 
     def _push(self, stack: Stack, own: tuple[str, ...]) -> list:
         """The lowest weight of the elements down to this one (none if no kind has any), and whether the content's own element is open."""
-        weight, (above, inside) = self.weight(own), stack[-1][2:] if stack else (None, False)
+        weight, (above, inside) = None if self.number in self.around else self.weight(own), stack[-1][2:] if stack else (None, False)
+        self.number += 1
         lowest = above if weight is None else weight if above is None else min(weight, above)
         return [lowest, inside or own[0] in CONTAINERS]
 
     def text(self, page: str | None) -> str:
         best, best_at, total, start = 0.0, (0, 0), 0.0, 0
+        self.around, self.number = around_content(page or ""), 0
         parts: list[tuple[str, bool]] = []  # text with its place's verdict; an empty text breaks the line
         stack = Stack(self._push)
         for what, value in stack.runs(page or ""):

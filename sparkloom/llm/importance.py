@@ -24,30 +24,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from sparkloom.llm.common import materialize
+from sparkloom.llm.common import materialize, slices
 
 #: Between words stands any ASCII character that is neither a digit nor a letter; upper-case letters have been lowered by then.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Text bytes that go through the kernels at once.
-SLICE_BYTES = 8 << 20
 ADDED = ("n_features", "n_words", "weight", "score", "rank")
 
 
-def slices(texts: pa.Array) -> Iterator[pa.Array]:
-    """Runs of rows of about SLICE_BYTES, whatever the batch holds; a longer text is a run of its own."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < len(texts):
-        before = sizes[at - 1] if at else 0
-        upto = max(at + 1, int(np.searchsorted(sizes, before + SLICE_BYTES, side="right")))
-        yield texts.slice(at, upto - at)
-        at = upto
-
-
 def features(texts: pa.Array, n: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, bucket) of each occurrence of a run of 1 to n words, and the rows' word counts."""
     lists = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())), pattern=BETWEEN)
@@ -157,8 +144,6 @@ def resample(
         rows.append((k, before))
         before += sizes[k]
     starts = spark.createDataFrame(rows, "_range int, _before long")  # one row a range
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + F.col("_before")
     ranked = dealt.join(F.broadcast(starts), "_range").withColumn("rank", F.when(place <= wanted, place.cast("long")))
     return ranked.select(*scored.columns, "rank").unionByName(scored.where(~inside).withColumn("rank", F.lit(None).cast("long")))

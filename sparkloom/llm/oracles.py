@@ -70,4 +70,11 @@ SPELLING = rf"""WITH RECURSIVE lut AS ({CRC_TABLE}),
   c AS (SELECT word, word AS root, 0 AS step FROM f UNION ALL SELECT c.word, f.form, step + 1 FROM c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL)
   SELECT f.word AS word, form, z.root AS root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(root, step) AS root FROM c GROUP BY word) z ON z.word = f.word"""
 
-ORACLE_SQL = {"op12_spelling": SPELLING, "op13_importance": IMPORTANCE, "op1_ngram_jaccard": NGRAM_JACCARD, "op5_chat_format": CHAT_FORMAT, "op10_mixing": MIXING}
+LINE_DEDUP = r"""WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+  l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d),
+  k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+  h AS (SELECT key, max(doc_id) AS keeps FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+  v AS (SELECT k.*, h.key IS NOT NULL AND doc_id <> keeps AS gone FROM k LEFT JOIN h ON h.key = k.key)
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM v GROUP BY doc_id"""
+
+ORACLE_SQL = {"op11_line_dedup": LINE_DEDUP, "op12_spelling": SPELLING, "op13_importance": IMPORTANCE, "op1_ngram_jaccard": NGRAM_JACCARD, "op5_chat_format": CHAT_FORMAT, "op10_mixing": MIXING}

@@ -109,6 +109,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.common import scratch
+    from sparkloom.llm.lines import LineIndex
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = LineIndex(spark, scratch(spark, "line-index"), least_docs=3, least_chars=20)
+    index.insert(docs)
+    kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return index.clean(docs).select("doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.spelling import variants
 
@@ -132,4 +143,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
-QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_flac": op2_flac, "op3_toxicity": op3_toxicity, "op4_quality_rules": op4_quality_rules, "op5_chat_format": op5_chat_format, "op6_substring_dedup": op6_substring_dedup, "op7_packing": op7_packing, "op8_url_filter": op8_url_filter, "op9_html_text": op9_html_text, "op10_mixing": op10_mixing, "op12_spelling": op12_spelling, "op13_importance": op13_importance, "pipeline": pipeline}
+QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_flac": op2_flac, "op3_toxicity": op3_toxicity, "op4_quality_rules": op4_quality_rules, "op5_chat_format": op5_chat_format, "op6_substring_dedup": op6_substring_dedup, "op7_packing": op7_packing, "op8_url_filter": op8_url_filter, "op9_html_text": op9_html_text, "op10_mixing": op10_mixing, "op11_line_dedup": op11_line_dedup, "op12_spelling": op12_spelling, "op13_importance": op13_importance, "pipeline": pipeline}

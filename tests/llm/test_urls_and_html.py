@@ -3,8 +3,11 @@
 import random
 import re
 
+import pytest
+
 from sparkloom.llm import html, urls
 from sparkloom.llm.queries import URL_RULES, op8_url_filter
+from tests.oracle import SF_DIR
 
 
 def plain_parts(url):
@@ -182,3 +185,47 @@ def test_learned_weights_decide_where_names_say_nothing(spark):
     listed = [html.Extractor({}).text(h) == want[i] for i, h in rows if want[i]]
     assert all(learned) and not any(listed)
     assert {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, html string")).collect() if r.page_id >= 40} == {i: t for i, t in want.items() if t}
+
+
+def wrapped(page, how):
+    """The page in another layout; its article's text stays, or gains a paragraph at its end."""
+    body = lambda open_, close: page.replace("<body>", f"<body>{open_}", 1).replace("</body>", f"{close}</body>", 1)
+    if how == "wrapper":
+        return body('<div class="wrapper">', "</div>")
+    if how == "body":
+        return page.replace("<body>", '<body class="home no-sidebar comment">', 1)
+    if how == "form":
+        return body('<form id="aspnet" class="post-with-comments"><main id="content">', "</main></form>")
+    if how == "names":
+        return page.replace("<article>", '<article class="share-market-news">', 1).replace("<h1>", '<h1 class="article-header">')
+    return page.replace("</article>", '<p title="a > b" data-x=\'<p>\'>if 5 < 6 and 7 > 3 then end.</p></article>', 1)
+
+
+@pytest.mark.parametrize("how", ["wrapper", "body", "form", "names", "signs"])
+def test_every_page_in_another_layout_gives_the_same_text(spark, how):
+    path = SF_DIR.replace("sf0.001", "sf0.01") + "/pages.parquet"
+    rows = [(r.page_id, r.html) for r in spark.read.parquet(path).select("page_id", "html").collect()]
+    want = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, html string").repartition(4)).collect()}
+    assert sum(map(bool, want.values())) > 0.9 * len(want)
+    changed = [(i, wrapped(h or "", how)) for i, h in rows]
+    assert sum(a != b for (_, a), (_, b) in zip(rows, changed, strict=True)) > 0.9 * len(rows)
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(changed, "page_id long, html string").repartition(4)).collect()}
+    more = " if 5 < 6 and 7 > 3 then end." if how == "signs" else ""
+    for i, h in rows:
+        assert got[i] == (want[i] + (more if "</article>" in (h or "") else "")).strip()
+
+
+def test_unwanted_boxes_go_wherever_the_content_is():
+    e = html.Extractor({})
+    say = "<p>Some words of the text stand here and go on.</p>" * 3
+    text = " ".join(["Some words of the text stand here and go on."] * 3)
+    assert e.text(f"<body class='home'><nav>Menu one two</nav><div class=post>{say}</div><div class=comments>{say * 5}</div><footer>Rights</footer></body>") == text
+    assert e.text(f"<form class=widget><div class=post>{say}</div></form>") == text
+    assert e.text(f"<body><article>{say}</article><section class=comments><article class=comment>{say * 9}</article></section></body>") == text
+    assert e.text(f"<body><div class='cookie-banner'>{say}</div><main class=sidebar>{say}</main></body>") == text
+    assert e.text("a < b <3 <a href='x>y' title=\"<p>\">link</a> 5<6") == "a < b <3 link 5<6"
+    assert len(e.text("<div><p>" + "<div><p>word " * 50_000).split()) == 50_000
+
+
+def test_time_is_linear_in_quotes():
+    assert html.Extractor({}).text("<p>" + "<a b=\"" * 20_000 + "word") in ("", "word")
