@@ -71,3 +71,10 @@ def merged(base: Column, patch: Column) -> Column:
     kind = "map<string,string>"
     a, b = (F.coalesce(F.from_json(c, kind), F.create_map().cast(kind)) for c in (base, patch))
     return F.to_json(F.map_zip_with(a, b, lambda _, x, y: F.coalesce(y, x)))
+
+
+def evidence_rank(match: Column, source: Column | None = None, content: Column | None = None, density: Column | None = None, retrieval: Column | None = None) -> Column:
+    """How good a piece of evidence is: mostly its match, then the quality of source and text (0.5 where unknown) and the retrieval's score, to four places (halves go up)."""
+    known = lambda c: F.lit(0.5) if c is None else F.coalesce(c, F.lit(0.5))
+    found = F.lit(0.0) if retrieval is None else clamp(F.coalesce(retrieval, F.lit(0.0)), 0.0, 5.0) / 5.0
+    return F.round(clamp(match * 0.46 + known(source) * 0.2 + known(content) * 0.14 + known(density) * 0.1 + found * 0.1, 0.0, 0.99), 4)

@@ -4,6 +4,9 @@ The side with fewer bytes goes to the tasks in blocks of `block_bytes` (one bloc
 where it lies and is streamed. If patterns go, a task builds one automaton a block and runs its texts through it; if texts go, a task builds automata from
 its own patterns, some megabytes at a time, and runs the block's texts through each. Either way pairs are found where the larger side lies, without a shuffle.
 
+`token_shares` is retrieval by the same means: which part of a query's tokens a text contains. Tokens of the queries, a stated and size-checked set sent in blocks, form one automaton with
+the queries of each token beside it; a text is read once, its hits are summed by query in the task, and only pairs above the threshold leave it.
+
 Defined cases: an empty pattern is in no text; repeated patterns and texts count once; nulls are ignored; an empty side gives no pairs.
 """
 
@@ -85,3 +88,47 @@ def contained(patterns: DataFrame, texts: DataFrame, block_bytes: int = BLOCK_BY
         pairs = many.mapInArrow(by_patterns if patterns_go else by_texts, "pattern string, text string")
         out = pairs if out is None else out.unionByName(pairs)
     return out
+
+
+def token_shares(queries: DataFrame, texts: DataFrame, id_cols: list[str], text_col: str, least: float, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(id_cols, query, share): texts that contain at least this share of a query's tokens, as substrings. queries: query (long), tokens (distinct strings); those without tokens match nothing."""
+    from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+
+    spark = queries.sparkSession
+    queries = queries.select(F.col("query").cast("long").alias("query"), "tokens").where("size(tokens) > 0")
+    size = queries.agg(F.sum(F.aggregate("tokens", F.lit(0), lambda a, t: a + F.octet_length(t)))).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    own = [texts.schema[c] for c in id_cols]
+    schema = StructType([*own, StructField("query", LongType()), StructField("share", DoubleType())])
+    source, out = texts.where(F.col(text_col).isNotNull()).select(*id_cols, text_col), None
+    for block in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block).collect()  # block_bytes or so, at most
+        sent = spark.sparkContext.broadcast([(r["query"], list(r["tokens"])) for r in rows])
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            import numpy as np
+
+            of: dict[str, list[int]] = {}
+            for i, (_, tokens) in enumerate(sent.value):
+                for t in tokens:
+                    of.setdefault(t, []).append(i)
+            built, ids, sizes = automaton(list(of)), np.array([q for q, _ in sent.value], np.int64), np.array([len(t) for _, t in sent.value], np.int64)
+            lists = {t: np.array(v) for t, v in of.items()}
+            for batch in batches:
+                at, query, share = [], [], []
+                for i, text in enumerate(batch.column(len(own)).to_pylist() if len(built) else ()):
+                    hits = [lists[t] for t in found(built, text)]
+                    if hits:
+                        shares = np.bincount(np.concatenate(hits), minlength=len(ids)) / sizes
+                        some = np.flatnonzero(shares >= least)
+                        at += [i] * len(some)
+                        query.append(ids[some])
+                        share.append(shares[some])
+                take = pa.array(at, pa.int64())
+                columns = [c.take(take) for c in batch.columns[: len(own)]]
+                flat = [pa.array(np.concatenate(x) if x else [], kind) for x, kind in ((query, pa.int64()), (share, pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*columns, *flat], names=[f.name for f in schema.fields])
+
+        part = source.mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -1,8 +1,7 @@
-"""Selections with quotas: per source, round robin, priority fronts, and greedy diversification by task."""
+"""Selections with quotas: per source, round robin and priority fronts."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,34 +31,3 @@ def domain_penalty(hits: DataFrame, task: list[str], domain: str, order: list[Co
     """.06 for each hit of the domain before this one, .18 at most."""
     before = F.row_number().over(Window.partitionBy(*task, domain).orderBy(*order)) - 1
     return hits.withColumn("prior_same_domain", before.cast("long")).withColumn("penalty", F.least(F.lit(0.18), before * 0.06))
-
-
-def reuse_penalty(chunk: Column, span: Column, content: Column) -> Column:
-    """What earlier uses of a chunk, span or content cost."""
-    each = F.least(F.lit(0.08), chunk * 0.04) + F.least(F.lit(0.10), span * 0.05) + F.least(F.lit(0.06), content * 0.03)
-    return F.least(F.lit(0.14), each)
-
-
-def diversify(candidates: DataFrame, limit: int, expected: list[str]) -> DataFrame:
-    """Greedy choice by task: a row of each expected category, then of each source not chosen yet, then the best; statements
-    with the same identity once. candidates: task_id, candidate_id, category, source, identity, score. A task's candidates are few by
-    construction (they are drawn for one question), so one pandas group per task holds them."""
-
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        ranked = group.sort_values(["score", "candidate_id"], ascending=[False, True]).drop_duplicates("identity")
-        chosen: list[int] = []
-        taken = lambda column: set(ranked.loc[chosen, column])
-        for category in expected:
-            some = ranked[(ranked.category == category) & ~ranked.index.isin(chosen)]
-            if len(some) and len(chosen) < limit:
-                chosen.append(some.index[0])
-        for i, row in ranked.iterrows():
-            if len(chosen) < limit and i not in chosen and row.source not in taken("source"):
-                chosen.append(i)
-        for i in ranked.index:
-            if len(chosen) < limit and i not in chosen:
-                chosen.append(i)
-        return ranked.loc[chosen].assign(position=range(1, len(chosen) + 1))[["task_id", "candidate_id", "position"]]
-
-    kind = candidates.schema["task_id"].dataType.simpleString()
-    return candidates.groupBy("task_id").applyInPandas(choose, f"task_id {kind}, candidate_id string, position long")

@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
 from sparkloom.functions import web
+from sparkloom.functions.scores import evidence_rank
 from sparkloom.operators import coverage as C
+from sparkloom.operators import diversify as D
+from sparkloom.operators import reuse as R
 from sparkloom.operators import selection as S
 from sparkloom.operators import spans
 from sparkloom.operators import verification as V
+from sparkloom.operators.containment import token_shares
 from sparkloom.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -149,11 +153,10 @@ def interval_overlap_locators(spark: SparkSession, d: str) -> DataFrame:
   SELECT item_id, doc_id, source, round(s, 4) AS score FROM m WHERE s >= 0.5""")
 def local_retrieve(spark: SparkSession, d: str) -> DataFrame:
     """Documents with at least half of a query's tokens as substrings. Queries: every item whose id is divisible by 100, against all documents."""
-    q = table(spark, d, "benchmark").where("item_id % 100 = 0").select("item_id", T.token_set(F.col("text")).alias("t")).where("size(t) > 0")
-    docs = table(spark, d, "documents").select("doc_id", "source", F.lower("text").alias("low"))
-    hits = docs.join(F.broadcast(q), F.lit(True))  # the stated query set, a bounded table, against all rows
-    share = F.size(F.filter("t", lambda x: F.contains(F.col("low"), x))) / F.size("t")
-    return hits.select("item_id", "doc_id", "source", share.alias("s")).where("s >= 0.5").select("item_id", "doc_id", "source", F.round("s", 4).alias("score"))
+    q = table(spark, d, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query"), T.token_set(F.col("text")).alias("tokens"))
+    docs = V.spread(table(spark, d, "documents").select("doc_id", "source", F.lower("text").alias("low")))
+    hits = token_shares(q, docs, ["doc_id", "source"], "low", 0.5)
+    return hits.select(F.col("query").alias("item_id"), "doc_id", "source", F.round("share", 4).alias("score"))
 
 
 @query(f"""WITH r AS ({{local}}), p AS (SELECT *, row_number() OVER (PARTITION BY item_id, source ORDER BY score DESC, doc_id) - 1 AS prior_same_domain FROM r)
@@ -271,15 +274,64 @@ def reuse_topk(spark: SparkSession, d: str) -> DataFrame:
     return C.reuse(table(spark, d, "lineitem"), "l_partkey", "l_suppkey")
 
 
-@query()
-def diversified_claims(spark: SparkSession, d: str) -> DataFrame:
-    """The best and most varied sentences of each conversation."""
+#: What a sentence may say, in the order of the slots.
+SENTENCE_SLOTS = ("number", "negation", "question", "detail")
+
+
+def claim_candidates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The sentences of conversations as candidates, best first (denser ones, then earlier ones), and each conversation's terms."""
     rows = table(spark, d, "conversations").select("conv_id", "turn", "role", F.posexplode(T.sentences(F.col("text"))).alias("n", "excerpt"))
+    text, density = F.col("excerpt"), F.round(T.information_density(F.col("excerpt")), 4)
+    says = (F.size(T.numbers(text)) > 0, T.has_negation(text), F.contains(text, F.lit("?")), F.size(T.tokens(text)) >= 12)
+    slots = F.array_compact(F.array(*[F.when(c, F.lit(s)) for s, c in zip(SENTENCE_SLOTS, says, strict=True)]))
+    # Unique in a conversation of up to 2 ** 19 turns of as many sentences, and ordered by score, turn and place.
+    position = (F.lit(10_000) - F.round(density * 10_000)).cast("long") * (1 << 38) + F.col("turn").cast("long") * (1 << 19) + F.col("n")
+    none = F.array().cast("array<int>")
     found = rows.select(
-        F.col("conv_id").alias("task_id"), T.candidate_id(F.col("conv_id"), F.col("turn"), F.col("n"), F.col("excerpt")).alias("candidate_id"), F.col("role").alias("category"),
-        F.col("turn").alias("source"), T.claim_identity(F.col("excerpt")).alias("identity"), T.information_density(F.col("excerpt")).alias("score"),
+        F.col("conv_id").alias("task_id"), position.alias("position"), F.concat(F.coalesce("role", F.lit("")), F.lit(":"), T.claim_identity(text)).alias("semantic_key"), T.claim_identity(text).alias("identity"),
+        F.floor(F.col("n") / 4).alias("paragraph"), F.col("turn").alias("document"), F.col("role").alias("category"), "role", slots.alias("slots"), none.alias("markers"), none.alias("exact_markers"), F.lit(False).alias("code"),
+        (density >= 0.5).alias("relevant"), (density >= 0.5).alias("role_allowed"), F.lit(False).alias("normalized"), F.lit(0.5).alias("source_quality"), density.alias("answer_score"), density.alias("final_score"), "excerpt",
+    )
+    strings = lambda *x: F.array(*map(F.lit, x))
+    tasks = found.select("task_id").distinct().select(
+        "task_id", F.when(F.col("task_id") % 2 == 0, "technical").otherwise("deployment").alias("kind"), strings(*SENTENCE_SLOTS).alias("slots"), F.lit(0).alias("n_markers"), strings("assistant").alias("roles"), strings("assistant", "user").alias("categories"), F.lit(True).alias("balanced"),
+    )
+    return found, tasks
+
+
+@query()
+def diversified_claims(spark: SparkSession, d: str) -> DataFrame:
+    """The best and most varied sentences of each conversation: open slots, the assistant's, one of each turn, both sides, then the densest."""
+    found, tasks = claim_candidates(spark, d)
+    chosen, near = D.choose(found, tasks, 8)
+    return chosen.join(near, "task_id").select("task_id", "position", F.col("choice").cast("long").alias("choice"), "near_duplicates")
+
+
+def evidence_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """What documents say about the benchmark's statements, ranked for the choice of evidence; fifty items are a task."""
+    found = verify_statements(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    density = F.round(T.information_density(F.col("excerpt")), 4)
+    claim_no = F.col("item_id") * 100_000 + F.col("span_no")
+    span = F.concat_ws(":", "doc_id", "excerpt_no", "pair")
+    return found.select(
+        F.floor(F.col("item_id") / 50).cast("long").alias("task_id"), claim_no.alias("claim_no"), span.alias("candidate_id"), "relation", evidence_rank(F.col("score"), density=density).alias("rank_score"),
+        F.col("doc_id").cast("string").alias("chunk_id"), span.alias("span_key"), T.excerpt_hash(F.col("excerpt")).alias("content_key"), F.col("source").alias("domain"), T.excerpt_hash(F.col("excerpt")).alias("content_hash"),
+        F.lit(0.5).alias("source_quality"), density.alias("content_quality"), F.col("excerpt_no").cast("int").alias("chunk_no"), F.lit(0).alias("start_offset"), F.col("doc_id").alias("source_id"),
     )
-    return S.diversify(found, 5, ["assistant", "user"])
+
+
+@query()
+def evidence_selection(spark: SparkSession, d: str) -> DataFrame:
+    """The evidence of each statement: at most a support, a contradiction and a weak support, where excerpts that earlier statements use count less."""
+    chosen = R.select_evidence(evidence_candidates(spark, d))
+    return chosen.select("task_id", "claim_no", "relation", "candidate_id", "rank_score", "adjusted_score", "reuse_penalty", "chunk_before", "span_before", "content_before", "selection_rank")
+
+
+@query()
+def evidence_diversity(spark: SparkSession, d: str) -> DataFrame:
+    """For each statement that documents bear on, how varied its evidence is."""
+    found = V.written(evidence_candidates(spark, d), "candidates")
+    return R.diversity(R.select_evidence(found), found.select("task_id", "claim_no"))
 
 
 @query()
