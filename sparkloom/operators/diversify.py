@@ -13,6 +13,8 @@ differs, by their paragraph, by their document. So of a facet only these rows ca
   can hold the key, the first `limit` paragraphs too;
 - of a paragraph, the first `limit` semantic keys, as at most `limit` - 1 are held;
 - the first `limit` ** 2 + `limit` semantic keys, as those before it are held or stand first in a used paragraph.
+That is for lists whose first rows are much alike. Tasks of up to 4 * `limit` ** 2 candidates are kept whole, and of a list whose first so many rows hold 2 * `limit` - 1 with
+semantic keys and paragraphs of their own, only these rows can be chosen.
 Where one candidate of each document is wanted, documents take the paragraphs' part. Lists that aren't read past a row that can't be added keep their first `limit` + 1 rows.
 Slots count as a facet per set of slots, as rows with equal slots keep their order. These are windows cut to a few rows, which Spark limits before the shuffle,
 so a task with a third of all candidates is no hot group, and what reaches the ladder is bounded by the limit and the number of facets.
@@ -54,8 +56,9 @@ def _prepared(candidates: DataFrame, tasks: DataFrame) -> DataFrame:
         "task_id", F.col("position").cast("long").alias("position"), "slots", F.coalesce("markers", F.array().cast("array<int>")).alias("markers"), F.coalesce("exact_markers", F.array().cast("array<int>")).alias("exact_markers"),
         *[F.coalesce(c, F.lit(False)).alias(c) for c in FLAGS], *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in SCORES], *[F.coalesce(F.col(c).cast("string"), F.lit(NO_TEXT)).alias(c) for c in TEXTS],
     )
-    # A paragraph is its document's.
-    joined = own.withColumn("paragraph", F.concat("document", F.lit("\u0001"), "paragraph")).join(terms, "task_id")
+    # A paragraph is its document's. What is only compared is kept as a digest of 128 bits, however long it is.
+    own = own.withColumn("paragraph", F.concat("document", F.lit("\u0001"), "paragraph")).withColumns({c: F.unhex(F.md5(c)) for c in ("semantic_key", "identity", "paragraph", "document")})
+    joined = own.join(terms, "task_id")
     bit = F.transform(F.coalesce("slot_order", F.array().cast("array<string>")), lambda s, i: F.when(F.array_contains(F.coalesce("slots", F.array().cast("array<string>")), s), F.pow(F.lit(2.0), i).cast("long")).otherwise(F.lit(0).cast("long")))
     return joined.withColumn("bits", F.aggregate(bit, F.lit(0).cast("long"), lambda a, b: a + b)).drop("slots", "slot_order")
 
@@ -98,6 +101,24 @@ def facets(rows: DataFrame) -> DataFrame:
 
 def contenders(rows: DataFrame, limit: int) -> DataFrame:
     """(task_id, position) of the candidates that the ladder may choose."""
+    enough = max(64, 4 * limit * limit)
+    sizes = rows.groupBy("task_id").agg(F.count("*").alias("n"))
+    small = rows.join(sizes.where(F.col("n") <= enough).select("task_id"), "task_id", "left_semi").select("task_id", "position")
+    large = rows.join(sizes.where(F.col("n") > enough).select("task_id"), "task_id", "left_semi")
+    # Most lists of a large task are varied: 2 * limit - 1 of their first rows have semantic keys and places of their own, and choices bar fewer. Nothing after them counts.
+    at = F.row_number().over(Window.partitionBy("task_id", "facet").orderBy("key"))
+    heads = _written(facets(large).withColumn("_n", at).where(F.col("_n") <= enough).drop("_n"), "diversify-heads")
+    one = heads.groupBy("task_id", "facet", "place").agg(F.min_by("semantic_key", "key").alias("semantic_key"))
+    apart = one.groupBy("task_id", "facet").agg(F.count_distinct("semantic_key").alias("apart"))
+    told = heads.groupBy("task_id", "facet").agg(F.count("*").alias("n")).join(apart, ["task_id", "facet"])
+    told = _written(told.withColumn("done", (F.col("n") < enough) | (F.col("apart") >= 2 * limit - 1)), "diversify-told")
+    easy = heads.join(told.where("done").select("task_id", "facet"), ["task_id", "facet"], "left_semi").select("task_id", "position")
+    hard = facets(large).join(told.where("not done").select("task_id", "facet"), ["task_id", "facet"], "left_semi")
+    return small.unionByName(easy).unionByName(_few(hard, limit)).distinct()
+
+
+def _few(listed: DataFrame, limit: int) -> DataFrame:
+    """(task_id, position) of the rows of lists that may be chosen, however alike the lists' first rows are."""
     facet, cell = ("task_id", "facet"), ("semantic_key", "identity", "place")
 
     def first(df: DataFrame, by: tuple[str, ...], most: int) -> DataFrame:
@@ -107,7 +128,7 @@ def contenders(rows: DataFrame, limit: int) -> DataFrame:
     def best(df: DataFrame, by: tuple[str, ...]) -> DataFrame:
         return df.groupBy(*facet, *by).agg(F.min("key").alias("key"))
 
-    listed = _written(first(facets(rows), cell, limit), "diversify-listed")
+    listed = _written(first(listed, cell, limit), "diversify-listed")
     cells = best(listed, cell)
     # While nothing of a semantic key is chosen, only the first row of each of its places can be; then only the identity that was.
     free = first(first(cells, ("semantic_key", "place"), 1), ("semantic_key",), limit)
@@ -121,7 +142,7 @@ def contenders(rows: DataFrame, limit: int) -> DataFrame:
     kept = listed.join(cells.drop("key"), [*facet, *cell], "left_semi").select("task_id", "position")
     # These lists are not read past a row that can't be added, so their first rows count whatever bars them.
     strict = first(listed.where("facet like 'slots %' or facet = 'normalized'"), (), limit + 1).select("task_id", "position")
-    return kept.unionByName(strict).distinct()
+    return kept.unionByName(strict)
 
 
 class _State:
@@ -240,7 +261,7 @@ def choose(candidates: DataFrame, tasks: DataFrame, limit: int) -> tuple[DataFra
     rows = _written(_prepared(candidates, tasks), "diversify-rows")
     few = rows.join(contenders(rows, limit), ["task_id", "position"], "left_semi")
     kind = rows.schema["task_id"].dataType.simpleString()
-    schema = f"task_id {kind}, position long, choice int, semantic_key string, identity string, document string, met int, log array<struct<{LOG.replace(' ', ':').replace(',:', ',')}>>"
+    schema = f"task_id {kind}, position long, choice int, semantic_key binary, identity binary, document binary, met int, log array<struct<{LOG.replace(' ', ':').replace(',:', ',')}>>"
     terms = tasks.select("task_id", F.col("slots").alias("slot_order"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -265,6 +286,9 @@ def _near_duplicates(rows: DataFrame, chosen: DataFrame, tasks: DataFrame) -> Da
     of = lambda c: Window.partitionBy("task_id", c).orderBy("choice")
     taken = chosen.withColumn("_n", F.row_number().over(of("semantic_key"))).where("_n = 1").select("task_id", "semantic_key", F.col("identity").alias("held"), F.col("choice").alias("at"), F.col("position").alias("at_position"))
     covered = chosen.withColumn("_n", F.row_number().over(of("document"))).where("_n = 1").select("task_id", "document", F.col("choice").alias("covered"), F.col("position").alias("covered_position"))
+    # Only semantic keys with several identities can be in conflict.
+    several_ = rows.groupBy("task_id", "semantic_key").agg(F.min("identity").alias("a"), F.max("identity").alias("b")).where("a <> b").select("task_id", "semantic_key")
+    taken = taken.join(several_, ["task_id", "semantic_key"], "left_semi")
     clash = rows.join(taken, ["task_id", "semantic_key"]).where("identity <> held").join(covered, ["task_id", "document"], "left")
     steps = chosen.where("choice = 1").select("task_id", "met", F.explode("log").alias("step"))
     pairs = clash.join(steps.select("task_id", "step"), "task_id")  # each conflicting candidate with the steps of its task, a few dozen at most

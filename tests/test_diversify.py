@@ -132,7 +132,21 @@ def test_few_rows_of_a_large_task_reach_the_ladder(spark):
     df = spark.createDataFrame([tuple(r.values()) for r in rows], CANDIDATES)
     limit = 4
     prepared = diversify._prepared(df, spark.createDataFrame([tuple(t.values()) for t in tasks], TASKS))
-    assert diversify.contenders(prepared, limit).count() < 600
+    lists = diversify.facets(prepared).select("task_id", "facet").distinct().count()
+    assert diversify.contenders(prepared, limit).count() <= 64 * lists < 2000
+    assert diversify._few(diversify.facets(prepared), limit).distinct().count() < 600
+    got, near = run(spark, rows, tasks, limit)
+    want = {t["task_id"]: plain([r for r in rows if r["task_id"] == t["task_id"]], t, limit) for t in tasks}
+    assert got == {t: p for t, (p, _) in want.items()} and near == {t: n for t, (_, n) in want.items()}
+
+
+@pytest.mark.parametrize("few_keys,places", [(3, 2), (40, 1), (1, 400)])
+def test_large_tasks_of_much_the_same(spark, few_keys, places):
+    """Lists whose first rows are alike, so that only the whole reduction is right."""
+    rows, tasks = made(7, [900, 700, 800], few_keys)
+    for r in rows:
+        r["paragraph"], r["document"] = f"p{r['position'] % places}", "d"
+    limit = 4
     got, near = run(spark, rows, tasks, limit)
     want = {t["task_id"]: plain([r for r in rows if r["task_id"] == t["task_id"]], t, limit) for t in tasks}
     assert got == {t: p for t, (p, _) in want.items()} and near == {t: n for t, (_, n) in want.items()}

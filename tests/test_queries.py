@@ -2,11 +2,11 @@
 
 import pytest
 
-from sparkloom.plans import evidence, quality, relational, reports, streams
+from sparkloom.plans import evidence, quality, relational, reports, rounds, streams
 from tests.oracle import SF_DIR, compare
 
-QUERIES = {**relational.QUERIES, **evidence.QUERIES, **quality.QUERIES, **reports.QUERIES, **streams.QUERIES}
-SQL = {**relational.SQL, **evidence.SQL, **quality.SQL, **reports.SQL, **streams.SQL}
+QUERIES = {**relational.QUERIES, **evidence.QUERIES, **quality.QUERIES, **reports.QUERIES, **streams.QUERIES, **rounds.QUERIES}
+SQL = {**relational.SQL, **evidence.SQL, **quality.SQL, **reports.SQL, **streams.SQL, **rounds.SQL}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
