@@ -97,18 +97,18 @@ class Ledger:
 
     def run(self, stage: str, round_no: int, tasks: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """The stage's rows of all tasks in this round. work gets the tasks (task_id) that haven't done it and returns rows, with task_id among their columns."""
-        done, read = self.commits(stage, round_no), self.spark.read
+        done = self.commits(stage, round_no)
         pending = tasks.select("task_id").distinct()
         if done:
-            pending = pending.join(read.parquet(*[f"{f}/tasks" for f in done]), "task_id", "left_anti")
+            pending = pending.join(self.spark.read.parquet(*[f"{f}/tasks" for f in done]), "task_id", "left_anti")
         folder = f"{self.path}/{stage}-{round_no}-{uuid.uuid4().hex}"
         pending.write.parquet(f"{folder}/tasks")
-        pending = read.schema(pending.schema).parquet(f"{folder}/tasks")
+        pending = self.spark.read.schema(pending.schema).parquet(f"{folder}/tasks")
         if not pending.isEmpty() or not done:
             work(pending).write.parquet(f"{folder}/rows")
             self.spark.createDataFrame([(stage, round_no, folder)], self.COMMITS).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
             done.append(folder)
-        return read.parquet(*[f"{f}/rows" for f in done])
+        return self.spark.read.parquet(*[f"{f}/rows" for f in done])
 
 
 def drain(ledger: Ledger, rows: DataFrame, order: list[str], work: Callable[[DataFrame], DataFrame], batch: int, max_batches: int, target: int | None = None, max_seconds: float | None = None) -> tuple[DataFrame, DataFrame]:

@@ -88,20 +88,20 @@ def drained(rows, batch, most, target):
 def test_drain_equals_the_loop_and_goes_on_after_a_kill(spark, tmp_path):
     rng = random.Random(3)
     share = {0: 0.5, 1: 0.0, 2: 1.0, 3: 0.2, 4: 0.6}
-    rows = [(t, n, rng.random() < share[t % 5]) for t in range(8) for n in range(rng.randrange(1, 30))]
+    rows = [(t, n, rng.random() < share[t % 5]) for t in range(10) for n in range(rng.randrange(1, 40))]
     df = spark.createDataFrame(rows, "task_id int, n int, ok boolean")
     work = lambda batch: batch.selectExpr("task_id", "n", "ok as created")
-    want = drained(rows, 4, 5, 9)
+    want = drained(rows, 4, 4, 12)
     results = lambda ends: {r["task_id"]: (r["batches"], r["created"], r["left"], r["stop_reason"]) for r in ends.collect()}
-    made, ends = rounds.drain(rounds.Ledger(spark, str(tmp_path / "a")), df, ["n"], work, 4, 5, 9)
+    made, ends = rounds.drain(rounds.Ledger(spark, str(tmp_path / "a")), df, ["n"], work, 4, 4, 12)
     assert results(ends) == want and len({w[3] for w in want.values()}) == 4
     whole = sorted(made.collect())
     assert len(whole) == sum(len([n for t, n, _ in rows if t == task and n < w[0] * 4]) for task, w in want.items())
     dying, calls = killing(work, 3)
     with pytest.raises(Killed):
-        rounds.drain(rounds.Ledger(spark, str(tmp_path / "b")), df, ["n"], dying, 4, 5, 9)
+        rounds.drain(rounds.Ledger(spark, str(tmp_path / "b")), df, ["n"], dying, 4, 4, 12)
     counted, after = killing(work, 0)
-    made, ends = rounds.drain(rounds.Ledger(spark, str(tmp_path / "b")), df, ["n"], counted, 4, 5, 9)
+    made, ends = rounds.drain(rounds.Ledger(spark, str(tmp_path / "b")), df, ["n"], counted, 4, 4, 12)
     assert results(ends) == want and sorted(made.collect()) == whole
     assert len(after) == max(w[0] for w in want.values()) - (len(calls) - 1)  # committed batches weren't worked on again
 
@@ -153,7 +153,7 @@ def plain_rounds(items, docs):
 
 
 def test_research_rounds_equal_the_loop_and_go_on_after_a_kill(spark, tmp_path, monkeypatch):
-    items = [(r.item_id, r.text) for r in table(spark, SF_DIR, "benchmark").collect() if r.item_id % 10 == 0]
+    items = [(r.item_id, r.text) for r in table(spark, SF_DIR, "benchmark").collect()]
     docs = [(r.doc_id, r.text.lower()) for r in table(spark, SF_DIR, "documents").collect() if r.text is not None]
     want = plain_rounds(items, docs)
     results = lambda tasks: {r["task_id"]: (r["rounds"], r["open"], r["stop_reason"], r["sources"]) for r in tasks.collect()}
