@@ -35,7 +35,9 @@ def canonical(url: str | None, depth: int = 2) -> tuple[str, str] | None:
         host = host.encode("idna").decode().lower()
     except ValueError:
         return None
-    path = "/" + posixpath.normpath(parts.path).lstrip("/") if parts.path.strip("/.") else "/"
+    # Two slashes at the beginning are kept, as are names of dots only; "//" alone is no path.
+    path = posixpath.normpath(parts.path) if parts.path else "/"
+    path = "" if path == "//" else path
     kept = sorted((k, v) for k, v in parse_qsl(parts.query, keep_blank_values=True) if not k.lower().startswith("utm_") and k.lower() not in TRACKING_KEYS)
     net = host if port in (None, DEFAULT_PORTS[scheme]) else f"{host}:{port}"
     return urlunsplit((scheme, net, path, urlencode(kept), "")), host

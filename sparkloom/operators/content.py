@@ -197,6 +197,13 @@ def redirect_target(text: Column, html: Column) -> Column:
     return F.coalesce(*[absolute(F.regexp_extract(where, pattern, 1)) for where in (text, html) for pattern in (address, refresh, link)])
 
 
+def redirect_stub(text: Column, html: Column) -> dict[str, Column]:
+    """Of a page that only sends its reader on: reason and followup_url, both null for any other page."""
+    line = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    stub = (F.length(line) <= MOST_STUB) & F.exists(F.array(*map(F.lit, REDIRECT_MARKS)), lambda m: F.contains(F.lower(line), m))
+    return {"reason": F.when(stub, "redirect_stub"), "followup_url": F.when(stub, redirect_target(line, html))}
+
+
 def main_content(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """pages without html, with title, text, strategy, fallback_used, removed_boilerplate (boxes left out), link_texts (links whose text is kept), dropped_fragments, and for redirect stubs
     reason and followup_url."""
@@ -213,9 +220,7 @@ def main_content(pages: DataFrame, html_col: str = "html") -> DataFrame:
     chosen = read.withColumn("_found", F.when(titled, F.col("_title")).otherwise(found)).withColumn("strategy", F.when(titled, "title_text_fallback").when(use_wiki, named).otherwise("main_content"))
     text, dropped = broken_links(F.col("_found"))
     out = chosen.withColumn("text", text).withColumn("dropped_fragments", dropped)
-    line = F.trim(F.regexp_replace("text", r"(?U)\s+", " "))
-    stub = (F.length(line) <= MOST_STUB) & F.exists(F.array(*map(F.lit, REDIRECT_MARKS)), lambda m: F.contains(F.lower(line), m))
-    out = out.withColumn("reason", F.when(stub, "redirect_stub")).withColumn("followup_url", F.when(stub, redirect_target(line, html)))
+    out = out.withColumns(redirect_stub(F.col("text"), html))
     out = out.withColumn("title", F.nullif("_title", F.lit(""))).withColumn("fallback_used", F.col("strategy") != "main_content")
     return out.select(*[c for c in read.columns if c not in READ.names and c != html_col], *RESULTS)
 
@@ -226,6 +231,6 @@ def segments(texts: DataFrame, id_col: str, text_col: str = "text") -> DataFrame
     squeezed = F.trim(F.regexp_replace(F.regexp_replace("raw", r"(?U)[^\S\n]+", " "), r" ?\n ?", "\n"))
     rows = rows.withColumn("segment", F.regexp_replace(squeezed, r"^\n+|\n+$", "")).where("segment <> ''")
     before = Window.partitionBy(id_col).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("start", F.coalesce(F.sum(F.length("segment") + 2).over(before), F.lit(0)))
+    placed = rows.withColumn("start", F.coalesce(F.sum(F.length("segment") + 2).over(before), F.lit(0)).cast("long"))
     number = F.row_number().over(Window.partitionBy(id_col).orderBy("n")) - 1
-    return placed.select(id_col, number.cast("long").alias("segment_no"), "start", (F.col("start") + F.length("segment")).alias("stop"), "segment")
+    return placed.select(id_col, number.cast("long").alias("segment_no"), "start", (F.col("start") + F.length("segment")).cast("long").alias("stop"), "segment")

@@ -2,11 +2,11 @@
 
 import pytest
 
-from sparkloom.plans import evidence, quality, relational, reports, rounds, streams
+from sparkloom.plans import content, eventlog, evidence, quality, relational, reports, rounds, streams
 from tests.oracle import SF_DIR, compare
 
-QUERIES = {**relational.QUERIES, **evidence.QUERIES, **quality.QUERIES, **reports.QUERIES, **streams.QUERIES, **rounds.QUERIES}
-SQL = {**relational.SQL, **evidence.SQL, **quality.SQL, **reports.SQL, **streams.SQL, **rounds.SQL}
+QUERIES = {**relational.QUERIES, **evidence.QUERIES, **quality.QUERIES, **reports.QUERIES, **streams.QUERIES, **rounds.QUERIES, **content.QUERIES, **eventlog.QUERIES}
+SQL = {**relational.SQL, **evidence.SQL, **quality.SQL, **reports.SQL, **streams.SQL, **rounds.SQL, **content.SQL, **eventlog.SQL}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -60,7 +60,9 @@ def test_chunks_cover_the_text_in_order(spark):
         ("https://duckduckgo.com/l?x=1&target=http%3A%2F%2Fb.org%2F", ("http://b.org/", "b.org")),
         ("https://www.bing.com/url?u=ftp%3A%2F%2Fb.org", ("https://www.bing.com/url?u=ftp%3A%2F%2Fb.org", "www.bing.com")),
         ("https://google.com/search?q=http%3A%2F%2Fb.org", ("https://google.com/search?q=http%3A%2F%2Fb.org", "google.com")),
-        ("http://a.org:8080//x/./y/../z", ("http://a.org:8080/x/z", "a.org")),
+        ("http://a.org:8080//x/./y/../z", ("http://a.org:8080//x/z", "a.org")),
+        ("https://a.org/...", ("https://a.org/...", "a.org")), ("https://a.org/x/...//b/", ("https://a.org/x/.../b", "a.org")), ("http://a.org///x/", ("http://a.org/x", "a.org")),
+        ("http://a.org//", ("http://a.org", "a.org")), ("http://a.org/.", ("http://a.org/", "a.org")), ("http://a.org/../..?b", ("http://a.org/?b=", "a.org")),
         ("ftp://example.com/x", None), ("not a url", None), (None, None), ("https://", None),
     ],
 )
