@@ -28,9 +28,12 @@ def stream_sequence(spark: SparkSession, d: str) -> DataFrame:
 
 @query(BATCH["tumbling_window"])
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
-    return events.drain_all(events.windowed(events.read_events(spark, d), late="36500 days"), "windows")
+    """Windows that the watermark closes an hour behind the newest event; each batch's changed windows replace the older ones."""
+    return events.drain_updates(events.windowed(events.read_events(spark, d), late="1 hour"), ["start", "event_type"], "windows")
 
 
 @query()
 def stream_states(spark: SparkSession, d: str) -> DataFrame:
-    return events.drain(events.states(events.read_events(spark, d)), "states")
+    """Changes of users' states in event time. The table is one batch that ends the stream, so nothing is later than its newest event."""
+    with events.rocks(spark):
+        return events.drain(events.ordered_states(events.read_events(spark, d), "0 seconds"), "states")

@@ -1,5 +1,9 @@
 """The event log as a stream: windows with watermarks, dense numbering and a task's state machine by key, drained to a table.
 
+`ordered_states` is the state machine in event time: events wait in their key's state until the watermark has passed them, so events that come late (but not later than the
+watermark), out of order, twice, or in another batch after a restart make no difference; a timer for the earliest one that waits wakes the key. Windows are updated batch by
+batch (`drain_updates`): each batch's changed rows are a folder of their own, written over if the batch is run again, and the newest row of a key counts; the watermark closes state.
+
 Offsets live in the checkpoint, so a restarted query goes on after the last committed batch and its sinks see each event once. State is
 kept by key and partitioned with it; a key's events of one batch are sorted before they are applied.
 """
@@ -7,11 +11,14 @@ kept by key and partitioned with it; a key's events of one batch are sorted befo
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from sparkloom.session import scratch
 
@@ -55,25 +62,69 @@ def numbered(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(number, schema, "last long", "append", GroupStateTimeout.NoTimeout)
 
 
-def step(state: str, event: str) -> str:
-    return TRANSITIONS.get(event, {}).get(state, state)
-
-
-def states(events: DataFrame) -> DataFrame:
-    """Each change of a user's state: before, after and the event that made it."""
-
-    def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now, out = state.get[0] if state.exists else FIRST, []
-        for r in pd.concat(list(frames)).sort_values(["ts", "event_id"]).itertuples():
-            after = step(now, r.event_type)
+class Ordered(StatefulProcessor):
+    """A key's events in event time: what the watermark has passed is applied in order, the rest waits."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "state string")
+        self.waiting = handle.getListState("waiting", "event_id long, at long, event_type string")
+
+    def wake_at_first(self, waiting: list[tuple]) -> None:
+        if waiting:
+            self.handle.registerTimer(min(r[1] for r in waiting))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        new = [(int(i), int(at), kind) for part in rows for i, at, kind in zip(part["event_id"], part["at_ms"], part["event_type"], strict=True) if at > passed]
+        if new:
+            self.waiting.appendList(new)
+            self.wake_at_first(new)
+        yield pd.DataFrame(columns=["event_id", "user_id", "from_state", "to_state"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed, out = timerValues.getCurrentWatermarkInMs(), []
+        waiting = {r[0]: tuple(r) for r in self.waiting.get()}  # an event that came twice waits once
+        due = sorted((r for r in waiting.values() if r[1] <= passed), key=lambda r: (r[1], r[0]))
+        now = self.state.get()[0] if self.state.exists() else FIRST
+        for i, _, kind in due:
+            after = step(now, kind)
             if after != now:
-                out.append((r.event_id, key[0], now, after))
+                out.append((i, key[0], now, after))
                 now = after
-        state.update((now,))
+        self.state.update((now,))
+        left = [r for r in waiting.values() if r[1] > passed]
+        if left:
+            self.waiting.put(left)
+        else:
+            self.waiting.clear()
+        self.wake_at_first(left)
         yield pd.DataFrame(out, columns=["event_id", "user_id", "from_state", "to_state"])
 
-    schema = "event_id long, user_id long, from_state string, to_state string"
-    return events.groupBy("user_id").applyInPandasWithState(advance, schema, "state string", "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def ordered_states(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Each change of a user's state in event time, once the watermark has passed it. Events later than the watermark are dropped by definition."""
+    timed = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late).select("event_id", "user_id", "event_type", "at", F.unix_millis("at").alias("at_ms"))
+    return timed.groupBy("user_id").transformWithStateInPandas(Ordered(), "event_id long, user_id long, from_state string, to_state string", "Append", "EventTime")
+
+
+def step(state: str, event: str) -> str:
+    return TRANSITIONS.get(event, {}).get(state, state)
+
+
+@contextmanager
+def rocks(spark: SparkSession) -> Iterator[None]:
+    """The state store that keys' lists and timers need, for streams started meanwhile."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if was is None else spark.conf.set(name, was)
 
 
 def drain(stream: DataFrame, name: str, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
@@ -84,13 +135,19 @@ def drain(stream: DataFrame, name: str, path: str | None = None, checkpoint: str
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def drain_all(stream: DataFrame, name: str) -> DataFrame:
-    """The whole result of an aggregation after all that is there (complete mode): the last batch's table."""
-    spark, at = stream.sparkSession, {}
+def drain_updates(stream: DataFrame, keys: list[str], name: str, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """The rows of an aggregation after all that is there: the newest of each key over all batches. With given paths a later call goes on from there."""
+    spark = stream.sparkSession
+    path, checkpoint = path or scratch(spark, name), checkpoint or scratch(spark, f"{name}-checkpoint")
 
     def keep(batch: DataFrame, number: int) -> None:
-        at["path"] = scratch(spark, name)
-        batch.write.parquet(at["path"])
-
-    stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", scratch(spark, f"{name}-checkpoint")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(at["path"])
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], stream.schema)
+    rest = [c for c in stream.columns if c not in keys]
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(path)
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("now"))
+    return newest.select(*keys, *[F.col("now")[c].alias(c) for c in rest]).select(stream.columns)
