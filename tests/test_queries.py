@@ -2,11 +2,11 @@
 
 import pytest
 
-from sparkloom.plans import content, eventlog, evidence, quality, relational, reports, rounds, streams
+from sparkloom.plans import content, eventlog, evidence, lineage, quality, relational, reports, rounds, streams
 from tests.oracle import SF_DIR, compare
 
-QUERIES = {**relational.QUERIES, **evidence.QUERIES, **quality.QUERIES, **reports.QUERIES, **streams.QUERIES, **rounds.QUERIES, **content.QUERIES, **eventlog.QUERIES}
-SQL = {**relational.SQL, **evidence.SQL, **quality.SQL, **reports.SQL, **streams.SQL, **rounds.SQL, **content.SQL, **eventlog.SQL}
+QUERIES = {**relational.QUERIES, **evidence.QUERIES, **quality.QUERIES, **reports.QUERIES, **streams.QUERIES, **rounds.QUERIES, **content.QUERIES, **eventlog.QUERIES, **lineage.QUERIES}
+SQL = {**relational.SQL, **evidence.SQL, **quality.SQL, **reports.SQL, **streams.SQL, **rounds.SQL, **content.SQL, **eventlog.SQL, **lineage.SQL}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
