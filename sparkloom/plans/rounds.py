@@ -74,10 +74,19 @@ def research(spark: SparkSession, d: str, ledger: R.Ledger) -> tuple[DataFrame,
     docs = spread(table(spark, d, "documents").select("doc_id", F.lower("text").alias("low")))
     number = F.col("task_id") * 100_000 + F.col("slot_id")
 
+    # The documents are read once, at the last round's share; each round looks at what its own share admits.
+    wanted = slots.select("task_id", "slot_id", number.alias("query"), T.token_set(F.col("said")).alias("tokens"))
+
+    def scan(pending: DataFrame) -> DataFrame:
+        own = wanted.join(pending, "task_id", "left_semi")
+        found = token_shares(own, docs, ["doc_id"], "low", SHARES[-1])
+        return found.join(own.select("query", "task_id", "slot_id"), "query").select("task_id", "slot_id", F.col("doc_id").alias("source_id"), "share")
+
+    scanned = ledger.run("scan", 0, slots.select("task_id"), scan)
+
     def search(r: int, asked: DataFrame) -> DataFrame:
-        wanted = slots.join(asked, ["task_id", "slot_id"]).select("task_id", "slot_id", number.alias("query"), T.token_set(F.col("said")).alias("tokens"))
-        found = token_shares(wanted, docs, ["doc_id"], "low", SHARES[r - 1])
-        return found.join(wanted, "query").select("task_id", "slot_id", F.col("doc_id").alias("source_id"), F.round("share", 4).alias("rank"))
+        found = scanned.where(F.col("share") >= SHARES[r - 1]).join(asked, ["task_id", "slot_id"], "left_semi")
+        return found.select("task_id", "slot_id", "source_id", F.round("share", 4).alias("rank"))
 
     def read(r: int, chosen: DataFrame) -> DataFrame:
         whole = chosen.join(slots, ["task_id", "slot_id"]).join(docs, F.col("source_id") == F.col("doc_id"))
