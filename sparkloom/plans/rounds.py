@@ -48,6 +48,17 @@ def budgeted_fetch(spark: SparkSession, d: str) -> DataFrame:
     return R.budget_summary(scanned, ["source"], FETCHES, SUCCESSES)
 
 
+@query(f"""WITH c AS (SELECT source, d.doc_id AS doc_id, l.doc_id IS NOT NULL AS existing, coalesce(n_chars >= 400, false) AS success, coalesce(lang = 'en', false) AS authoritative FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id),
+  s AS (SELECT *, count(*) FILTER (NOT existing) OVER w AS created_before, count(*) FILTER (success) OVER w AS successes_before, count(*) FILTER (success AND authoritative) OVER w AS asb, count(*) FILTER (authoritative) OVER w AS ab, count(*) FILTER (authoritative) OVER (PARTITION BY source) AS all_
+    FROM c WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+  SELECT source, doc_id, existing, success, authoritative, created_before, successes_before, created_before < {FETCHES} AND (successes_before < {SUCCESSES} OR (asb < {AUTHORITATIVE} AND ab < all_)) AS taken FROM s""")
+def fetch_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Every document of each source's scan: what was fetched before it, and whether the scan takes it."""
+    out = R.budgeted(fetch_candidates(spark, d), ["source"], ["doc_id"], FETCHES, SUCCESSES, AUTHORITATIVE)
+    flag = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    return out.select("source", "doc_id", "existing", flag("success"), flag("authoritative"), "created_before", "successes_before", "taken")
+
+
 @query(f"""WITH c AS (SELECT coalesce(source, '') AS task_id, coalesce(n_chars >= 400, false) AS ok, (row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY doc_id) - 1) // {BATCH} + 1 AS b FROM documents),
   n AS (SELECT task_id, b, count(*) AS rows_, count(*) FILTER (ok) AS new FROM c GROUP BY 1, 2),
   s AS (SELECT *, sum(new) OVER w AS created, sum(rows_) OVER w AS worked, sum(rows_) OVER (PARTITION BY task_id) AS all_, max(b) OVER (PARTITION BY task_id) AS last FROM n WINDOW w AS (PARTITION BY task_id ORDER BY b)),
