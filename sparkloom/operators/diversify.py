@@ -31,9 +31,11 @@ near duplicates; candidates without a task are ignored; other columns are not re
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from sparkloom.session import scratch
 
@@ -264,19 +266,20 @@ def choose(candidates: DataFrame, tasks: DataFrame, limit: int) -> tuple[DataFra
     schema = f"task_id {kind}, position long, choice int, semantic_key binary, identity binary, document binary, met int, log array<struct<{LOG.replace(' ', ':').replace(',:', ',')}>>"
     terms = tasks.select("task_id", F.col("slots").alias("slot_order"))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        one = group.iloc[0]
-        own = {"kind": one["kind"], "slots": one["slot_order"], "n_markers": one["n_markers"], "roles": one["roles"], "categories": one["categories"], "balanced": one["balanced"]}
-        found = group.to_dict("records")
+    out_schema = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(group: pa.Table) -> pa.Table:
+        found = group.to_pylist()
+        one = found[0]
+        own = {"kind": one["kind"], "slots": one["slot_order"], "n_markers": one["n_markers"] or 0, "roles": one["roles"], "categories": one["categories"], "balanced": one["balanced"]}
         for r in found:
             r["markers"], r["exact_markers"] = set(r["markers"]), set(r["exact_markers"])
-        own["n_markers"] = 0 if pd.isna(own["n_markers"]) else int(own["n_markers"])
         chosen, met, log = ladder(found, own, limit)
         said = [dict(zip(("facet", "open", *STOP, "before", "after"), (f, o, *(k or (None,) * 5), b, a), strict=True)) for f, o, k, b, a in log]
-        out = [(r["task_id"], r["position"], i + 1, r["semantic_key"], r["identity"], r["document"], met, said) for i, r in enumerate(chosen)]
-        return pd.DataFrame(out, columns=["task_id", "position", "choice", "semantic_key", "identity", "document", "met", "log"])
+        out = [{"task_id": r["task_id"], "position": r["position"], "choice": i + 1, "semantic_key": r["semantic_key"], "identity": r["identity"], "document": r["document"], "met": met, "log": said} for i, r in enumerate(chosen)]
+        return pa.Table.from_pylist(out, schema=out_schema)
 
-    chosen = _written(few.join(terms, "task_id").groupBy("task_id").applyInPandas(run, schema), "diversify-chosen")
+    chosen = _written(few.join(terms, "task_id").groupBy("task_id").applyInArrow(run, schema), "diversify-chosen")
     return chosen.select("task_id", "position", "choice"), _near_duplicates(rows, chosen, tasks)
 
 
