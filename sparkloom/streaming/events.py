@@ -62,53 +62,58 @@ def numbered(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(number, schema, "last long", "append", GroupStateTimeout.NoTimeout)
 
 
-class Ordered(StatefulProcessor):
-    """A key's events in event time: what the watermark has passed is applied in order, the rest waits."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("state", "state string")
-        self.waiting = handle.getListState("waiting", "event_id long, at long, event_type string")
-
-    def wake_at_first(self, waiting: list[tuple]) -> None:
-        if waiting:
-            self.handle.registerTimer(min(r[1] for r in waiting))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        new = [(int(i), int(at), kind) for part in rows for i, at, kind in zip(part["event_id"], part["at_ms"], part["event_type"], strict=True) if at > passed]
-        if new:
-            self.waiting.appendList(new)
-            self.wake_at_first(new)
-        yield pd.DataFrame(columns=["event_id", "user_id", "from_state", "to_state"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed, out = timerValues.getCurrentWatermarkInMs(), []
-        waiting = {r[0]: tuple(r) for r in self.waiting.get()}  # an event that came twice waits once
-        due = sorted((r for r in waiting.values() if r[1] <= passed), key=lambda r: (r[1], r[0]))
-        now = self.state.get()[0] if self.state.exists() else FIRST
-        for i, _, kind in due:
-            after = step(now, kind)
-            if after != now:
-                out.append((i, key[0], now, after))
-                now = after
-        self.state.update((now,))
-        left = [r for r in waiting.values() if r[1] > passed]
-        if left:
-            self.waiting.put(left)
-        else:
-            self.waiting.clear()
-        self.wake_at_first(left)
-        yield pd.DataFrame(out, columns=["event_id", "user_id", "from_state", "to_state"])
-
-    def close(self) -> None:
-        pass
+def ordered(transitions: dict[str, dict[str, str]], first: str) -> StatefulProcessor:
+    """A processor for ordered_states. Its class is made here, with all that it needs, so that it travels by value: Spark first starts it on the driver, where the package's archive isn't looked for."""
+
+    class Ordered(StatefulProcessor):
+        """A key's events in event time: what the watermark has passed is applied in order, the rest waits."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.state = handle.getValueState("state", "state string")
+            self.waiting = handle.getListState("waiting", "event_id long, at long, event_type string")
+
+        def wake_at_first(self, waiting: list[tuple]) -> None:
+            if waiting:
+                self.handle.registerTimer(min(r[1] for r in waiting))
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            passed = timerValues.getCurrentWatermarkInMs()
+            new = [(int(i), int(at), kind) for part in rows for i, at, kind in zip(part["event_id"], part["at_ms"], part["event_type"], strict=True) if at > passed]
+            if new:
+                self.waiting.appendList(new)
+                self.wake_at_first(new)
+            yield pd.DataFrame(columns=["event_id", "user_id", "from_state", "to_state"])
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            passed, out = timerValues.getCurrentWatermarkInMs(), []
+            waiting = {r[0]: tuple(r) for r in self.waiting.get()}  # an event that came twice waits once
+            due = sorted((r for r in waiting.values() if r[1] <= passed), key=lambda r: (r[1], r[0]))
+            now = self.state.get()[0] if self.state.exists() else first
+            for i, _, kind in due:
+                after = transitions.get(kind, {}).get(now, now)
+                if after != now:
+                    out.append((i, key[0], now, after))
+                    now = after
+            self.state.update((now,))
+            left = [r for r in waiting.values() if r[1] > passed]
+            if left:
+                self.waiting.put(left)
+            else:
+                self.waiting.clear()
+            self.wake_at_first(left)
+            yield pd.DataFrame(out, columns=["event_id", "user_id", "from_state", "to_state"])
+
+        def close(self) -> None:
+            pass
+
+    return Ordered()
 
 
 def ordered_states(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Each change of a user's state in event time, once the watermark has passed it. Events later than the watermark are dropped by definition."""
     timed = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late).select("event_id", "user_id", "event_type", "at", F.unix_millis("at").alias("at_ms"))
-    return timed.groupBy("user_id").transformWithStateInPandas(Ordered(), "event_id long, user_id long, from_state string, to_state string", "Append", "EventTime")
+    return timed.groupBy("user_id").transformWithStateInPandas(ordered(TRANSITIONS, FIRST), "event_id long, user_id long, from_state string, to_state string", "Append", "EventTime")
 
 
 def step(state: str, event: str) -> str:
