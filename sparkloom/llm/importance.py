@@ -37,7 +37,8 @@ ADDED = ("n_features", "n_words", "weight", "score", "rank")
 
 def features(texts: pa.Array, n: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, bucket) of each occurrence of a run of 1 to n words, and the rows' word counts."""
-    lists = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())), pattern=BETWEEN)
+    # Lowered before the cast: ascii_lower gives wrong texts for a slice whose offsets were cast.
+    lists = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(texts, "")).cast(pa.large_string()), pattern=BETWEEN)
     flat, rows = pc.list_flatten(lists), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
     full = pc.greater(pc.binary_length(flat), 0)
     coded = pc.dictionary_encode(flat.filter(full))

@@ -146,6 +146,24 @@ def test_features_of_pairs_stay_inside_their_row():
     assert n_words.tolist() == [2, 0, 3, 1]
 
 
+def test_features_of_a_slice_are_those_of_its_texts():
+    import pyarrow as pa
+
+    texts = ["Foo Bär %d" % i * (i % 5 + 1) for i in range(60)]
+    for kind in (pa.string(), pa.large_string()):
+        whole = pa.array(texts, kind)
+        for at in range(0, len(texts), 7):
+            got, want = features(whole.slice(at, 7), 2, 997), features(pa.array(texts[at : at + 7], kind), 2, 997)
+            assert all(a.tolist() == b.tolist() for a, b in zip(got, want, strict=True)), (kind, at)
+
+
+def test_documents_of_more_than_a_slice(spark):
+    texts = [f"Word{i % 7} OTHER{i % 5} é{i} " * 4_000 for i in range(300)]  # 24 MB in one batch
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["n_features"] for r in resample(docs, docs.limit(1).select("text"), keep=False).collect()}
+    assert got == {i: 12_000 for i in range(300)}
+
+
 def test_empty_corpus_and_target(spark):
     none, some = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, "a " * 30)], "doc_id long, text string")
     assert resample(none, some).count() == 0
