@@ -1,57 +1,108 @@
-"""How an excerpt relates to a statement, as column expressions over precomputed token sets."""
+"""How an excerpt relates to a statement, and how precise a citation is.
+
+`Signals` and `relate` are the rule for one pair, used inside tasks where a document's excerpts meet all statements; the rest are column expressions.
+"""
 
 from __future__ import annotations
 
+import math
+import re
+import unicodedata
+from functools import cached_property
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
 
-# The thresholds and scores of relation() and citation_precision() are fixed values of the rules.
-
-
-def evidence_columns(name: str, text: Column) -> dict[str, Column]:
-    """Per text once, before any join: normal form, tokens and signals."""
-    tokens = T.token_set(text)
-    return {
-        f"{name}_norm": F.lower(T.squeeze(text)),
-        f"{name}_tokens": tokens,
-        f"{name}_meaningful": T.meaningful(tokens),
-        f"{name}_negated": T.has_negation(text),
-        f"{name}_numbers": T.numbers(text),
-        f"{name}_scope": T.scope_terms(tokens),
-    }
-
-
-def overlaps(s: str, e: str) -> dict[str, Column]:
-    """What the relation is made of, once a pair: overlap and mean (of meaningful tokens), and whether one text contains the other."""
-    c = F.col
-    return {
-        "overlap": T.overlap_ratio(c(f"{s}_tokens"), c(f"{e}_tokens")),
-        "mean": T.overlap_ratio(c(f"{s}_meaningful"), c(f"{e}_meaningful")),
-        "exact": F.contains(c(f"{e}_norm"), c(f"{s}_norm")) | F.contains(c(f"{s}_norm"), c(f"{e}_norm")),
-    }
-
-
-def relation(s: str, e: str) -> Column:
-    """struct<relation, detail, score, overlap, meaningful_overlap>, null if the excerpt says nothing about the statement. Reads the columns of overlaps()."""
-    c = F.col
-    overlap, mean, exact = c("overlap"), c("mean"), c("exact")
-    negation = c(f"{s}_negated") != c(f"{e}_negated")
-    numeric, scope = T.differ(c(f"{s}_numbers"), c(f"{e}_numbers")), T.differ(c(f"{s}_scope"), c(f"{e}_scope"))
-    shallow = (overlap >= 0.45) & (mean < 0.35)
-
-    def made(kind: str, detail: str, score: Column, o: Column = overlap, m: Column = mean) -> Column:
-        return F.struct(F.lit(kind).alias("relation"), F.lit(detail).alias("detail"), score.alias("score"), o.alias("overlap"), m.alias("meaningful_overlap"))
-
-    full = lambda n: F.when(F.size(c(n)) > 0, 1.0).otherwise(0.0)
-    return (
-        F.when(exact & ~negation & ~numeric, made("support", "strong_support", F.lit(0.95), full(f"{s}_tokens"), full(f"{s}_meaningful")))
-        .when((overlap >= 0.55) & (mean >= 0.45) & negation, made("contradict", "contradiction", F.round(F.least(F.lit(0.95), 0.55 + overlap * 0.35), 2)))
-        .when(numeric | scope | shallow, F.lit(None))
-        .when((overlap >= 0.72) & (mean >= 0.6) & ~negation, made("support", "strong_support", F.round(F.least(F.lit(0.9), 0.5 + overlap * 0.3), 2)))
-        .when((overlap >= 0.5) & (mean >= 0.4) & ~negation, made("weak_support", "weak_support", F.round(F.least(F.lit(0.68), 0.35 + mean * 0.35), 2)))
-    )
+# The thresholds and scores of relate() and citation_precision() are fixed values of the rules.
+#: No relation but containment holds below this share of meaningful tokens.
+LEAST_MEANINGFUL = 0.4
+WORD = re.compile("[A-Za-z0-9_]+")
+_GENERIC, _SCOPE = frozenset(T.GENERIC_TOKENS), frozenset(T.SCOPE_TERMS)
+_NEGATION, _CJK_NEGATION = re.compile(T.NEGATION, re.ASCII), re.compile(T.CJK_NEGATION)
+_NUMBER, _DATE = re.compile(T.NUMBER, re.ASCII), re.compile(T.DATE, re.ASCII)
+
+
+class _Lower(dict):
+    """Lower case character by character, whatever stands around it."""
+
+    def __missing__(self, c: int) -> str:
+        low = chr(c).lower()
+        self[c] = low = low if len(low) == 1 else low[0]
+        return low
+
+
+class _Plain(dict):
+    """Letters, marks and digits beyond ASCII as x, so that words of any script have ASCII's word boundaries."""
+
+    def __missing__(self, c: int) -> str:
+        self[c] = x = "x" if c > 127 and unicodedata.category(chr(c))[0] in "LMN" else chr(c)
+        return x
+
+
+_LOWER, _PLAIN = _Lower(), _Plain()
+
+
+class Signals:
+    """What a squeezed text is compared by. All but the normal form and the tokens is computed when it is asked for."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        if text.isascii():
+            self.norm = text.lower()
+            self.tokens = set(WORD.findall(self.norm))
+        else:
+            self.norm = text.translate(_LOWER)
+            self.tokens = {t.lower() for t in WORD.findall(text)}
+
+    @cached_property
+    def meaningful(self) -> set[str]:
+        return {t for t in self.tokens if len(t) > 2 and t not in _GENERIC}
+
+    @cached_property
+    def plain(self) -> str:
+        return self.text if self.text.isascii() else self.text.translate(_PLAIN)
+
+    @cached_property
+    def negated(self) -> bool:
+        return bool(_NEGATION.search(self.plain) or _CJK_NEGATION.search(self.text))
+
+    @cached_property
+    def numbers(self) -> set[str]:
+        """Numbers and dates."""
+        return {m[0] for p in (_NUMBER, _DATE) for m in p.finditer(self.plain)}
+
+    @cached_property
+    def scope(self) -> set[str]:
+        return self.tokens & _SCOPE
+
+
+def _hundredths(x: float) -> float:
+    return math.floor(x * 100 + 0.5) / 100
+
+
+def relate(s: Signals, e: Signals, exact: bool) -> tuple[str, str, float, float, float] | None:
+    """(relation, detail, score, overlap, meaningful_overlap) of an excerpt e and a statement s, None if it says nothing about it. exact: one
+    text contains the other; then the statement counts as covered whole, also one without a token."""
+    overlap = len(s.tokens & e.tokens) / len(s.tokens) if s.tokens else 0.0
+    mean = len(s.meaningful & e.meaningful) / len(s.meaningful) if s.meaningful else 0.0
+    if not exact and (overlap < 0.5 or mean < LEAST_MEANINGFUL):
+        return None
+    negation = s.negated != e.negated
+    differ = lambda a, b: bool(a and b and a != b)
+    numeric = differ(s.numbers, e.numbers)
+    if exact and not negation and not numeric:
+        return "support", "strong_support", 0.95, 1.0, 1.0 if s.meaningful else 0.0
+    if overlap >= 0.55 and mean >= 0.45 and negation:
+        return "contradict", "contradiction", _hundredths(min(0.95, 0.55 + overlap * 0.35)), overlap, mean
+    if numeric or negation or differ(s.scope, e.scope) or (overlap >= 0.45 and mean < 0.35):
+        return None
+    if overlap >= 0.72 and mean >= 0.6:
+        return "support", "strong_support", _hundredths(min(0.9, 0.5 + overlap * 0.3)), overlap, mean
+    if overlap >= 0.5 and mean >= LEAST_MEANINGFUL:
+        return "weak_support", "weak_support", _hundredths(min(0.68, 0.35 + mean * 0.35)), overlap, mean
+    return None
 
 
 def status(support: Column, weak: Column, contradict: Column) -> Column:

@@ -14,6 +14,8 @@ from sparkloom.functions import text as T
 CHUNKS = "chunk_no int, text string, token_count long, char_start int, char_end int, paragraph_count int"
 _PARAGRAPH = re.compile(r"[^\n]+(?:\n[^\n]+)*")
 _SENTENCE = re.compile(T.SENTENCE)
+#: Neighbouring sentences make a pair if so many characters at most lie between them, and so many are in both.
+PAIR_GAP, PAIR_MOST = 120, 520
 
 
 def _pieces(text: str, most: int) -> Iterator[tuple[int, int]]:
@@ -73,6 +75,18 @@ def sentence_rows(docs: DataFrame, id_col: str, text_col: str = "text") -> DataF
     return found.withColumn("span_no", F.col("span_no").cast("long"))
 
 
+def sentences(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, stop, sentence) in order; a text without a sentence is one span."""
+    none = True
+    for m in _SENTENCE.finditer(text):
+        s = m[0].strip()
+        if s:
+            a, none = m.start() + m[0].index(s), False
+            yield a, a + len(s), s
+    if none and text.strip():
+        yield 0, len(text), text
+
+
 def sentence_spans(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """(id, span_no, start, stop, excerpt) with excerpt = text[start:stop]; a text without a sentence is one span."""
 
@@ -81,15 +95,7 @@ def sentence_spans(docs: DataFrame, id_col: str, text_col: str = "text") -> Data
         for batch in batches:
             rows = []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n, t = 0, t or ""
-                for m in _SENTENCE.finditer(t):
-                    s = m[0].strip()
-                    if s:
-                        a = m.start() + m[0].index(s)
-                        rows.append((i, n, a, a + len(s), s))
-                        n += 1
-                if not n and t.strip():
-                    rows.append((i, 0, 0, len(t), t))
+                rows += [(i, n, *found) for n, found in enumerate(sentences(t or ""))]
             columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types)], names=["id", "span_no", "start", "stop", "excerpt"])
 
@@ -97,7 +103,7 @@ def sentence_spans(docs: DataFrame, id_col: str, text_col: str = "text") -> Data
     return out.mapInArrow(run, "id long, span_no int, start int, stop int, excerpt string").withColumnRenamed("id", id_col)
 
 
-def with_neighbours(spans: DataFrame, id_col: str, gap: int = 120, most: int = 520) -> DataFrame:
+def with_neighbours(spans: DataFrame, id_col: str, gap: int = PAIR_GAP, most: int = PAIR_MOST) -> DataFrame:
     """The spans and each pair of neighbours that are close and short enough together."""
     ahead = Window.partitionBy(id_col).orderBy("span_no")
     pair = spans.select(

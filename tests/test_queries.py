@@ -103,6 +103,21 @@ def test_statements_of_any_length_and_script_find_their_excerpts(spark):
     assert not any(d in (15, 16) for _, _, d in got)
 
 
+def test_statements_without_tokens_overlap_whole_and_nothing_is_shuffled(spark):
+    from sparkloom.operators.verification import verify
+
+    said = spark.createDataFrame([(1, "Überall ñ. éé üü. Cranes lift nine heavy containers weekly."), (2, "不。")], "item_id long, text string")
+    docs = spark.createDataFrame([(7, "ñ"), (8, "Say éé üü. Then cranes lift heavy containers weekly."), (9, "是不。")], "doc_id long, text string")
+    found = verify(said, docs.repartition(8))
+    whole = {(r.item_id, r.span_no, r.doc_id): (r.relation, r.overlap, r.meaningful_overlap) for r in found.collect()}
+    assert whole[1, 1, 8] == whole[2, 0, 9] == ("support", 1.0, 0.0)
+    assert whole[1, 2, 8][0] == "support" and abs(whole[1, 2, 8][1] - 5 / 6) < 1e-9
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and not any(node in plan for node in ("Join", "Aggregate", "Window", "Sort"))
+    both = verify(said, docs, block_bytes=40)
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, found.collect()))
+
+
 def test_a_manifest_changes_with_any_id(spark):
     from sparkloom.operators.reporting import manifest
 
