@@ -323,7 +323,7 @@ def evidence_candidates(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def evidence_selection(spark: SparkSession, d: str) -> DataFrame:
     """The evidence of each statement: at most a support, a contradiction and a weak support, where excerpts that earlier statements use count less."""
-    chosen = R.select_evidence(evidence_candidates(spark, d))
+    chosen = R.select_evidence(V.written(evidence_candidates(spark, d), "candidates"))
     return chosen.select("task_id", "claim_no", "relation", "candidate_id", "rank_score", "adjusted_score", "reuse_penalty", "chunk_before", "span_before", "content_before", "selection_rank")
 
 

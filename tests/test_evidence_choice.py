@@ -58,3 +58,15 @@ def test_token_shares_equal_python(spark):
         got = containment.token_shares(frame, spark.createDataFrame(texts, "id long, text string").repartition(2), ["id"], "text", 0.5, block_bytes=block).collect()
         want = {(i, q): sum(t in s for t in ts) / len(ts) for i, s in texts if s is not None for q, ts in queries if ts}
         assert {(r["id"], r["query"]): r["share"] for r in got} == {k: v for k, v in want.items() if v >= 0.5} and len(got) > 20
+
+
+def test_candidates_are_found_once_for_all_rounds(spark, monkeypatch):
+    from oracle import SF_DIR
+
+    from sparkloom.plans import evidence
+
+    seen = []
+    columns = "task_id long, claim_no long, relation string, candidate_id string, rank_score double, adjusted_score double, reuse_penalty double, chunk_before long, span_before long, content_before long, selection_rank long"
+    monkeypatch.setattr(evidence.R, "select_evidence", lambda df: seen.append(df) or spark.createDataFrame([], columns))
+    evidence.evidence_selection(spark, SF_DIR)
+    assert "MapInArrow" not in seen[0]._jdf.queryExecution().optimizedPlan().toString() and seen[0].count() > 0
