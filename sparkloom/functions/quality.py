@@ -198,14 +198,24 @@ def chunk_density(t: Column, c: Column, spoken: Column, repeats: Column) -> Colu
     return F.when(F.size(t) > 0, T.clamp(words)).when(F.size(c) > 0, T.clamp(of(c, 120.0))).otherwise(0.0)
 
 
+#: EVIDENCE_SIGNALS that are whole words never share a character, so one expression counts them all; numbers may, so each of theirs counts alone.
+NUMBER_SIGNALS = EVIDENCE_SIGNALS[:4]
+WORD_SIGNALS = r"\b(?:" + "|".join(p.removeprefix(r"\b").removesuffix(r"\b") for p in EVIDENCE_SIGNALS[4:]) + r")\b"
+
+
 def evidence_density(text: Column) -> Column:
-    squeezed = T.squeeze(text)
-    lower = F.lower(squeezed)
-    found = reduce(lambda a, b: a + b, [F.regexp_count(lower, F.lit(p)) for p in EVIDENCE_SIGNALS])
-    quotes = F.floor(F.regexp_count(lower, F.lit('"')) / 2) + F.regexp_count(lower, F.lit("“"))
-    stops = F.greatest(F.lit(1), F.regexp_count(squeezed, F.lit("[.!?。！？]")))
-    score = 0.18 + F.least(F.lit(1.0), (found + F.least(quotes, F.lit(4))) / 12) * 0.62 + F.least(F.lit(1.0), stops / 16) * 0.2
-    return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", 0.45).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.05), score)))
+    """The squeezed text and its lower case are bound once: below a condition Spark makes a repeated expression anew each time."""
+    bind = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+
+    def score(t: Column) -> Column:
+        squeezed, lower = t["squeezed"], t["lower"]
+        found = reduce(lambda a, b: a + b, [F.regexp_count(lower, F.lit(p)) for p in [*NUMBER_SIGNALS, WORD_SIGNALS]])
+        quotes = F.floor(F.regexp_count(lower, F.lit('"')) / 2) + F.regexp_count(lower, F.lit("“"))
+        stops = F.greatest(F.lit(1), F.regexp_count(squeezed, F.lit("[.!?。！？]")))
+        return F.least(F.lit(1.0), F.greatest(F.lit(0.05), 0.18 + F.least(F.lit(1.0), (found + F.least(quotes, F.lit(4))) / 12) * 0.62 + F.least(F.lit(1.0), stops / 16) * 0.2))
+
+    dense = bind(T.squeeze(text), lambda s: bind(F.struct(s.alias("squeezed"), F.lower(s).alias("lower")), score))
+    return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", 0.45).otherwise(dense)
 
 
 def chunk_quality(chunks: DataFrame, text: Column, query: Column, source_quality: Column, chunk_no: Column, title: Column) -> DataFrame:

@@ -156,3 +156,28 @@ def test_chunks_of_each_kind_get_their_reasons(spark):
     text = "a -> b\nc -> d"
     flags = spark.createDataFrame([(text,), ("one: 1\ntwo: 2\nthree\nfour",), ("plain\ntext",)], "t string").select(diagram_or_config(F.col("t"))).collect()
     assert [r[0] for r in flags] == [True, True, False]
+
+
+def test_evidence_density_squeezes_a_text_once_and_counts_each_signal(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from sparkloom.functions import quality as Q
+
+    texts = [
+        None, "", " \n ", "According to the report of 2021-03-04, API v1.2.3 served 40% of 9 requests.", "paper  paper\npapers reported, released releases study", "benchmarks benchmarking benchmark_x sdk-api doi:arxiv",
+        "A \"quote\" and “two”. " * 9, "experimental experiments; citation citations according  to 2019 20 ms",
+    ]
+
+    def plain(text):
+        s = re.sub(r"\s+", " ", text or "").strip(" ")
+        if not (text or "").strip(" "):
+            return 0.45
+        n = sum(len(re.findall(p, s.lower(), re.ASCII)) for p in Q.EVIDENCE_SIGNALS)
+        quotes, stops = s.count('"') // 2 + s.count("“"), max(1, len(re.findall("[.!?。！？]", s)))
+        return min(1.0, max(0.05, 0.18 + min(1.0, (n + min(quotes, 4)) / 12) * 0.62 + min(1.0, stops / 16) * 0.2))
+
+    found = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", Q.evidence_density(F.col("text")).alias("density"))
+    assert [r.density for r in found.orderBy("i").collect()] == pytest.approx(list(map(plain, texts)))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
