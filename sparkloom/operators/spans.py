@@ -16,6 +16,8 @@ _PARAGRAPH = re.compile(r"[^\n]+(?:\n[^\n]+)*")
 _SENTENCE = re.compile(T.SENTENCE)
 #: Neighbouring sentences make a pair if so many characters at most lie between them, and so many are in both.
 PAIR_GAP, PAIR_MOST = 120, 520
+#: Spans that a task holds before it hands them on, but for those of one document.
+MOST_ROWS = 20_000
 
 
 def _pieces(text: str, most: int) -> Iterator[tuple[int, int]]:
@@ -92,12 +94,19 @@ def sentence_spans(docs: DataFrame, id_col: str, text_col: str = "text") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())
-        for batch in batches:
-            rows = []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows += [(i, n, *found) for n, found in enumerate(sentences(t or ""))]
+
+        def made(rows: list[tuple]) -> pa.RecordBatch:
             columns = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types)], names=["id", "span_no", "start", "stop", "excerpt"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types)], names=["id", "span_no", "start", "stop", "excerpt"])
+
+        for batch in batches:
+            rows: list[tuple] = []
+            for i, t in zip(batch.column(0), batch.column(1)):
+                rows += [(i.as_py(), n, *found) for n, found in enumerate(sentences(t.as_py() or ""))]
+                if len(rows) >= MOST_ROWS:
+                    yield made(rows)
+                    rows = []
+            yield made(rows)
 
     out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return out.mapInArrow(run, "id long, span_no int, start int, stop int, excerpt string").withColumnRenamed("id", id_col)

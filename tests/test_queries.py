@@ -181,3 +181,25 @@ def test_evidence_density_squeezes_a_text_once_and_counts_each_signal(spark):
     found = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", Q.evidence_density(F.col("text")).alias("density"))
     assert [r.density for r in found.orderBy("i").collect()] == pytest.approx(list(map(plain, texts)))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+
+
+def test_spans_leave_a_task_in_small_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    from sparkloom.operators import spans
+
+    class Docs:  # takes the function that tasks run
+        def __getattr__(self, _):
+            return lambda *a: self
+
+        def mapInArrow(self, run, _):
+            self.run = run
+            return self
+
+    docs = Docs()
+    docs.select = lambda *a: docs
+    spans.sentence_spans(docs, "doc_id")
+    texts = ["One here. Two there.\n" * 500, None] * 100
+    out = list(docs.run(iter([pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(texts)], names=["id", "text"])])))
+    assert max(b.num_rows for b in out) <= 21_000 and sum(b.num_rows for b in out) == 100_000
+    assert pa.Table.from_batches(out).column("excerpt").to_pylist() == ["One here.", "Two there."] * 50_000
