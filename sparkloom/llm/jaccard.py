@@ -12,7 +12,7 @@ round. A set's texts meet its leader's in a prefix tree: the candidates' ordered
 candidates that begin alike share the overlap counted so far, and a branch is left as soon as the n-grams that remain on either side can't reach the threshold.
 
 Scale: documents are read twice for their n-grams (the order's statistics cover all of them) and texts travel only for candidates. The rows of the texts wanted are
-broadcast while their table is below broadcast_bytes and joined by a shuffle beyond. Lists come to a task sorted by Spark and are read run by run: what is held at a time is CHUNK
+broadcast while their table is below broadcast_bytes and joined by a shuffle beyond. Lists come to a task sorted by Spark and are read run by run: what is held at a time is POSTED
 postings, and a longer list is read in pieces that know its leader. In the second round a list of more than BLOCK members is dealt out by pairs of salted blocks, so that every pair of members meets
 in one group and no group has more than about two blocks. Tables between the steps are written, so a lost executor costs its own tasks.
 
@@ -35,7 +35,9 @@ from sparkloom.llm.common import materialize
 from sparkloom.llm.components import connected
 from sparkloom.llm.trie import NgramTrie
 
-CHUNK = 2_000_000  # n-grams counted or posted together in a task
+CHUNK = 2_000_000  # n-grams counted together in a task
+POSTED = 400_000  # postings that a task holds at a time, beside a dozen arrays of as many numbers
+SEEN = 100_000  # pairs that a task remembers to hand on once
 BLOCK = 2000  # members of a list compared with each other in the second round
 LAST = np.uint64(1 << 63)  # on an n-gram that many documents share: it comes last
 LOCALLY_COMMON, COMMON, MOST_COMMON = 3, 50, 200_000
@@ -189,18 +191,16 @@ def whole_runs(batches: Iterator[pa.RecordBatch], keys: int, chunk: int) -> Iter
         if n >= chunk:
             rows = joined()
             last = int(_runs(*rows[:keys])[-1])
-            if last:
-                yield [c[:last] for c in rows], False
-                held = [[c[last:] for c in rows]]
-                n -= last
-            else:
-                yield rows, True
-                held, n = [], 0
+            # What goes on is a copy, so that the rows handed out are held no longer than they are used.
+            held, n = ([[c[last:].copy() for c in rows]], n - last) if last else ([], 0)
+            rows = [c[: last or len(c)] for c in rows]
+            yield rows, not last
+            del rows
     if n:
         yield joined(), False
 
 
-def gather(posted: DataFrame, percent: int, chunk: int = CHUNK) -> DataFrame:
+def gather(posted: DataFrame, percent: int, chunk: int = POSTED) -> DataFrame:
     """What the lists give: rows "pair" (x, y: the two sets that share times n-grams with nobody else), "star" (x leads y),
     "member" (list x has set y at this place) and "shared" (set x shares times n-grams, of which place stand in lists)."""
 
@@ -308,7 +308,7 @@ def cross_pairs(members: DataFrame, percent: int, block: int = BLOCK) -> DataFra
                 for x, y in pairs(s[i:j], p[i:j], c[i:j], k[i:j], side[i:j]):
                     new = [xy for xy in zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist()) if xy not in seen]
                     if new:
-                        if len(seen) < 1_000_000:
+                        if len(seen) < SEEN:
                             seen.update(new)
                         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in new], pa.int64()), pa.array([y for _, y in new], pa.int64())], names=["x", "y"])
 

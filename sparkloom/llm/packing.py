@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: Each task numbers its own sequences from its partition's number times this.
 SEQUENCES_A_TASK = 1 << 36
-CACHED_WORDS = 600_000
+CACHED_WORDS = 200_000
 LONGEST_KNOWN = 64
 PROBES = ["Hello World, this  is A Test.\nNew line", "don't 3.5 km, (x) a_b", "Über Straße, naïve É", " lead  two ", "\ttab\r\nend", "東京 🙂 e\u0301", ""]
 _BEYOND = re.compile("[\u0300-\U0010ffff]")

@@ -38,7 +38,7 @@ from sparkloom.llm.common import materialize
 
 BREAKS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n\s*\n"), "section": re.compile(r"\n")}
 REACH, MOST_WORDS = 3, 24
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 200_000
 _WORD = re.compile(r"\S+")
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _MOST = np.uint64(2**64 - 1)

@@ -47,6 +47,8 @@ NEGATION_REACH, TARGET_REACH, THREAT_REACH = 3, 4, 4
 PREFIXES = (8, 7, 6, 5, 4)
 #: Of plain, aimed, negated and reported insults, aimed threats, and the strongest clause that is neither negated nor reported.
 PRIOR = (1.0, 1.5, 0.0, 0.0, 1.5, 0.5)
+#: Words that a task remembers.
+KNOWN_WORDS = 100_000
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n]")
 
 State = tuple | int
@@ -125,6 +127,7 @@ class Insults:
         self.inside = {w for p in self.phrases for w in p}
         classes = ((HARM, HARM_WORDS), (FUTURE, FUTURE_WORDS), (AIM, TARGET_WORDS), (NOT, NEGATION_WORDS), (SAID, REPORTED_WORDS))
         self.fixed = {w: s for s, text in classes for w in text.split()} | dict.fromkeys(".!?;:\n", END)
+        self.marks = {s: (s, 1.0) for s in {OTHER, *self.fixed.values()}}
         self.known: dict[str, tuple[int, float]] = {}
 
     def word(self, w: str) -> tuple[int, float]:
@@ -134,9 +137,9 @@ class Insults:
             for n in PREFIXES:
                 if not weight and len(w) > n:
                     weight = self.words.get(w[:n] + "*", 0.0)
-            if len(self.known) > 500_000:
+            if len(self.known) > KNOWN_WORDS:
                 self.known.clear()
-            found = self.known[w] = (INSULT, weight) if weight else (self.fixed.get(w, OTHER), 1.0)
+            found = self.known[w] = (INSULT, weight) if weight else self.marks[self.fixed.get(w, OTHER)]
         return found
 
     def read(self, words: list[str]) -> list[tuple[int, float]]:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from sparkloom.llm.components import connected
-from sparkloom.llm.jaccard import components, cross_pairs, gather, least_overlap, ngram_sets
+from sparkloom.llm.jaccard import components, cross_pairs, gather, least_overlap, ngram_sets, whole_runs
 from sparkloom.llm.trie import NgramTrie
 
 SCHEMA = "doc_id long, text string"
@@ -150,3 +150,50 @@ def test_connected_on_a_chain_and_a_star(spark):
     got = {r["id"]: r["comp"] for r in connected(spark.createDataFrame(edges, "x long, y long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}}
     assert connected(spark.createDataFrame([], "x long, y long")).count() == 0
+
+
+def test_a_task_holds_its_rows_once():
+    """While rows are used, neither the batches they came from nor the rows before them are kept."""
+    import gc
+    import tracemalloc
+
+    import pyarrow as pa
+
+    def batches(n, rows):
+        for i in range(n):
+            gram = np.arange(i * rows, (i + 1) * rows) // 3
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (gram, np.arange(rows), np.arange(rows))], names=["gram", "place", "set_id"])
+
+    tracemalloc.start()
+    try:
+        total, most = 0, 0
+        for rows, more in whole_runs(batches(40, 10_000), 1, 100_000):
+            assert not more
+            total += len(rows[0])
+            del rows
+            gc.collect()
+            most = max(most, tracemalloc.get_traced_memory()[0])
+    finally:
+        tracemalloc.stop()
+    assert total == 400_000
+    assert most < 1.5 * 3 * 8 * 100_000
+
+
+def test_words_that_workers_remember_stay_few():
+    from sparkloom.llm import packing, substring, toxicity
+    from sparkloom.llm.queries import tokenizer_path
+
+    for i in range(0, 450_000, 50_000):
+        for w in range(i, i + 50_000):
+            substring._known[f"{w:x}z"]
+        assert len(substring._known) <= 200_001
+    insults = toxicity.Insults({"bad": 3.0, "awfu*": 2.0})
+    for w in range(300_000):
+        insults.word(f"{w:x}z")
+    assert len(insults.known) <= 200_000
+    assert insults.word("bad") == (toxicity.INSULT, 3.0) and insults.word("awfully") == (toxicity.INSULT, 2.0) and insults.word("you") == (toxicity.AIM, 1.0) and insults.word("tree") == (toxicity.OTHER, 1.0)
+    encode = packing.word_encoder(tokenizer_path("word_bpe_49k.json"), 2)
+    known = next(c.cell_contents for c in encode.__closure__ if isinstance(c.cell_contents, dict))
+    for i in range(0, 450_000, 50_000):
+        encode([" ".join(f"{w:x}z" for w in range(i, i + 50_000))])
+        assert len(known) <= 250_000
