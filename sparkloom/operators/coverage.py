@@ -12,23 +12,29 @@ def candidate_state(accepted: Column, reasons: Column) -> Column:
     return F.when(accepted, "accepted").when(F.size(reasons) > 0, "rejected").otherwise("unselected")
 
 
-def evidence_yield(candidates: DataFrame, by: Column, name: str, empty: str) -> DataFrame:
-    """Counts by state. candidates: state and the column to count by; its null or blank is `empty`."""
+def _total(n: Column) -> Column:
+    """Of counted rows, 0 if there are none."""
+    return F.coalesce(F.sum(n), F.lit(0)).cast("long")
+
+
+def evidence_yield(candidates: DataFrame, by: Column, name: str, empty: str, n: Column | int = 1) -> DataFrame:
+    """Counts by state. candidates: state and the column to count by; its null or blank is `empty`. n: for how many candidates a row stands."""
+    n = F.lit(n) if isinstance(n, int) else n
     key = F.when(F.coalesce(by, F.lit("")) == "", F.lit(empty)).otherwise(by)
-    state = lambda s: F.count_if(F.col("state") == s).alias(s)
-    return candidates.groupBy(key.alias(name)).agg(F.count("*").alias("total"), state("accepted"), state("rejected"), state("unselected"))
+    state = lambda s: _total(F.when(F.col("state") == s, n)).alias(s)
+    return candidates.groupBy(key.alias(name)).agg(_total(n).alias("total"), state("accepted"), state("rejected"), state("unselected"))
 
 
 def slot_status(supported: Column, weak: Column, accepted: Column, required: Column) -> Column:
     return F.when(supported > 0, "covered").when((weak > 0) | (accepted > 0), "weak").when(required, "missing").otherwise("weak")
 
 
-def slot_coverage(slots: DataFrame, candidates: DataFrame, claims: DataFrame) -> DataFrame:
-    """A row per slot. slots: slot_id, required; candidates: slot_id, source, state; claims: slot_id, status, source."""
-    found = candidates.groupBy("slot_id").agg(F.count("*").alias("candidates"), F.count_if(F.col("state") == "accepted").alias("accepted_evidence"))
-    said = claims.groupBy("slot_id").agg(
-        F.count_if(F.col("status") == "supported").alias("supported_claims"), F.count_if(F.col("status") == "weak").alias("weak_claims"), F.countDistinct("source").alias("sources")
-    )
+def slot_coverage(slots: DataFrame, candidates: DataFrame, claims: DataFrame, n: Column | int = 1) -> DataFrame:
+    """A row per slot. slots: slot_id, required; candidates: slot_id, source, state; claims: slot_id, status, source. n: for how many candidates or claims a row stands."""
+    n = F.lit(n) if isinstance(n, int) else n
+    found = candidates.groupBy("slot_id").agg(_total(n).alias("candidates"), _total(F.when(F.col("state") == "accepted", n)).alias("accepted_evidence"))
+    status = lambda s: _total(F.when(F.col("status") == s, n))
+    said = claims.groupBy("slot_id").agg(status("supported").alias("supported_claims"), status("weak").alias("weak_claims"), F.countDistinct("source").alias("sources"))
     counts = ("candidates", "accepted_evidence", "supported_claims", "weak_claims", "sources")
     out = slots.join(found, "slot_id", "left").join(said, "slot_id", "left").na.fill(0, list(counts))
     return out.withColumn("status", slot_status(F.col("supported_claims"), F.col("weak_claims"), F.col("accepted_evidence"), F.col("required")))

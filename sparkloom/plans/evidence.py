@@ -231,12 +231,18 @@ def claim_summary_pivot(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id").join(counted, "item_id", "left").na.fill(0, names)
 
 
+def evidence_counts(spark: SparkSession, d: str) -> DataFrame:
+    """(source, relation, accepted, n): the evidence of each source. It is counted by document in the tasks that find it, so what is joined with the documents is some rows of each."""
+    found = verify_statements(spark, d).groupBy("doc_id", "relation", (F.col("score") >= 0.9).alias("accepted")).agg(F.count("*").alias("n"))
+    return found.join(table(spark, d, "documents").select("doc_id", "source"), "doc_id").groupBy("source", "relation", "accepted").agg(F.sum("n").alias("n"))
+
+
 @query(f"""{EVIDENCE} SELECT source, count(*) AS total, count(*) FILTER (state = 'accepted') AS accepted, count(*) FILTER (state = 'rejected') AS rejected, count(*) FILTER (state = 'unselected') AS unselected
   FROM (SELECT coalesce(nullif(source, ''), 'unknown') AS source, CASE WHEN score >= 0.9 THEN 'accepted' WHEN relation = 'contradict' THEN 'rejected' ELSE 'unselected' END AS state FROM evidence JOIN documents USING (doc_id)) GROUP BY 1""")
 def evidence_yield(spark: SparkSession, d: str) -> DataFrame:
     reasons = F.array_compact(F.array(F.when(F.col("relation") == "contradict", F.lit("contradicts"))))
-    found = verify_statements(spark, d).select("doc_id", C.candidate_state(F.col("score") >= 0.9, reasons).alias("state"))
-    return C.evidence_yield(found.join(table(spark, d, "documents").select("doc_id", "source"), "doc_id"), F.col("source"), "source", "unknown")
+    found = evidence_counts(spark, d).select("source", "n", C.candidate_state(F.col("accepted"), reasons).alias("state"))
+    return C.evidence_yield(found, F.col("source"), "source", "unknown", F.col("n"))
 
 
 SLOTS = [("src0", True), ("src1", True), ("src2", False), ("none", True)]
@@ -247,11 +253,11 @@ SLOTS = [("src0", True), ("src1", True), ("src2", False), ("none", True)]
   x AS (SELECT s.slot_id AS slot_id, required, count(relation) AS candidates, count(*) FILTER (score >= 0.9) AS accepted_evidence, count(*) FILTER (relation = 'support') AS supported_claims, count(*) FILTER (relation = 'weak_support') AS weak_claims, count(DISTINCT source) AS sources FROM s LEFT JOIN c ON s.slot_id = c.slot_id GROUP BY 1, 2)
   SELECT *, CASE WHEN supported_claims > 0 THEN 'covered' WHEN weak_claims > 0 OR accepted_evidence > 0 THEN 'weak' WHEN required THEN 'missing' ELSE 'weak' END AS status FROM x""")
 def slot_coverage(spark: SparkSession, d: str) -> DataFrame:
-    found = verify_statements(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id").withColumn("slot_id", F.col("source"))
+    found = V.written(evidence_counts(spark, d), "evidence-counts").withColumn("slot_id", F.col("source"))  # a few rows a source, read twice
     slots = spark.createDataFrame(SLOTS, "slot_id string, required boolean")
-    candidates = found.select("slot_id", "source", F.when(F.col("score") >= 0.9, "accepted").otherwise("unselected").alias("state"))
-    claims = found.select("slot_id", "source", F.when(F.col("relation") == "support", "supported").when(F.col("relation") == "weak_support", "weak").otherwise("other").alias("status"))
-    return C.slot_coverage(slots, candidates, claims)
+    candidates = found.select("slot_id", "source", "n", F.when(F.col("accepted"), "accepted").otherwise("unselected").alias("state"))
+    claims = found.select("slot_id", "source", "n", F.when(F.col("relation") == "support", "supported").when(F.col("relation") == "weak_support", "weak").otherwise("other").alias("status"))
+    return C.slot_coverage(slots, candidates, claims, F.col("n"))
 
 
 @query()

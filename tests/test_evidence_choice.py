@@ -70,3 +70,40 @@ def test_candidates_are_found_once_for_all_rounds(spark, monkeypatch):
     monkeypatch.setattr(evidence.R, "select_evidence", lambda df: seen.append(df) or spark.createDataFrame([], columns))
     evidence.evidence_selection(spark, SF_DIR)
     assert "MapInArrow" not in seen[0]._jdf.queryExecution().optimizedPlan().toString() and seen[0].count() > 0
+
+
+def test_evidence_is_found_once_and_counted_by_document(spark, monkeypatch):
+    """Slots read the counts of evidence twice, but no document; counts stand for as many rows."""
+
+    from sparkloom.plans import evidence, reports
+    from tests.oracle import SF_DIR
+
+    ids = [r["doc_id"] for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id").orderBy("doc_id").limit(40).collect()]
+    sources = {r["doc_id"]: r["source"] for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "source").collect()}
+    rows = [(i % 7, 0, doc, i, ("support", "weak_support", "contradict")[i % 3], 0.95 if i % 5 == 0 else 0.5) for doc in ids for i in range(doc % 6)]
+    met = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            met.add(batch.num_rows)
+            yield batch
+
+    schema = "item_id long, span_no long, doc_id long, excerpt_no long, relation string, score double"
+    found = spark.createDataFrame(rows, schema).mapInArrow(count, schema)
+    monkeypatch.setattr(evidence, "verify_statements", lambda spark, d: found)
+    got = {r["slot_id"]: r.asDict() for r in evidence.QUERIES["slot_coverage"](spark, SF_DIR).collect()}
+    assert met.value == len(rows)
+    for slot, required in evidence.SLOTS:
+        own = [r for r in rows if sources[r[2]] == slot]
+        n = {k: sum(r[4] == k for r in own) for k in ("support", "weak_support")}
+        accepted = sum(r[5] >= 0.9 for r in own)
+        status = "covered" if n["support"] else "weak" if n["weak_support"] or accepted or not required else "missing"
+        assert got[slot] == {"slot_id": slot, "required": required, "candidates": len(own), "accepted_evidence": accepted, "supported_claims": n["support"], "weak_claims": n["weak_support"], "sources": int(bool(own)), "status": status}
+    by_source = {r["source"]: (r["total"], r["accepted"], r["rejected"], r["unselected"]) for r in evidence.QUERIES["evidence_yield"](spark, SF_DIR).collect()}
+    for source in {sources[r[2]] for r in rows}:
+        own = [r for r in rows if sources[r[2]] == source]
+        accepted, rejected = sum(r[5] >= 0.9 for r in own), sum(r[5] < 0.9 and r[4] == "contradict" for r in own)
+        assert by_source[source] == (len(own), accepted, rejected, len(own) - accepted - rejected)
+    before = met.value
+    assert reports.QUERIES["markdown_report"](spark, SF_DIR).count() > 0
+    assert met.value - before == len(rows)
