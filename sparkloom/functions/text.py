@@ -14,6 +14,7 @@ NEGATION = (
 CJK_NEGATION = "(不|未|没有|無|无|並非|并非)"
 NUMBER = r"\b\d+(?:[.,]\d+)?%?\b"
 DATE = r"\b(?:19|20)\d{2}(?:[-/]\d{1,2}(?:[-/]\d{1,2})?)?\b"
+NO_IDENTITY = "[^0-9a-zA-Z\u4e00-\u9fff]+"
 SENTENCE = r"[^\n.!?。！？]+(?:[.!?。！？]+)?"
 
 
@@ -72,7 +73,7 @@ def excerpt_hash(text: Column) -> Column:
 
 def claim_identity(text: Column) -> Column:
     """What makes two statements the same: letters, digits and ideographs alone."""
-    return F.regexp_replace(F.lower(text), "[^0-9a-zA-Z\\u4e00-\\u9fff]+", "")
+    return F.regexp_replace(F.lower(text), NO_IDENTITY, "")
 
 
 def candidate_id(*parts: Column) -> Column:

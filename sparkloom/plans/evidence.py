@@ -60,7 +60,7 @@ def excerpt_hash_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT identity, count(*) AS n, min(doc_id) AS first_doc FROM (SELECT doc_id, regexp_replace(lower(excerpt), '[^0-9a-zA-Z一-鿿]+', '', 'g') AS identity FROM {sentences('documents', 'doc_id')}) GROUP BY 1")
 def claim_identity_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return sentence_spans(spark, d).groupBy(T.claim_identity(F.col("excerpt")).alias("identity")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    return spans.sentence_identities(table(spark, d, "documents"), "doc_id").groupBy("identity").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
 @query(f"SELECT doc_id, span_no, 'ec_' || substr(sha256(doc_id || ':' || span_no || ':' || excerpt), 1, 24) AS candidate_id FROM {sentences('documents', 'doc_id')}")

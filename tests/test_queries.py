@@ -203,3 +203,20 @@ def test_spans_leave_a_task_in_small_batches(spark, monkeypatch):
     out = list(docs.run(iter([pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(texts)], names=["id", "text"])])))
     assert max(b.num_rows for b in out) <= 21_000 and sum(b.num_rows for b in out) == 100_000
     assert pa.Table.from_batches(out).column("excerpt").to_pylist() == ["One here.", "Two there."] * 50_000
+
+
+def test_sentences_cut_in_tasks_are_those_of_the_column_functions(spark):
+    """Odd texts: the same sentences and identities as by expressions; cut and squeezed in Python, so the plan has no regular expression of Spark's."""
+    from pyspark.sql import functions as F
+
+    from sparkloom.functions import text as T
+    from sparkloom.operators import spans
+
+    texts = [None, "", "   ", "...", "One. Two!  Three?", "\tTab one.\n \n x", "\u4f60\u597d\u3002\u518d\u89c1\uff01 ok", "\u0130stanbul \u212a \u00c9t\u00e9 \u03a3\u03a3. \U0001f642 a", "no end", " \u00a0 . b", "A\r\nB. " * 9000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    want = docs.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("span_no", "excerpt")).select("doc_id", F.col("span_no").cast("long"), "excerpt", T.claim_identity(F.col("excerpt")))
+    want = sorted(map(tuple, want.collect()))
+    assert sorted(map(tuple, spans.sentence_rows(docs, "doc_id").collect())) == [r[:3] for r in want]
+    assert sorted(map(tuple, spans.sentence_identities(docs, "doc_id").collect())) == sorted((r[0], r[1], r[3]) for r in want)
+    plan = spans.sentence_identities(docs, "doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "regexp" not in plan
