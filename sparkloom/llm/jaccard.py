@@ -14,7 +14,8 @@ candidates that begin alike share the overlap counted so far, and a branch is le
 Scale: documents are read twice for their n-grams (the order's statistics cover all of them) and texts travel only for candidates. The rows of the texts wanted are
 broadcast while their table is below broadcast_bytes and joined by a shuffle beyond. Lists come to a task sorted by Spark and are read run by run: what is held at a time is POSTED
 postings, and a longer list is read in pieces that know its leader. In the second round a list of more than BLOCK members is dealt out by pairs of salted blocks, so that every pair of members meets
-in one group and no group has more than about two blocks. Tables between the steps are written, so a lost executor costs its own tasks.
+in one group and no group has more than about two blocks. Tables between the steps are written, so a lost executor costs its own tasks. Texts come to Python
+some megabytes at a time.
 
 Sets and n-grams are 63- and 64-bit hashes; the comparison itself is exact on them. Defined cases: a null text, or one without words, has an empty set and is linked with nothing; with fewer
 than n words the whole sequence is the one n-gram; repeated rows and equal texts are linked; words and texts of any length are taken whole; rows are told apart by id and text, so rows with one id and different texts are linked
@@ -31,13 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialize
+from sparkloom.llm.common import materialize, small_batches
 from sparkloom.llm.components import connected
 from sparkloom.llm.trie import NgramTrie
 
 CHUNK = 2_000_000  # n-grams counted together in a task
 POSTED = 400_000  # postings that a task holds at a time, beside a dozen arrays of as many numbers
 SEEN = 100_000  # pairs that a task remembers to hand on once
+EMITTED = 20_000  # pairs that a task hands on at once
 BLOCK = 2000  # members of a list compared with each other in the second round
 LAST = np.uint64(1 << 63)  # on an n-gram that many documents share: it comes last
 LOCALLY_COMMON, COMMON, MOST_COMMON = 3, 50, 200_000
@@ -113,10 +115,14 @@ def sets(docs: DataFrame, n: int) -> DataFrame:
         held = 0
 
         def common() -> pa.RecordBatch:
-            grams, times = np.unique(np.concatenate(list(chunk.values())), return_counts=True)
+            flat = np.concatenate(list(chunk.values()))
+            chunk.clear()
+            flat.sort()
+            starts = _runs(flat)
+            times = np.diff(np.append(starts, len(flat)))
             often = times >= LOCALLY_COMMON
             k = int(often.sum())
-            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), _signed(grams[often]), pa.array(times[often], pa.int64())], names=names)
+            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), _signed(flat[starts[often]]), pa.array(times[often], pa.int64())], names=names)
 
         for part, found, keys in _sets_of(batches, n):
             sizes = [len(s) for s in found]
@@ -130,7 +136,6 @@ def sets(docs: DataFrame, n: int) -> DataFrame:
                     held += len(s)
             if held >= CHUNK:
                 yield common()
-                chunk.clear()
                 held = 0
         if chunk:
             yield common()
@@ -302,6 +307,11 @@ def cross_pairs(members: DataFrame, percent: int, block: int = BLOCK) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
+        found: list[tuple[int, int]] = []
+
+        def emit() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else ([], []))], names=["x", "y"])
+
         for (g, a, b, s, p, c, k, side), _ in whole_runs(batches, 3, 100_000):
             bounds = [*_runs(g, a, b).tolist(), len(g)]
             for i, j in zip(bounds, bounds[1:]):
@@ -310,7 +320,11 @@ def cross_pairs(members: DataFrame, percent: int, block: int = BLOCK) -> DataFra
                     if new:
                         if len(seen) < SEEN:
                             seen.update(new)
-                        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in new], pa.int64()), pa.array([y for _, y in new], pa.int64())], names=["x", "y"])
+                        found += new
+                        if len(found) >= EMITTED:
+                            yield emit()
+                            found.clear()
+        yield emit()
 
     blocks = F.ceil(F.col("members") / F.lit(block))
     own = F.pmod(F.xxhash64("set_id", F.lit("block")), blocks)
@@ -360,31 +374,32 @@ def components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "do
     """Per document id, size (of its set) and component (the smallest id that links lead to, its own included)."""
     text = F.col(text_col).cast("string")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("row"))
-    read = materialize(sets(docs, n), "jaccard-sets")
-    times = read.where("gram is not null").groupBy("gram").agg(F.sum("times").alias("times")).where(F.col("times") >= COMMON)
-    top = times.orderBy(F.desc("times"), "gram").limit(MOST_COMMON).select("gram").collect()  # a bounded list, for the order alone
-    common = np.sort(np.array([r["gram"] for r in top], np.int64).view(np.uint64))
-    own = read.where("size is not null").select("id", "row", "size", "set_id")
-    reps = own.where("set_id is not null").groupBy("set_id").agg(F.min("id").alias("least"), F.min(F.struct("id", "row")).alias("of"), F.first("size").alias("size"))
-    reps = materialize(reps.select("set_id", "least", "of.id", "of.row", "size"), "jaccard-reps")
-
-    found = materialize(gather(postings(docs, n, percent, common), percent), "jaccard-lists")
-    shared = found.where("kind = 'shared'").groupBy(F.col("x").alias("set_id")).agg(F.sum("times").alias("shared"), F.sum("place").alias("listed"))
-    shared = materialize(shared.join(reps.select("set_id", "size"), "set_id"), "jaccard-shared")
-    pairs = found.where("kind = 'pair'").groupBy("x", "y").agg(F.sum("times").alias("times"))
-    pairs = _with_shared(pairs, shared).where(_enough("x", "y", F.col("times"), percent)).select("x", "y")
-    stars = found.where("kind = 'star'").groupBy("x", "y").agg(F.sum("times").alias("times")).groupBy("y").agg(F.max(F.struct("times", "x")).alias("m")).select(F.col("m.x").alias("x"), "y")
-    first = materialize(pairs.union(stars).distinct(), "jaccard-candidates")
-    links = materialize(compare(first, reps, docs, n, percent, common, broadcast_bytes), "jaccard-links")
-    merged = connected(links)
-
-    lists = found.where("kind = 'member'").select(F.col("x").alias("list"), F.col("y").alias("set_id"), "place")
-    lists = lists.join(shared.select("set_id", "shared"), "set_id").join(merged.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
-    lists = materialize(lists, "jaccard-members")
-    open_lists = lists.groupBy("list").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("members")).where("a < b").select("list", "members")
-    second = materialize(cross_pairs(lists.join(open_lists, "list"), percent), "jaccard-candidates")
-    more = materialize(compare(second, reps, docs, n, percent, common, broadcast_bytes), "jaccard-links")
-    merged = connected(links.union(more)) if not more.isEmpty() else merged
+    with small_batches(docs.sparkSession):
+        read = materialize(sets(docs, n), "jaccard-sets")
+        times = read.where("gram is not null").groupBy("gram").agg(F.sum("times").alias("times")).where(F.col("times") >= COMMON)
+        top = times.orderBy(F.desc("times"), "gram").limit(MOST_COMMON).select("gram").collect()  # a bounded list, for the order alone
+        common = np.sort(np.array([r["gram"] for r in top], np.int64).view(np.uint64))
+        own = read.where("size is not null").select("id", "row", "size", "set_id")
+        reps = own.where("set_id is not null").groupBy("set_id").agg(F.min("id").alias("least"), F.min(F.struct("id", "row")).alias("of"), F.first("size").alias("size"))
+        reps = materialize(reps.select("set_id", "least", "of.id", "of.row", "size"), "jaccard-reps")
+
+        found = materialize(gather(postings(docs, n, percent, common), percent), "jaccard-lists")
+        shared = found.where("kind = 'shared'").groupBy(F.col("x").alias("set_id")).agg(F.sum("times").alias("shared"), F.sum("place").alias("listed"))
+        shared = materialize(shared.join(reps.select("set_id", "size"), "set_id"), "jaccard-shared")
+        pairs = found.where("kind = 'pair'").groupBy("x", "y").agg(F.sum("times").alias("times"))
+        pairs = _with_shared(pairs, shared).where(_enough("x", "y", F.col("times"), percent)).select("x", "y")
+        stars = found.where("kind = 'star'").groupBy("x", "y").agg(F.sum("times").alias("times")).groupBy("y").agg(F.max(F.struct("times", "x")).alias("m")).select(F.col("m.x").alias("x"), "y")
+        first = materialize(pairs.union(stars).distinct(), "jaccard-candidates")
+        links = materialize(compare(first, reps, docs, n, percent, common, broadcast_bytes), "jaccard-links")
+        merged = connected(links)
+
+        lists = found.where("kind = 'member'").select(F.col("x").alias("list"), F.col("y").alias("set_id"), "place")
+        lists = lists.join(shared.select("set_id", "shared"), "set_id").join(merged.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
+        lists = materialize(lists, "jaccard-members")
+        open_lists = lists.groupBy("list").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("members")).where("a < b").select("list", "members")
+        second = materialize(cross_pairs(lists.join(open_lists, "list"), percent), "jaccard-candidates")
+        more = materialize(compare(second, reps, docs, n, percent, common, broadcast_bytes), "jaccard-links")
+        merged = connected(links.union(more)) if not more.isEmpty() else merged
 
     roots = reps.join(merged.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
     least = roots.groupBy("comp").agg(F.min("least").alias("component"))

@@ -197,3 +197,17 @@ def test_words_that_workers_remember_stay_few():
     for i in range(0, 450_000, 50_000):
         encode([" ".join(f"{w:x}z" for w in range(i, i + 50_000))])
         assert len(known) <= 250_000
+
+
+def test_texts_come_to_tasks_some_megabytes_at_a_time(spark, monkeypatch):
+    """A batch of 10,000 rows was held whole in the JVM and in Python, whatever its texts' length."""
+    from sparkloom.llm import jaccard
+
+    name, seen, write = "spark.sql.execution.arrow.maxBytesPerBatch", [], jaccard.materialize
+    was = spark.conf.get(name)
+    monkeypatch.setattr(jaccard, "materialize", lambda df, step: seen.append((step, int(spark.conf.get(name).rstrip("b")))) or write(df, step))
+    docs = spark.createDataFrame([(i, " ".join(f"w{i % 3}{j}" for j in range(50))) for i in range(9)], SCHEMA)
+    got = {r["id"]: r["component"] for r in components(docs).collect()}
+    assert got == {i: i % 3 for i in range(9)} and spark.conf.get(name) == was
+    assert all(size <= 4 << 20 for step, size in seen if step in ("jaccard-sets", "jaccard-lists", "jaccard-candidates", "jaccard-links"))
+    assert {"jaccard-sets", "jaccard-lists", "jaccard-links"} <= {step for step, _ in seen}
