@@ -1,7 +1,7 @@
 """The event log as a stream: windows with watermarks, dense numbering and a task's state machine by key, drained to a table.
 
-`ordered_states` is the state machine in event time: events wait in their key's state until the watermark has passed them, so events that come late (but not later than the
-watermark), out of order, twice, or in another batch after a restart make no difference; a timer for the earliest one that waits wakes the key. Windows are updated batch by
+`ordered_states` is the state machine in event time: events wait in the state of their user's bucket until the watermark has passed them, so events that come late (but not later than the
+watermark), out of order, twice, or in another batch after a restart make no difference; a timer for the earliest one that waits wakes the bucket. Windows are updated batch by
 batch (`drain_updates`): each batch's changed rows are a folder of their own, written over if the batch is run again, and the newest row of a key counts; the watermark closes state.
 
 Offsets live in the checkpoint, so a restarted query goes on after the last committed batch and its sinks see each event once. State is
@@ -64,45 +64,65 @@ def numbered(events: DataFrame) -> DataFrame:
 
 def ordered(transitions: dict[str, dict[str, str]], first: str) -> StatefulProcessor:
     """A processor for ordered_states. Its class is made here, with all that it needs, so that it travels by value: Spark first starts it on the driver, where the package's archive isn't looked for."""
+    import numpy as np
+
+    names = sorted({first} | {x for moves in transitions.values() for move in moves.items() for x in move})
+    after = [{names.index(x): names.index(y) for x, y in transitions[kind].items()} for kind in sorted(transitions)]
+    start = names.index(first)
+    columns = ["event_id", "user_id", "from_state", "to_state"]
 
     class Ordered(StatefulProcessor):
-        """A key's events in event time: what the watermark has passed is applied in order, the rest waits."""
+        """A bucket's events in event time: what the watermark has passed is applied in order, the rest waits. Both kept by frame: a row of state for each event or user costs a call each."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.state = handle.getValueState("state", "state string")
-            self.waiting = handle.getListState("waiting", "event_id long, at long, event_type string")
+            self.state = handle.getValueState("state", "users binary")
+            self.waiting = handle.getListState("waiting", "events binary")
 
-        def wake_at_first(self, waiting: list[tuple]) -> None:
-            if waiting:
-                self.handle.registerTimer(min(r[1] for r in waiting))
+        def wake_at_first(self, waiting: np.ndarray) -> None:
+            if len(waiting):
+                self.handle.registerTimer(int(waiting[:, 1].min()))
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            passed = timerValues.getCurrentWatermarkInMs()
-            new = [(int(i), int(at), kind) for part in rows for i, at, kind in zip(part["event_id"], part["at_ms"], part["event_type"], strict=True) if at > passed]
+            passed, new = timerValues.getCurrentWatermarkInMs(), []
+            for part in rows:
+                part = part[part["at_ms"] > passed]
+                if len(part):
+                    new.append(np.column_stack([part[c].astype("int64") for c in ("event_id", "at_ms", "user", "nobody", "kind")]))
             if new:
-                self.waiting.appendList(new)
-                self.wake_at_first(new)
-            yield pd.DataFrame(columns=["event_id", "user_id", "from_state", "to_state"])
+                self.waiting.appendList([(x.tobytes(),) for x in new])
+                self.wake_at_first(np.concatenate(new))
+            yield from ()
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
             passed, out = timerValues.getCurrentWatermarkInMs(), []
-            waiting = {r[0]: tuple(r) for r in self.waiting.get()}  # an event that came twice waits once
-            due = sorted((r for r in waiting.values() if r[1] <= passed), key=lambda r: (r[1], r[0]))
-            now = self.state.get()[0] if self.state.exists() else first
-            for i, _, kind in due:
-                after = transitions.get(kind, {}).get(now, now)
-                if after != now:
-                    out.append((i, key[0], now, after))
-                    now = after
-            self.state.update((now,))
-            left = [r for r in waiting.values() if r[1] > passed]
-            if left:
-                self.waiting.put(left)
-            else:
-                self.waiting.clear()
+            parts = [np.frombuffer(bytes(r[0]), np.int64).reshape(-1, 5) for r in self.waiting.get()]
+            if not parts:
+                return
+            waiting = np.concatenate(parts)
+            due, left = waiting[waiting[:, 1] <= passed], waiting[waiting[:, 1] > passed]
+            due = due[np.lexsort((due[:, 0], due[:, 2], due[:, 3]))]
+            same = (due[1:, [0, 2, 3]] == due[:-1, [0, 2, 3]]).all(axis=1)
+            due = due[np.append(~same, True)] if len(due) else due  # an event that came twice counts once
+            due = due[np.lexsort((due[:, 0], due[:, 1], due[:, 2], due[:, 3]))]
+            known = np.frombuffer(bytes(self.state.get()[0]), np.int64).reshape(-1, 3).tolist() if self.state.exists() else []
+            states = {(user, nobody): state for user, nobody, state in known}
+            for i, _, user, nobody, kind in due.tolist():
+                now = states.setdefault((user, nobody), start)
+                then = after[kind].get(now, now) if kind >= 0 else now
+                if then != now:
+                    out.append((i, None if nobody else user, names[now], names[then]))
+                    states[user, nobody] = then
+            if len(due):
+                self.state.update((np.array([(*who, state) for who, state in states.items()], np.int64).tobytes(),))
+                if len(left):
+                    self.waiting.put([(left.tobytes(),)])
+                else:
+                    self.waiting.clear()
             self.wake_at_first(left)
-            yield pd.DataFrame(out, columns=["event_id", "user_id", "from_state", "to_state"])
+            if out:
+                found = dict(zip(columns, map(list, zip(*out, strict=True)), strict=True))
+                yield pd.DataFrame(found | {"user_id": pd.array(found["user_id"], "Int64")})
 
         def close(self) -> None:
             pass
@@ -110,10 +130,15 @@ def ordered(transitions: dict[str, dict[str, str]], first: str) -> StatefulProce
     return Ordered()
 
 
-def ordered_states(events: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Each change of a user's state in event time, once the watermark has passed it. Events later than the watermark are dropped by definition."""
-    timed = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late).select("event_id", "user_id", "event_type", "at", F.unix_millis("at").alias("at_ms"))
-    return timed.groupBy("user_id").transformWithStateInPandas(ordered(TRANSITIONS, FIRST), "event_id long, user_id long, from_state string, to_state string", "Append", "EventTime")
+def ordered_states(events: DataFrame, late: str = "10 minutes", buckets: int = 512) -> DataFrame:
+    """Each change of a user's state in event time, once the watermark has passed it. Events later than the watermark are dropped by definition.
+    Users share the state and the timer of their bucket, so calls of the state store grow with buckets and batches, not with users and events; a checkpoint belongs to one number of buckets."""
+    kinds = F.coalesce(*[F.when(F.col("event_type") == kind, F.lit(i)) for i, kind in enumerate(sorted(TRANSITIONS))], F.lit(-1))
+    timed = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late).select(
+        "event_id", "at", F.unix_millis("at").alias("at_ms"), F.coalesce("user_id", F.lit(0)).cast("long").alias("user"), F.col("user_id").isNull().cast("int").alias("nobody"), kinds.alias("kind"),
+        F.pmod(F.xxhash64("user_id"), F.lit(buckets)).alias("bucket"),
+    )
+    return timed.groupBy("bucket").transformWithStateInPandas(ordered(TRANSITIONS, FIRST), "event_id long, user_id long, from_state string, to_state string", "Append", "EventTime")
 
 
 def step(state: str, event: str) -> str:

@@ -107,3 +107,21 @@ def test_states_of_the_supplied_events(spark):
             want.append((r["event_id"], r["user_id"], before, now[r["user_id"]]))
     got = QUERIES["stream_states"](spark, SF_DIR).collect()
     assert sorted((r["event_id"], r["user_id"], r["from_state"], r["to_state"]) for r in got) == sorted(want) and len(want) > 100
+
+
+def test_users_share_the_state_of_few_buckets(spark, tmp_path):
+    """Each user had a state, a list and a timer of their own, and calls of the state store for each."""
+    rng, late = random.Random(8), datetime.timedelta(days=9)
+    rows = [(i, START + datetime.timedelta(seconds=rng.randrange(9000)), rng.choice([None, *range(30)]), rng.choice([*KINDS, "other"]), 0.0) for i in range(900)]
+    path, table, checkpoint = (str(tmp_path / x) for x in ("in", "out", "checkpoint"))
+    with E.rocks(spark):
+        for k, part in enumerate([rows[:500], rows[400:], [(9000, START + late, 1, "other", 0.0)]]):
+            arrive(spark, path, part, k)
+        got = E.drain(E.ordered_states(stream(spark, path), "3 hours", buckets=2), "states", table, checkpoint)
+    want, now = [], {}
+    for i, _, user, kind, _ in sorted(rows, key=lambda r: (r[1], r[0])):
+        before = now.get(user, E.FIRST)
+        now[user] = E.step(before, kind)
+        if now[user] != before:
+            want.append((i, user, before, now[user]))
+    assert {(r["event_id"], r["user_id"], r["from_state"], r["to_state"]) for r in got.collect()} == set(want) and got.count() == len(want) > 100 and any(w[1] is None for w in want)
