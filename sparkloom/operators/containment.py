@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 32 << 20
 #: Bytes of patterns in one automaton where the patterns are the streamed side.
 BUILT_BYTES = 4 << 20
+#: Characters of tokens that are searched for one by one, if there are no more of them than this.
+SHORT, MOST_SHORT = 2, 100
 
 
 def automaton(patterns: list[str]):
@@ -90,43 +92,49 @@ def contained(patterns: DataFrame, texts: DataFrame, block_bytes: int = BLOCK_BY
     return out
 
 
-def token_shares(queries: DataFrame, texts: DataFrame, id_cols: list[str], text_col: str, least: float, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(id_cols, query, share): texts that contain at least this share of a query's tokens, as substrings. queries: query (long), tokens (distinct strings); those without tokens match nothing."""
-    from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+def token_shares(queries: DataFrame, texts: DataFrame, id_cols: list[str], text_col: str, least: float, block_bytes: int = BLOCK_BYTES, phrase_col: str | None = None) -> DataFrame:
+    """(id_cols, query, share): texts that contain at least this share of a query's tokens, as substrings. queries: query (long), tokens (distinct strings); those without tokens match nothing.
+    With phrase_col, a string of the queries made of their tokens, also whole: whether the text contains it."""
+    from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
     spark = queries.sparkSession
-    queries = queries.select(F.col("query").cast("long").alias("query"), "tokens").where("size(tokens) > 0")
-    size = queries.agg(F.sum(F.aggregate("tokens", F.lit(0), lambda a, t: a + F.octet_length(t)))).first()[0] or 0
+    queries = queries.select(F.col("query").cast("long").alias("query"), "tokens", (F.col(phrase_col) if phrase_col else F.lit(None).cast("string")).alias("phrase")).where("size(tokens) > 0")
+    size = queries.agg(F.sum(F.aggregate("tokens", F.coalesce(F.octet_length("phrase"), F.lit(0)), lambda a, t: a + F.octet_length(t)))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     own = [texts.schema[c] for c in id_cols]
-    schema = StructType([*own, StructField("query", LongType()), StructField("share", DoubleType())])
+    schema = StructType([*own, StructField("query", LongType()), StructField("share", DoubleType()), *([StructField("whole", BooleanType())] if phrase_col else [])])
     source, out = texts.where(F.col(text_col).isNotNull()).select(*id_cols, text_col), None
     for block in range(blocks):
         rows = queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block).collect()  # block_bytes or so, at most
-        sent = spark.sparkContext.broadcast([(r["query"], list(r["tokens"])) for r in rows])
+        sent = spark.sparkContext.broadcast([(r["query"], list(r["tokens"]), r["phrase"]) for r in rows])
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             import numpy as np
 
             of: dict[str, list[int]] = {}
-            for i, (_, tokens) in enumerate(sent.value):
+            for i, (_, tokens, _) in enumerate(sent.value):
                 for t in tokens:
                     of.setdefault(t, []).append(i)
-            built, ids, sizes = automaton(list(of)), np.array([q for q, _ in sent.value], np.int64), np.array([len(t) for _, t in sent.value], np.int64)
+            short = [t for t in of if len(t) <= SHORT]  # an automaton stops at every place of these, a search at the first
+            short = short if len(short) <= MOST_SHORT else []
+            built, ids, sizes = automaton(list(set(of) - set(short))), np.array([q for q, *_ in sent.value], np.int64), np.array([len(t) for _, t, _ in sent.value], np.int64)
             lists = {t: np.array(v) for t, v in of.items()}
             for batch in batches:
-                at, query, share = [], [], []
-                for i, text in enumerate(batch.column(len(own)).to_pylist() if len(built) else ()):
-                    hits = [lists[t] for t in found(built, text)]
+                at, query, share, whole = [], [], [], []
+                for i, text in enumerate(batch.column(len(own)).to_pylist() if of else ()):
+                    hits = [lists[t] for t in (found(built, text) if len(built) else ())] + [lists[t] for t in short if t in text]
                     if hits:
                         shares = np.bincount(np.concatenate(hits), minlength=len(ids)) / sizes
                         some = np.flatnonzero(shares >= least)
                         at += [i] * len(some)
                         query.append(ids[some])
                         share.append(shares[some])
+                        if phrase_col:
+                            whole += [bool(shares[j] >= 1 and sent.value[j][2] in text) for j in some.tolist()]
                 take = pa.array(at, pa.int64())
                 columns = [c.take(take) for c in batch.columns[: len(own)]]
                 flat = [pa.array(np.concatenate(x) if x else [], kind) for x, kind in ((query, pa.int64()), (share, pa.float64()))]
+                flat += [pa.array(whole, pa.bool_())] if phrase_col else []
                 yield pa.RecordBatch.from_arrays([*columns, *flat], names=[f.name for f in schema.fields])
 
         part = source.mapInArrow(run, schema)

@@ -85,13 +85,13 @@ def research(spark: SparkSession, d: str, ledger: R.Ledger) -> tuple[DataFrame,
     docs = spread(table(spark, d, "documents").select("doc_id", F.lower("text").alias("low")))
     number = F.col("task_id") * 100_000 + F.col("slot_id")
 
-    # The documents are read once, at the last round's share; each round looks at what its own share admits.
-    wanted = slots.select("task_id", "slot_id", number.alias("query"), T.token_set(F.col("said")).alias("tokens"))
+    # The documents are read once, at the last round's share; each round looks at what its own share admits. What says a whole statement is known from there too.
+    wanted = slots.select("task_id", "slot_id", number.alias("query"), T.token_set(F.col("said")).alias("tokens"), "said")
 
     def scan(pending: DataFrame) -> DataFrame:
         own = wanted.join(pending, "task_id", "left_semi")
-        found = token_shares(own, docs, ["doc_id"], "low", SHARES[-1])
-        return found.join(own.select("query", "task_id", "slot_id"), "query").select("task_id", "slot_id", F.col("doc_id").alias("source_id"), "share")
+        found = token_shares(own, docs, ["doc_id"], "low", SHARES[-1], phrase_col="said")
+        return found.join(own.select("query", "task_id", "slot_id"), "query").select("task_id", "slot_id", F.col("doc_id").alias("source_id"), "share", "whole")
 
     scanned = ledger.run("scan", 0, slots.select("task_id"), scan)
 
@@ -100,8 +100,8 @@ def research(spark: SparkSession, d: str, ledger: R.Ledger) -> tuple[DataFrame,
         return found.select("task_id", "slot_id", "source_id", F.round("share", 4).alias("rank"))
 
     def read(r: int, chosen: DataFrame) -> DataFrame:
-        whole = chosen.join(slots, ["task_id", "slot_id"]).join(docs, F.col("source_id") == F.col("doc_id"))
-        return whole.select("task_id", "slot_id", "source_id", F.when(F.contains("low", "said"), "support").when(F.col("rank") >= 0.7, "weak_support").otherwise("none").alias("relation"))
+        known = chosen.join(scanned.select("task_id", "slot_id", "source_id", "whole"), ["task_id", "slot_id", "source_id"])
+        return known.select("task_id", "slot_id", "source_id", F.when(F.col("whole"), "support").when(F.col("rank") >= 0.7, "weak_support").otherwise("none").alias("relation"))
 
     return R.gap_rounds(ledger, slots.select("task_id", "slot_id", "required"), search, read, len(SHARES), 5, 3)
 

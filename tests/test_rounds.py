@@ -171,3 +171,19 @@ def test_research_rounds_equal_the_loop_and_go_on_after_a_kill(spark, tmp_path,
     coverage, tasks = research(spark, SF_DIR, rounds.Ledger(spark, str(tmp_path / "r")))
     assert results(tasks) == want and len(want) > 5
     assert {r["task_id"] for r in coverage.collect()} == set(want)
+
+
+def test_a_scan_says_which_texts_contain_whole_statements(spark, monkeypatch):
+    """Each round read all documents again to find that out."""
+    from sparkloom.operators import containment
+
+    said = {1: "a bc def", 2: "x 1", 3: "longer words", 4: "bc"}
+    texts = {1: "see a bc def.", 2: "def bc a", 3: "x 1 longer words", 4: "", 5: None, 6: "longer x1 wordsabc"}
+    queries = spark.createDataFrame([(q, s.split(), s) for q, s in said.items()], "query long, tokens array<string>, said string")
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, low string")
+    want = {(d, q, sum(t in text for t in s.split()) / len(s.split()), s in text) for d, text in texts.items() if text is not None for q, s in said.items() if sum(t in text for t in s.split()) * 2 >= len(s.split())}
+    for most in (100, 0):  # short tokens one by one, or all by the automaton
+        monkeypatch.setattr(containment, "MOST_SHORT", most)
+        got = containment.token_shares(queries, docs, ["doc_id"], "low", 0.5, phrase_col="said").collect()
+        assert {(r["doc_id"], r["query"], r["share"], r["whole"]) for r in got} == want and len(got) == len(want) > 6
+        assert {(r["doc_id"], r["query"], r["share"]) for r in containment.token_shares(queries, docs, ["doc_id"], "low", 0.5).collect()} == {w[:3] for w in want}
