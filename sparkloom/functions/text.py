@@ -16,6 +16,8 @@ NUMBER = r"\b\d+(?:[.,]\d+)?%?\b"
 DATE = r"\b(?:19|20)\d{2}(?:[-/]\d{1,2}(?:[-/]\d{1,2})?)?\b"
 NO_IDENTITY = "[^0-9a-zA-Z\u4e00-\u9fff]+"
 SENTENCE = r"[^\n.!?。！？]+(?:[.!?。！？]+)?"
+#: Whether sentences() finds any: something besides blanks and ends, or a blank before an end.
+HAS_SENTENCE = r"[^\n.!?。！？ ]| [.!?。！？]"
 
 
 def tokens(text: Column) -> Column:
@@ -83,8 +85,12 @@ def candidate_id(*parts: Column) -> Column:
 def information_density(text: Column) -> Column:
     """Unique share .42, length up to 90 tokens .38, prose .2, less .25 if a few tokens make up the text."""
     t = tokens(text)
-    n = F.size(t)
-    unique = F.size(F.array_distinct(t)) / F.greatest(n, F.lit(1))
+    return density_of(text, F.size(t), F.size(F.array_distinct(t)))
+
+
+def density_of(text: Column, n: Column, distinct: Column) -> Column:
+    """The same of known numbers of tokens. As columns of a table they are counted once; an expression with tokens() in it is evaluated anew at each use."""
+    unique = distinct / F.greatest(n, F.lit(1))
     prose = text.rlike(r"[.!?]") & (n >= 8)
     repeats = (n >= 20) & (unique < 0.3)
     score = unique * 0.42 + F.least(n / F.lit(90.0), F.lit(1.0)) * 0.38 + F.when(prose, 0.2).otherwise(0.0) - F.when(repeats, 0.25).otherwise(0.0)

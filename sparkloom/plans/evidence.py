@@ -286,20 +286,25 @@ SENTENCE_SLOTS = ("number", "negation", "question", "detail")
 
 def claim_candidates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The sentences of conversations as candidates, best first (denser ones, then earlier ones), and each conversation's terms."""
-    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", F.posexplode(T.sentences(F.col("text"))).alias("n", "excerpt"))
-    text, density = F.col("excerpt"), F.round(T.information_density(F.col("excerpt")), 4)
-    says = (F.size(T.numbers(text)) > 0, T.has_negation(text), F.contains(text, F.lit("?")), F.size(T.tokens(text)) >= 12)
+    said, text = table(spark, d, "conversations"), F.col("excerpt")
+    rows = said.select("conv_id", "turn", "role", F.posexplode(T.sentences(F.col("text"))).alias("n", "excerpt"))
+    # Each of these is used several times, so it is a column of its own.
+    rows = rows.withColumns({"identity": T.claim_identity(text), "_tokens": T.tokens(text)}).withColumns({"_n": F.size("_tokens"), "_distinct": F.size(F.array_distinct("_tokens"))})
+    rows = rows.withColumn("density", F.round(T.density_of(text, F.col("_n"), F.col("_distinct")), 4))
+    density, identity = F.col("density"), F.col("identity")
+    says = (F.size(T.numbers(text)) > 0, T.has_negation(text), F.contains(text, F.lit("?")), F.col("_n") >= 12)
     slots = F.array_compact(F.array(*[F.when(c, F.lit(s)) for s, c in zip(SENTENCE_SLOTS, says, strict=True)]))
     # Unique in a conversation of up to 2 ** 19 turns of as many sentences, and ordered by score, turn and place.
     position = (F.lit(10_000) - F.round(density * 10_000)).cast("long") * (1 << 38) + F.col("turn").cast("long") * (1 << 19) + F.col("n")
     none = F.array().cast("array<int>")
     found = rows.select(
-        F.col("conv_id").alias("task_id"), position.alias("position"), F.concat(F.coalesce("role", F.lit("")), F.lit(":"), T.claim_identity(text)).alias("semantic_key"), T.claim_identity(text).alias("identity"),
+        F.col("conv_id").alias("task_id"), position.alias("position"), F.concat(F.coalesce("role", F.lit("")), F.lit(":"), identity).alias("semantic_key"), identity.alias("identity"),
         F.floor(F.col("n") / 4).alias("paragraph"), F.col("turn").alias("document"), F.col("role").alias("category"), "role", slots.alias("slots"), none.alias("markers"), none.alias("exact_markers"), F.lit(False).alias("code"),
         (density >= 0.5).alias("relevant"), (density >= 0.5).alias("role_allowed"), F.lit(False).alias("normalized"), F.lit(0.5).alias("source_quality"), density.alias("answer_score"), density.alias("final_score"), "excerpt",
     )
     strings = lambda *x: F.array(*map(F.lit, x))
-    tasks = found.select("task_id").distinct().select(
+    # Conversations with a sentence; whether there is one is told without cutting the text.
+    tasks = said.where(F.col("text").rlike(T.HAS_SENTENCE)).select(F.col("conv_id").alias("task_id")).distinct().select(
         "task_id", F.when(F.col("task_id") % 2 == 0, "technical").otherwise("deployment").alias("kind"), strings(*SENTENCE_SLOTS).alias("slots"), F.lit(0).alias("n_markers"), strings("assistant").alias("roles"), strings("assistant", "user").alias("categories"), F.lit(True).alias("balanced"),
     )
     return found, tasks

@@ -107,3 +107,16 @@ def test_evidence_is_found_once_and_counted_by_document(spark, monkeypatch):
     before = met.value
     assert reports.QUERIES["markdown_report"](spark, SF_DIR).count() > 0
     assert met.value - before == len(rows)
+
+
+def test_conversations_with_a_sentence_are_told_without_cutting(spark):
+    """They were cut into sentences again each time that the list of tasks was read."""
+    from pyspark.sql import functions as F
+
+    from sparkloom.functions import text as T
+
+    texts = [None, "", " ", "\n", ".", "...", " .", ". ", " \n.", "\t", "a", ".a", " a ", "!?。", " 。", "\n \n", "x. y", "你好。", " ", ". . ", ".\n ", "  ?\n"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").withColumn("n", F.size(T.tokens(F.col("text")))).withColumn("u", F.size(F.array_distinct(T.tokens(F.col("text")))))
+    text = F.col("text")
+    got = rows.select("text", (F.size(T.sentences(text)) > 0).alias("cut"), text.rlike(T.HAS_SENTENCE).alias("told"), T.information_density(text).alias("a"), T.density_of(text, F.col("n"), F.col("u")).alias("b")).collect()
+    assert all(bool(r["told"]) == (r["text"] is not None and r["cut"]) and r["a"] == r["b"] for r in got) and sum(bool(r["told"]) for r in got) > 8
