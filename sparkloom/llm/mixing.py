@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import WORD, materialize
+from sparkloom.llm.common import SPACE, SPACE_CHARS, WORD, materialize
 
 U_DIGITS = 13  # hexadecimal: 52 bits, exact in a double
 
@@ -38,7 +38,9 @@ def uniform(id_col: Column, seed: str) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    """The words of a text. Each, with the space behind it, becomes one letter: regexp_count would hold an array of all words."""
+    marks = F.regexp_replace(F.coalesce(text, F.lit("")), f"{WORD}{SPACE[:-1]}*", "x")
+    return F.length(F.ltrim(marks, F.lit(SPACE_CHARS))).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most_copies: int = 2) -> DataFrame:
@@ -134,7 +136,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     sized = docs.select(
         F.col(id_col).alias("_mix_id"), F.col(source_col).alias("_mix_source"), word_count(F.col(text_col)).alias("size"), uniform(F.col(id_col), seed).alias("_mix_u")
     )
-    base = materialize(sized, "mix-base")
+    base = materialize(sized.hint("rebalance"), "mix-base")  # some 40 bytes a row: each file costs its task several processes on a local store
     plan = thresholds(base, weights, share, most_copies, buckets)
     if keep:
         own = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]

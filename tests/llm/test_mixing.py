@@ -5,8 +5,12 @@ import math
 import random
 import re
 from collections import defaultdict
+from pathlib import Path
 
-from sparkloom.llm.mixing import mix
+from pyspark.sql import functions as F
+
+from sparkloom.llm.common import shared_dir
+from sparkloom.llm.mixing import mix, word_count
 
 
 def plain_targets(sizes, weights=(5, 2, 1), share=1.5, most=2):
@@ -104,3 +108,18 @@ def test_defined_cases(spark):
     assert mix(docs.limit(0)).count() == 0
     empty = spark.createDataFrame([(1, None, "a"), (2, None, "b")], schema)
     assert [(r.size, r.target) for r in mix(empty).collect()] == [(0, 0.0)] * 2
+
+
+def test_words_are_counted_without_holding_them(spark):
+    odd = [None, "", " ", "\n\t \x0b\x0c\r", "a", " a", "a ", "  xx  \n y\x1cz \U0001f600 ü", "$1 \\ x", "\x00 \x00", "b\u0085c\u00a0d e", " " * 100_000 + "a" + " " * 100_000, "a " * 100_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i long, text string").select("i", word_count(F.col("text")).alias("n"))
+    assert {r.i: r.n for r in df.collect()} == {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in enumerate(odd)}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "split" not in plan, plan
+
+
+def test_small_rows_go_to_few_files(spark):
+    found = lambda: {p for p in Path(shared_dir(spark).removeprefix("file:")).glob("mix-base-*/part-*")}
+    before = found()
+    mix(spark.createDataFrame(corpus(4, 200), "doc_id long, text string, source string").repartition(5))
+    assert len(found() - before) == 1
