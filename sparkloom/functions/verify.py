@@ -1,11 +1,10 @@
 """How an excerpt relates to a statement, and how precise a citation is.
 
-`Signals` and `relate` are the rule for one pair, used inside tasks where a document's excerpts meet all statements; the rest are column expressions.
+`Signals` of texts and `relate`, the rule over arrays of pairs, are used inside tasks where documents' excerpts meet all statements; the rest are column expressions.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 from functools import cached_property
@@ -18,9 +17,14 @@ from sparkloom.functions import text as T
 # The thresholds and scores of relate() and citation_precision() are fixed values of the rules.
 #: No relation but containment holds below this share of meaningful tokens.
 LEAST_MEANINGFUL = 0.4
+#: Nor below this share of all tokens.
+LEAST_OVERLAP = 0.5
+RELATIONS = (("support", "strong_support"), ("contradict", "contradiction"), ("weak_support", "weak_support"))
 WORD = re.compile("[A-Za-z0-9_]+")
-_GENERIC, _SCOPE = frozenset(T.GENERIC_TOKENS), frozenset(T.SCOPE_TERMS)
-_NEGATION, _CJK_NEGATION = re.compile(T.NEGATION, re.ASCII), re.compile(T.CJK_NEGATION)
+_GENERIC, SCOPE = frozenset(T.GENERIC_TOKENS), frozenset(T.SCOPE_TERMS)
+_NEGATION, CJK_NEGATION = re.compile(T.NEGATION, re.ASCII), re.compile(T.CJK_NEGATION)
+#: Each match of T.NEGATION has one of these tokens.
+NEGATING = frozenset("not no never without cannot can doesn isn wasn weren failed false incorrect".split())
 _NUMBER, _DATE = re.compile(T.NUMBER, re.ASCII), re.compile(T.DATE, re.ASCII)
 
 
@@ -44,17 +48,28 @@ class _Plain(dict):
 _LOWER, _PLAIN = _Lower(), _Plain()
 
 
+def normal(text: str) -> str:
+    """Lower case. Only these two letters lower otherwise in a word than alone."""
+    return text.translate(_LOWER) if "\u03a3" in text or "\u0130" in text else text.lower()
+
+
+def tokens(text: str) -> set[str]:
+    return {t.lower() for t in WORD.findall(text)}
+
+
 class Signals:
-    """What a squeezed text is compared by. All but the normal form and the tokens is computed when it is asked for."""
+    """What a squeezed text is compared by, each computed when it is asked for."""
 
     def __init__(self, text: str) -> None:
         self.text = text
-        if text.isascii():
-            self.norm = text.lower()
-            self.tokens = set(WORD.findall(self.norm))
-        else:
-            self.norm = text.translate(_LOWER)
-            self.tokens = {t.lower() for t in WORD.findall(text)}
+
+    @cached_property
+    def norm(self) -> str:
+        return normal(self.text)
+
+    @cached_property
+    def tokens(self) -> set[str]:
+        return tokens(self.text)
 
     @cached_property
     def meaningful(self) -> set[str]:
@@ -66,43 +81,29 @@ class Signals:
 
     @cached_property
     def negated(self) -> bool:
-        return bool(_NEGATION.search(self.plain) or _CJK_NEGATION.search(self.text))
+        return bool(_NEGATION.search(self.plain) or CJK_NEGATION.search(self.text))
 
     @cached_property
     def numbers(self) -> set[str]:
         """Numbers and dates."""
         return {m[0] for p in (_NUMBER, _DATE) for m in p.finditer(self.plain)}
 
-    @cached_property
-    def scope(self) -> set[str]:
-        return self.tokens & _SCOPE
-
-
-def _hundredths(x: float) -> float:
-    return math.floor(x * 100 + 0.5) / 100
-
-
-def relate(s: Signals, e: Signals, exact: bool) -> tuple[str, str, float, float, float] | None:
-    """(relation, detail, score, overlap, meaningful_overlap) of an excerpt e and a statement s, None if it says nothing about it. exact: one
-    text contains the other; then the statement counts as covered whole, also one without a token."""
-    overlap = len(s.tokens & e.tokens) / len(s.tokens) if s.tokens else 0.0
-    mean = len(s.meaningful & e.meaningful) / len(s.meaningful) if s.meaningful else 0.0
-    if not exact and (overlap < 0.5 or mean < LEAST_MEANINGFUL):
-        return None
-    negation = s.negated != e.negated
-    differ = lambda a, b: bool(a and b and a != b)
-    numeric = differ(s.numbers, e.numbers)
-    if exact and not negation and not numeric:
-        return "support", "strong_support", 0.95, 1.0, 1.0 if s.meaningful else 0.0
-    if overlap >= 0.55 and mean >= 0.45 and negation:
-        return "contradict", "contradiction", _hundredths(min(0.95, 0.55 + overlap * 0.35)), overlap, mean
-    if numeric or negation or differ(s.scope, e.scope) or (overlap >= 0.45 and mean < 0.35):
-        return None
-    if overlap >= 0.72 and mean >= 0.6:
-        return "support", "strong_support", _hundredths(min(0.9, 0.5 + overlap * 0.3)), overlap, mean
-    if overlap >= 0.5 and mean >= LEAST_MEANINGFUL:
-        return "weak_support", "weak_support", _hundredths(min(0.68, 0.35 + mean * 0.35)), overlap, mean
-    return None
+
+def relate(exact, overlap, mean, meaningful, negation, numeric, scope):
+    """(kind, score, overlap, meaningful_overlap) of pairs of an excerpt and a statement, as arrays; kind is a place in RELATIONS, -1 if the excerpt says nothing about the
+    statement. exact: one text contains the other; then the statement counts as covered whole, also one without a token. meaningful: the statement has such
+    tokens. negation: one of the two is negated. numeric, scope: both have numbers or scope terms, but not the same."""
+    import numpy as np
+
+    hundredths = lambda x: np.floor(x * 100 + 0.5) / 100
+    whole = exact & ~negation & ~numeric
+    cases = [
+        whole, (overlap >= 0.55) & (mean >= 0.45) & negation, numeric | negation | scope | (overlap >= 0.45) & (mean < 0.35),
+        (overlap >= 0.72) & (mean >= 0.6), (overlap >= LEAST_OVERLAP) & (mean >= LEAST_MEANINGFUL),
+    ]
+    kind = np.select(cases, [0, 1, -1, 0, 2], -1)
+    score = np.select(cases, [0.95, hundredths(np.minimum(0.95, 0.55 + overlap * 0.35)), 0.0, hundredths(np.minimum(0.9, 0.5 + overlap * 0.3)), hundredths(np.minimum(0.68, 0.35 + mean * 0.35))], 0.0)
+    return kind, score, np.where(whole, 1.0, overlap), np.where(whole, np.where(meaningful, 1.0, 0.0), mean)
 
 
 def status(support: Column, weak: Column, contradict: Column) -> Column:
