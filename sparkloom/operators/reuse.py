@@ -5,12 +5,15 @@ or beside a contradiction). A candidate's rank loses .04 for each earlier choice
 content (.06), .14 in all; the best adjusted one is chosen. A weak support from a source (domain and content hash) that the claim has already is
 chosen only if there is no other.
 
-Here it is a fixpoint over all tasks at once. Three facts make it small:
+Here it is a fixpoint over all tasks at once. Four facts make it small:
 - A candidate more than .14 below the best of its claim and relation is never chosen; for weak supports, where two sources may be barred, the
-  best three sources of a claim count. All others go before the first round (grouped maxima).
+  best three sources of a claim count. All others go (grouped maxima) where a claim gets all its candidates.
 - Each cost is reached by two choices, so of a chunk, span or content only its first two choices in claim order matter to later claims. They come from a
   window cut to two rows, which Spark limits before the shuffle: a chunk that all claims of a huge task choose is two rows a map task.
 - In each round only claims that have a candidate whose first two choices changed choose again.
+- Hardly a claim chooses beyond its first candidates, so the rounds see the first HELD of each claim and relation, and one more, the first of the rest, as if nothing
+  it has were in use and its source never barred. A choice that beats this one beats all the rest, whatever is in use. Claims that choose it get all their candidates, and the
+  rounds go on from there; they end when no claim is left that chooses one.
 The first claim of a task is right after the first round and the k-th after the k-th at the latest, so the fixpoint is the sequential result; in practice the
 rounds are as many as choices depend on each other in a row. State is written to the shared folder after each round. No task's claims ever meet in one group.
 
@@ -31,6 +34,8 @@ UNIT = 10_000
 #: Cost of a use by kind of key, and the most it costs, in units.
 COSTS = {"chunk": (400, 800), "span": (500, 1000), "content": (300, 600)}
 MOST = 1400
+#: Candidates of a claim and relation that the rounds see at first.
+HELD = 128
 CLAIM = ("task_id", "claim_no")
 ORDER = ("rank", "source_quality", "content_quality")
 
@@ -41,15 +46,35 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def contenders(candidates: DataFrame) -> DataFrame:
-    """The candidates that may be chosen whatever others use, each with its sort key."""
+def _ranked(candidates: DataFrame) -> DataFrame:
+    """The candidates by claim and code of the relation, each with its sort key."""
     code = F.coalesce(*[F.when(F.col("relation") == r, F.lit(i)) for i, r in enumerate(RELATIONS)])
     rank = F.round(F.col("rank_score") * UNIT).cast("long")
     last = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(-1.0))
-    own = candidates.select(
+    return candidates.select(
         *CLAIM, code.alias("code"), "candidate_id", rank.alias("rank"), last("source_quality").alias("source_quality"), last("content_quality").alias("content_quality"), "domain", "chunk_no", "start_offset",
         F.col("chunk_id").alias("chunk"), F.col("span_key").alias("span"), F.col("content_key").alias("content"), F.struct("domain", "content_hash").alias("source"),
-    ).where("code is not null and rank is not null").distinct()
+    ).where("code is not null and rank is not null")
+
+
+def _key(adjusted: Column) -> list[Column]:
+    """What is chosen by, the least first."""
+    return [(-adjusted).alias("a"), *[(-F.col(c)).alias(c) for c in ORDER], *map(F.col, ("domain", "chunk_no", "start_offset", "candidate_id", "source", "chunk", "span", "content"))]
+
+
+def heads(candidates: DataFrame, held: int) -> DataFrame:
+    """The first candidates of each claim and relation, and the first of the rest, which is open: it has no keys and a source of its own."""
+    place = F.row_number().over(Window.partitionBy(*CLAIM, "code").orderBy(*_key(F.col("rank"))))
+    own = _ranked(candidates)
+    first = own.withColumn("n", place).where(F.col("n") <= held + 1).withColumn("open", F.col("n") > held).drop("n")
+    none = F.lit(None).cast("string")
+    source = F.struct(none.alias("domain"), F.lit("\0open").alias("content_hash")).cast(own.schema["source"].dataType)
+    return first.withColumns({**{k: F.when(~F.col("open"), F.col(k)) for k in COSTS}, "source": F.when(F.col("open"), source).otherwise(F.col("source"))})
+
+
+def contenders(candidates: DataFrame) -> DataFrame:
+    """The candidates that may be chosen whatever others use, each with its sort key."""
+    own = _ranked(candidates).distinct()
     best = own.groupBy(*CLAIM, "code").agg(F.max("rank").alias("best"))
     strong = own.where("code < 2").join(best, [*CLAIM, "code"]).where(F.col("rank") >= F.col("best") - MOST).drop("best")
     # Weak supports: none beside a support without a contradiction.
@@ -87,7 +112,7 @@ def choose(pool: DataFrame, uses: DataFrame | None) -> DataFrame:
         before = lambda c: F.coalesce((F.col("claim_no") > F.col(c)).cast("int"), F.lit(0))
         cost = cost + F.least(F.lit(most), (before(f"{kind}_1") + before(f"{kind}_2")) * each)
     adjusted = F.greatest(F.lit(0), F.col("rank") - F.least(F.lit(MOST), cost))
-    key = F.struct((-adjusted).alias("a"), *[(-F.col(c)).alias(c) for c in ORDER], "domain", "chunk_no", "start_offset", "candidate_id", "source", "chunk", "span", "content")
+    key = F.struct(*_key(adjusted), "open")
     by_source = pool.groupBy(*CLAIM, "code", "source").agg(F.min(key).alias("best"))
     # Two sources at most are barred to a weak support, so three of each relation are enough.
     place = F.row_number().over(Window.partitionBy(*CLAIM, "code").orderBy("best"))
@@ -97,12 +122,12 @@ def choose(pool: DataFrame, uses: DataFrame | None) -> DataFrame:
     other = F.filter("weak", lambda w: ~(F.coalesce(w["source"].eqNullSafe(F.col("s.source")) & F.col("s").isNotNull(), F.lit(False)) | F.coalesce(w["source"].eqNullSafe(F.col("c.source")) & F.col("c").isNotNull(), F.lit(False))))
     weak = F.when(F.col("s").isNull() | F.col("c").isNotNull(), F.coalesce(F.get(other, F.lit(0)), F.get("weak", F.lit(0))))
     rows = found.select(*CLAIM, F.explode(F.array(*[F.struct(F.lit(i).alias("code"), x.alias("p")) for i, x in enumerate((F.col("s"), F.col("c"), weak))])).alias("r")).where("r.p is not null")
-    return rows.select(*CLAIM, "r.code", "r.p.candidate_id", "r.p.chunk", "r.p.span", "r.p.content")
+    return rows.select(*CLAIM, "r.code", "r.p.candidate_id", "r.p.chunk", "r.p.span", "r.p.content", "r.p.open")
 
 
 def settle(candidates: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """(task_id, claim_no, code, candidate_id, chunk, span, content): the sequential choice of all tasks."""
-    pool = _written(contenders(candidates), "reuse-pool")
+    pool = _written(heads(candidates, HELD), "reuse-pool")
     picks = _written(choose(pool, None), "reuse-picks")
     uses: DataFrame | None = None
     for _ in range(most_rounds):
@@ -114,12 +139,17 @@ def settle(candidates: DataFrame, most_rounds: int = 10_000) -> DataFrame:
             changed = both.where(~F.col("now").eqNullSafe(F.col("was")))
         changed = _written(changed.select(*key), "reuse-changed")
         if changed.isEmpty():
-            return picks
-        again = None
-        for kind in COSTS:
-            part = pool.join(changed.where(F.col("kind") == kind).select("task_id", F.col("key").alias(kind)), ["task_id", kind], "left_semi").select(*CLAIM)
-            again = part if again is None else again.unionByName(part)
-        again = _written(again.distinct(), "reuse-again")
+            again = _written(picks.where("open").select(*CLAIM).distinct(), "reuse-open")
+            if again.isEmpty():
+                return picks.drop("open")
+            all_ = contenders(candidates.join(again, [*CLAIM], "left_semi")).withColumn("open", F.lit(False))
+            pool = _written(pool.join(again, [*CLAIM], "left_anti").unionByName(all_), "reuse-pool")
+        else:
+            again = None
+            for kind in COSTS:
+                part = pool.join(changed.where(F.col("kind") == kind).select("task_id", F.col("key").alias(kind)), ["task_id", kind], "left_semi").select(*CLAIM)
+                again = part if again is None else again.unionByName(part)
+            again = _written(again.distinct(), "reuse-again")
         chosen = choose(pool.join(again, [*CLAIM], "left_semi"), now)
         picks = _written(picks.join(again, [*CLAIM], "left_anti").unionByName(chosen), "reuse-picks")
         uses = now
@@ -155,8 +185,8 @@ def select_evidence(candidates: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(*CLAIM).orderBy("code")).cast("long")
     relation = F.element_at(F.array(*map(F.lit, RELATIONS)), F.col("code") + 1)
     picks = picks.select(*CLAIM, relation.alias("relation"), "candidate_id", *[f"{k}_before" for k in COSTS], cost.alias("_cost"), place.alias("selection_rank"))
-    own = candidates.dropDuplicates([*CLAIM, "relation", "candidate_id"])
-    met = own.join(picks, [*CLAIM, "relation", "candidate_id"])
+    # Written, so that its size is known: the candidates need no shuffle if it is small.
+    met = candidates.join(_written(picks, "reuse-chosen"), [*CLAIM, "relation", "candidate_id"]).dropDuplicates([*CLAIM, "relation", "candidate_id"])
     units = F.round(F.col("rank_score") * UNIT).cast("long")
     adjusted = F.greatest(F.lit(0), units - F.col("_cost")) / F.lit(float(UNIT))
     return met.withColumn("reuse_penalty", F.col("_cost") / F.lit(float(UNIT))).withColumn("adjusted_score", adjusted).drop("_cost")
