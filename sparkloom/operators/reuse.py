@@ -66,7 +66,12 @@ def heads(candidates: DataFrame, held: int) -> DataFrame:
     """The first candidates of each claim and relation, and the first of the rest, which is open: it has no keys and a source of its own."""
     place = F.row_number().over(Window.partitionBy(*CLAIM, "code").orderBy(*_key(F.col("rank"))))
     own = _ranked(candidates)
-    first = own.withColumn("n", place).where(F.col("n") <= held + 1).withColumn("open", F.col("n") > held).drop("n")
+    # What these can't reach is told by counts of ranks, so that few rows are sorted.
+    ranks = own.groupBy(*CLAIM, "code", "rank").agg(F.count("*").alias("n"))
+    above = F.sum("n").over(Window.partitionBy(*CLAIM, "code").orderBy(F.desc("rank")))
+    least = ranks.withColumn("above", above - F.col("n")).where(F.col("above") <= held).groupBy(*CLAIM, "code").agg(F.min("rank").alias("least"))
+    near = own.join(_written(least, "reuse-least"), [*CLAIM, "code"]).where("rank >= least").drop("least")
+    first = near.withColumn("n", place).where(F.col("n") <= held + 1).withColumn("open", F.col("n") > held).drop("n")
     none = F.lit(None).cast("string")
     source = F.struct(none.alias("domain"), F.lit("\0open").alias("content_hash")).cast(own.schema["source"].dataType)
     return first.withColumns({**{k: F.when(~F.col("open"), F.col(k)) for k in COSTS}, "source": F.when(F.col("open"), source).otherwise(F.col("source"))})

@@ -321,15 +321,15 @@ def diversified_claims(spark: SparkSession, d: str) -> DataFrame:
 def evidence_candidates(spark: SparkSession, d: str) -> DataFrame:
     """What documents say about the benchmark's statements, ranked for the choice of evidence; fifty items are a task."""
     found = V.verify(table(spark, d, "benchmark").select("item_id", "text"), table(spark, d, "documents").select("doc_id", "text", "source"), kept=("source",))
-    # Each of these is used several times, so it is a column of its own.
-    found = found.withColumn("_tokens", T.tokens(F.col("excerpt"))).withColumns({"_n": F.size("_tokens"), "_distinct": F.size(F.array_distinct("_tokens")), "_hash": T.excerpt_hash(F.col("excerpt"))})
-    found = found.withColumn("density", F.round(T.density_of(F.col("excerpt"), F.col("_n"), F.col("_distinct")), 4))
+    # Each of these is used twice, so it is a column of its own; white space of excerpts is squeezed already.
+    density = F.round(T.density_of(F.col("excerpt"), F.col("n_tokens"), F.col("n_distinct")), 4)
+    found = found.withColumns({"density": density, "hash": F.sha2(F.lower("excerpt"), 256)})
     density = F.col("density")
     claim_no = F.col("item_id") * 100_000 + F.col("span_no")
     span = F.concat_ws(":", "doc_id", "excerpt_no", "pair")
     return found.select(
         F.floor(F.col("item_id") / 50).cast("long").alias("task_id"), claim_no.alias("claim_no"), span.alias("candidate_id"), "relation", evidence_rank(F.col("score"), density=density).alias("rank_score"),
-        F.col("doc_id").cast("string").alias("chunk_id"), span.alias("span_key"), F.col("_hash").alias("content_key"), F.col("source").alias("domain"), F.col("_hash").alias("content_hash"),
+        F.col("doc_id").cast("string").alias("chunk_id"), span.alias("span_key"), F.col("hash").alias("content_key"), F.col("source").alias("domain"), F.col("hash").alias("content_hash"),
         F.lit(0.5).alias("source_quality"), density.alias("content_quality"), F.col("excerpt_no").cast("int").alias("chunk_no"), F.lit(0).alias("start_offset"), F.col("doc_id").alias("source_id"),
     )
 
